@@ -1,0 +1 @@
+"""Intentionally empty: the query surface is batch only, so no streaming operator is offered."""
