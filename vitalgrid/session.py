@@ -36,6 +36,7 @@ def local_session(app: str = "vitalgrid", cpus: int | str = "*", partitions: int
             "spark.sql.shuffle.partitions": str(partitions),
             "spark.driver.memory": os.environ.get("VITALGRID_DRIVER_MEMORY", "12g"),
             "spark.ui.enabled": "false",
+            "spark.ui.showConsoleProgress": "false",
             "spark.sql.debug.maxToStringFields": "200",
         },
     )
