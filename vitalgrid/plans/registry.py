@@ -99,6 +99,8 @@ def sql_text(body: str, rounded: dict[str, int] | None = None) -> str:
         body = f"SELECT * REPLACE ({replaced}) FROM ({body})"
     if not order:
         return body
+    if body.lstrip().upper().startswith("WITH"):
+        body = f"SELECT * FROM ({body})"
     return "WITH " + ",\n".join(f"{n} AS ({known[n]})" for n in order) + f"\n{body}"
 
 

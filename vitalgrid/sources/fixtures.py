@@ -219,7 +219,7 @@ class StayFixture:
             F.col("event_id").alias("linkorderid"), F.col("t").alias("starttime"),
             (F.col("t") + F.make_dt_interval(F.lit(0), (F.lit(1) + (k + F.col("pid")) % 6).cast("int"))).alias("endtime"),
             (F.col("num") * 2).alias("amount"), F.lit("mg").alias("amountuom"), F.col("num").alias("rate"), uom.alias("rateuom"),
-            F.lit("01-Drips").alias("ordercategoryname"),
+            F.when(k % 3 == 0, "16-Pre Admission/Non-ICU").otherwise("01-Drips").alias("ordercategoryname"),
             F.when(k % 10 == 0, F.lit(1.0)).otherwise((k + 50).cast("double")).alias("patientweight"))
 
     def ingredientevents(self) -> DataFrame:
@@ -405,7 +405,7 @@ def fixture_sql() -> dict[str, str]:
             CASE WHEN itemid = 221906 THEN {_sql_pick(('mcg/kg/min', 'mg/kg/min'), 'k')}
                  WHEN itemid = 221749 THEN {_sql_pick(('mcg/kg/min', 'mcg/min'), 'k')}
                  WHEN itemid = 222315 THEN {_sql_pick(('units/hour', 'units/min'), 'k')} ELSE 'mg/hour' END AS rateuom,
-            '01-Drips' AS ordercategoryname, CASE WHEN k % 10 = 0 THEN CAST(1 AS DOUBLE) ELSE CAST(k + 50 AS DOUBLE) END AS patientweight
+            CASE WHEN k % 3 = 0 THEN '16-Pre Admission/Non-ICU' ELSE '01-Drips' END AS ordercategoryname, CASE WHEN k % 10 = 0 THEN CAST(1 AS DOUBLE) ELSE CAST(k + 50 AS DOUBLE) END AS patientweight
             FROM v_rows WHERE tbl = 'input'""",
         "v_ingredientevents": """SELECT subject_id, hadm_id, stay_id, itemid, starttime, endtime, amount, amountuom, rate, rateuom
             FROM v_inputevents WHERE orderid % 3 = 0""",
