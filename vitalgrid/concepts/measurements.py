@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import HOUR, MINUTE, age_years, datetime_diff, fio2_percent, micros, round_dec, shift
 from ..operators.joins import asof_join, interval_join
 from ..operators.reshape import ItemCol, hourly_grid, pivot_events, to_intervals
-from ..operators.windows import Agg, Order, carry_previous, neighbours, range_window, row_numbers, sequence_flags, top1
+from ..operators.windows import Agg, Order, carry_previous, neighbours, range_window, sequence_flags, top1
 from ..sources.catalog import Catalog
 from . import definitions as D
 
@@ -53,8 +53,8 @@ def weight_durations(cat: Catalog) -> DataFrame:
          .select("stay_id", "charttime", F.when(F.col("itemid") == D.WEIGHT_ADMIT, "admit").otherwise("daily").alias("weight_type"),
                  F.col("valuenum").alias("weight")))
     stays = cat.table("icustays").select("stay_id", "intime", "outtime")
-    w = row_numbers(w, ["stay_id", "weight_type"], "charttime", "rn", tie=["weight"]).join(stays, "stay_id")
-    first_admit = (F.col("weight_type") == "admit") & (F.col("rn") == 1)
+    w = neighbours(w, ["stay_id", "weight_type"], "charttime", lag={"earlier": "charttime"}, tie=["weight"]).join(stays, "stay_id")
+    first_admit = (F.col("weight_type") == "admit") & F.col("earlier").isNull()
     w = w.select("stay_id", "intime", "outtime", "weight_type", "weight",
                  F.when(first_admit, shift("intime", -2, "hour")).otherwise(F.col("charttime")).alias("starttime"))
     spans = to_intervals(w, ["stay_id"], "starttime", "endtime", shift("outtime", 2, "hour"), tie=["weight_type", "weight"])

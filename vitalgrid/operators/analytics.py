@@ -217,8 +217,8 @@ def long_variables(demo: DataFrame, strata: DataFrame) -> DataFrame:
 def describe_numbers(long: DataFrame) -> DataFrame:
     """Median, quartiles and number of values per numeric variable and stratum; missing values are left out."""
     d = long.filter(F.col("number").isNotNull())
-    q = exact_quantiles(d, ["variable", "strat"], "number", {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    return d.groupBy("variable", "strat").agg(F.count(F.lit(1)).alias("n")).join(q, ["variable", "strat"]).select("variable", "strat", "n", "median", "q1", "q3")
+    q = exact_quantiles(d, ["variable", "strat"], "number", {"q1": 0.25, "median": 0.5, "q3": 0.75}, count="n")
+    return q.select("variable", "strat", "n", "median", "q1", "q3")
 
 
 def describe_levels(long: DataFrame) -> DataFrame:
@@ -257,7 +257,8 @@ def rank_sums(long: DataFrame) -> DataFrame:
     d = long.filter(F.col("number").isNotNull())
     cells = d.groupBy("variable", "number", "strat").agg(F.count(F.lit(1)).alias("n"))
     values = cells.groupBy("variable", "number").agg(F.sum("n").alias("t"))
-    limits = values.groupBy("variable").agg(F.percentile_approx("number", F.array(*[F.lit(i / 32) for i in range(1, 32)]), F.lit(1000)).alias("__cuts"))
+    seen = F.when(F.col("t") > 0, F.col("number"))
+    limits = values.groupBy("variable").agg(F.percentile_approx(seen, F.array(*[F.lit(i / 32) for i in range(1, 32)]), F.lit(1000)).alias("__cuts"))
     v = values.join(limits, "variable").withColumn("__cut", F.size(F.filter("__cuts", lambda x: x < F.col("number")))).drop("__cuts")
     sizes = v.groupBy("variable", "__cut").agg(F.sum("t").alias("__n"))
     below = Window.partitionBy("variable").orderBy("__cut").rowsBetween(Window.unboundedPreceding, -1)

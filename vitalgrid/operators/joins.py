@@ -25,11 +25,11 @@ def _bounds(pos: Column, start: Column, end: Column, bounds: str) -> Column:
 
 
 def interval_join(points: DataFrame, ivals: DataFrame, key: Sequence[str], ts: str, start: str, end: str,
-                  bounds: str = "[]", how: str = "inner", span: int = DAY) -> DataFrame:
+                  bounds: str = "[]", how: str = "inner", span: int = DAY, extra: Column | None = None) -> DataFrame:
     """Points inside intervals of the same key.
 
     bounds: "[]", "(]", "[)" or "()". how: inner, left, left_semi, left_anti (points are the left side).
-    Interval columns other than the key must not clash with point columns.
+    Interval columns other than the key must not clash with point columns. `extra` is a further condition.
     """
     on = list(key)
     right_names = {k: f"__i_{k}" for k in on}
@@ -43,6 +43,8 @@ def interval_join(points: DataFrame, ivals: DataFrame, key: Sequence[str], ts: s
     for k in on:
         cond = cond & (F.col(k) == F.col(right_names[k]))
     cond = cond & _bounds(F.col(ts), F.col(start), F.col(end), bounds)
+    if extra is not None:
+        cond = cond & extra
     joined = p.join(i, cond, how)
     return joined.drop(_BUCKET, "__i_bucket", *right_names.values())
 
@@ -50,13 +52,7 @@ def interval_join(points: DataFrame, ivals: DataFrame, key: Sequence[str], ts: s
 def contained_join(segs: DataFrame, ivals: DataFrame, key: Sequence[str], seg: tuple[str, str], ival: tuple[str, str],
                    how: str = "left", span: int = DAY) -> DataFrame:
     """Segments that lie fully inside an interval of the same key (bucketed by the segment's start)."""
-    joined = interval_join(segs, ivals, key, seg[0], ival[0], ival[1], "[]", "inner", span)
-    inside = joined.filter(F.col(seg[1]) <= F.col(ival[1]))
-    if how == "inner":
-        return inside
-    extra = [c for c in inside.columns if c not in segs.columns]
-    ids = [*key, *seg]
-    return segs.join(inside.select(*ids, *extra), ids, "left").select(*segs.columns, *extra)
+    return interval_join(segs, ivals, key, seg[0], ival[0], ival[1], "[]", how, span, F.col(seg[1]) <= F.col(ival[1]))
 
 
 def anchored(points: DataFrame, stays: DataFrame, key: Sequence[str], ts: str, anchor: str, low: Column, high: Column,

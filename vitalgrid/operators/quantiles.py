@@ -1,8 +1,9 @@
 """Exact interpolated quantiles without gathering a group in one task.
 
-Values are first counted per (group, value). A mergeable sketch proposes cut points per group, only to
-balance the work; ranks come from exact counts per cut, and only the rows of cuts that hold a wanted
-rank are ordered, per (group, cut).
+Values are first counted per (group, value). A mergeable sketch of the distinct values proposes cut points per
+group, only to balance the work; ranks come from exact counts per cut, and only the rows of cuts that hold a
+wanted rank are ordered, per (group, cut). All later steps read the shuffle of the counts, so the input is
+scanned once.
 """
 
 from __future__ import annotations
@@ -16,17 +17,20 @@ _CUTS = 32
 _SALTS = 16
 
 
-def exact_quantiles(df: DataFrame, by: Sequence[str], col: str, probs: Mapping[str, float]) -> DataFrame:
+def exact_quantiles(df: DataFrame, by: Sequence[str], col: str, probs: Mapping[str, float], count: str | None = None) -> DataFrame:
     """One row per group with the continuous quantiles of `col`; NULL values are left out.
 
-    `probs` maps output column to probability. Groups without any value are absent.
+    `probs` maps output column to probability, `count` names an optional column with the number of values.
+    Groups without any value are absent.
     """
     keys = [f"__g{i}" for i, _ in enumerate(by)]
     base = df.filter(F.col(col).isNotNull()).select(
         *[F.col(b).alias(k) for b, k in zip(by, keys)], F.col(col).cast("double").alias("__v"))
     counts = base.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__n"))
     grid = F.array(*[F.lit(i / _CUTS) for i in range(1, _CUTS)])
-    sketch = base.groupBy(*keys).agg(F.percentile_approx("__v", grid, F.lit(1000)).alias("__cuts"))
+    # the test on the count keeps this branch's shuffle identical to the one of the counts
+    seen = F.when(F.col("__n") > 0, F.col("__v"))
+    sketch = counts.groupBy(*keys).agg(F.percentile_approx(seen, grid, F.lit(1000)).alias("__cuts"))
     spread = sketch.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
     salted = counts.withColumn("__salt", F.pmod(F.hash("__v"), F.lit(_SALTS)))
     right = spread.select(*[F.col(k).alias(f"{k}r") for k in keys], "__cuts", F.col("__salt").alias("__saltr"))
@@ -62,10 +66,13 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], col: str, probs: Mapping[s
             here = (edge >= F.col("__upto") - F.col("__n")) & (edge < F.col("__upto"))
             aggs.append(F.max(F.when(here, F.col("__v"))).alias(f"__{tag}_{name}"))
         aggs.append(F.max(r - F.floor(r)).alias(f"__f_{name}"))
+    if count:
+        aggs.append(F.max("__total").alias("__count"))
     picked = rows.groupBy(*keys).agg(*aggs)
     return picked.select(
         *[F.col(k).alias(b) for b, k in zip(by, keys)],
-        *[(F.col(f"__lo_{n}") + (F.col(f"__hi_{n}") - F.col(f"__lo_{n}")) * F.col(f"__f_{n}")).alias(n) for n in probs])
+        *[(F.col(f"__lo_{n}") + (F.col(f"__hi_{n}") - F.col(f"__lo_{n}")) * F.col(f"__f_{n}")).alias(n) for n in probs],
+        *([F.col("__count").alias(count)] if count else []))
 
 
 def exact_median(df: DataFrame, by: Sequence[str], col: str, out: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import HOUR, ceil_hour, from_micros, micros
-from .windows import neighbours, running_sum
+from .windows import neighbours
 
 
 @dataclass(frozen=True)
@@ -108,26 +108,23 @@ def segment_intervals(intervals: Mapping[str, DataFrame], key: str = "stay_id",
 
 def gap_episodes(df: DataFrame, key: Sequence[str], ts: str, state: str, gap: int, out_state: str | None = None,
                  drop_points: bool = True) -> DataFrame:
-    """Runs of one state: a new episode on a change of state or when the state was last seen >= gap ago.
+    """Runs of one state: a new episode on a change of state or when the previous row is >= gap away.
 
     An episode ends at the next documented time of any state unless that is >= gap away, then at its
-    own last time. Episodes with a single time are dropped on request.
+    own last time. Episodes with a single time are dropped on request. Rows are unique per (key, ts).
+    Only first and last rows of episodes are kept and paired, so no running count is needed.
     """
-    d = df.filter(F.col(state).isNotNull())
-    d = neighbours(d, [*key, state], ts, lag={"__same": ts})
-    d = neighbours(d, key, ts, lag={"__prev_state": state}, lead={"__next": ts})
-    stale = micros(ts) - micros("__same") >= F.lit(gap)
-    new = F.when(F.col("__prev_state").isNull() | F.coalesce(stale, F.lit(False))
-                 | F.coalesce(F.col("__prev_state") != F.col(state), F.lit(False)), 1).otherwise(0)
-    d = running_sum(d.withColumn("__new", new), key, ts, "__new", "__episode")
-    far = F.coalesce(micros("__next") - micros(ts) >= F.lit(gap), F.lit(True))
-    d = d.withColumn("__end", F.when(far, F.col(ts)).otherwise(F.col("__next")))
-    out = d.groupBy(*key, "__episode").agg(
-        F.min(ts).alias("starttime"), F.max("__end").alias("endtime"),
-        F.max(state).alias(out_state or state), F.max(ts).alias("__last"))
-    if drop_points:
-        out = out.filter(F.col("starttime") != F.col("__last"))
-    return out.drop("__episode", "__last")
+    name = out_state or state
+    d = df.filter(F.col(state).isNotNull()).select(*key, ts, state)
+    d = neighbours(d, key, ts, lag={"__ps": state, "__pt": ts}, lead={"__ns": state, "__nt": ts})
+    far = F.coalesce(micros("__nt") - micros(ts) >= F.lit(gap), F.lit(True))
+    starts = F.col("__ps").isNull() | (F.col("__ps") != F.col(state)) | (micros(ts) - micros("__pt") >= F.lit(gap))
+    ends = far | (F.col("__ns") != F.col(state))
+    d = d.select(*key, ts, state, starts.alias("__starts"), ends.alias("__ends"), F.when(far, F.col(ts)).otherwise(F.col("__nt")).alias("__end"))
+    d = neighbours(d.filter(F.col("__starts") | F.col("__ends")), key, ts, lead={"__l_ts": ts, "__l_end": "__end"})
+    point = F.col("__starts") & F.col("__ends")
+    d = d.filter(F.col("__starts") & ~point) if drop_points else d.filter(F.col("__starts"))
+    return d.select(*key, F.col(ts).alias("starttime"), F.when(point, F.col("__end")).otherwise(F.col("__l_end")).alias("endtime"), F.col(state).alias(name))
 
 
 def widen(df: DataFrame, keys: Sequence[str], name: str, value: str, names: Sequence[str]) -> DataFrame:

@@ -4,8 +4,8 @@ A plain `Window.partitionBy(key)` sends every row of a key to the same task. Her
 each key is cut into spans and windows run per (key, span):
 
 * bounded frames copy the last `width` of a span into the next one, so every frame is complete;
-* unbounded operators (neighbour, running sum, row number) work inside a span first and take the
-  rest from one summary row per (key, span).
+* neighbours are found inside a span first; only the first and last row of each span look across spans;
+* running sums and row numbers work inside a span and add one summary row per (key, span).
 
 Results equal the plain window; only the partitioning differs.
 """
@@ -98,39 +98,27 @@ def _join_edges(d: DataFrame, edges: DataFrame, key: Sequence[str]) -> DataFrame
 
 def neighbours(df: DataFrame, key: Sequence[str], ts: str, *, lag: Mapping[str, str] | None = None,
                lead: Mapping[str, str] | None = None, tie: Sequence[str] = (), span: int | None = None) -> DataFrame:
-    """Columns of the previous (`lag`) and next (`lead`) row in key order; maps output name to input column."""
+    """Columns of the previous (`lag`) and next (`lead`) row in key order; maps output name to input column.
+
+    Rows at the edge of a span are the only ones whose neighbour lies elsewhere: they are taken aside, ordered
+    per key (two rows per span) and put back. Both branches read the same shuffle.
+    """
     lag, lead = dict(lag or {}), dict(lead or {})
-    d = _spanned(df, ts, span)
     carried = sorted({*lag.values(), *lead.values()})
-    payload = F.struct(F.lit(True).alias("__hit"), *[F.col(c).alias(c) for c in carried])
-    order = F.struct(F.col(ts), *[F.col(t) for t in tie])
-    edge_aggs = []
-    if lag:
-        edge_aggs.append(F.max_by(payload, order).alias("__last"))
-    if lead:
-        edge_aggs.append(F.min_by(payload, order).alias("__first"))
-    edges = d.groupBy(*key, CHUNK).agg(*edge_aggs)
-    across = Window.partitionBy(*key).orderBy(CHUNK)
-    if lag:
-        edges = edges.withColumn("__before", F.lag("__last").over(across)).drop("__last")
-    if lead:
-        edges = edges.withColumn("__after", F.lead("__first").over(across)).drop("__first")
+    d = _spanned(df, ts, span).withColumn("__payload", F.struct(F.lit(True).alias("__hit"), *[F.col(c).alias(c) for c in carried]))
     local = Window.partitionBy(*key, CHUNK).orderBy(ts, *tie)
-    d = d.withColumn("__payload", payload)
-    if lag:
-        d = d.withColumn("__lag", F.lag("__payload").over(local))
-    if lead:
-        d = d.withColumn("__lead", F.lead("__payload").over(local))
-    d = _join_edges(d, edges, key)
-    keep = list(df.columns)
-    out = [F.col(c) for c in keep]
-    if lag:
-        prev = F.coalesce("__lag", "__before")
-        out += [prev.getField(src).alias(name) for name, src in lag.items()]
-    if lead:
-        nxt = F.coalesce("__lead", "__after")
-        out += [nxt.getField(src).alias(name) for name, src in lead.items()]
-    return d.select(*out)
+    d = d.withColumn("__lag", F.lag("__payload").over(local)).withColumn("__lead", F.lead("__payload").over(local))
+    first, last = F.col("__lag").isNull(), F.col("__lead").isNull()
+
+    def output(before: Column, after: Column) -> list[Column]:
+        return [*[F.col(c) for c in df.columns], *[before.getField(c).alias(n) for n, c in lag.items()],
+                *[after.getField(c).alias(n) for n, c in lead.items()]]
+    inner = d.filter(~(first | last)).select(*output(F.col("__lag"), F.col("__lead")))
+    across = Window.partitionBy(*key).orderBy(ts, *tie)
+    edge = d.filter(first | last)
+    edge = edge.withColumn("__before", F.lag("__payload").over(across)).withColumn("__after", F.lead("__payload").over(across))
+    edge = edge.select(*output(F.coalesce("__lag", "__before"), F.coalesce("__lead", "__after")))
+    return inner.unionByName(edge)
 
 
 def running_sum(df: DataFrame, key: Sequence[str], ts: str, col: str, out: str, span: int | None = None) -> DataFrame:

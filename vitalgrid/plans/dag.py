@@ -8,11 +8,32 @@ from graphlib import TopologicalSorter
 from pyspark.sql import DataFrame, SparkSession
 
 from ..concepts import firstday, measurements, scores, treatments
+from ..operators import cohort, events
 from ..sources.catalog import Catalog
 
-BUILDERS: dict[str, Callable[[Catalog], DataFrame]] = {
+CONCEPTS: dict[str, Callable[[Catalog], DataFrame]] = {
     **measurements.BUILDERS, **treatments.BUILDERS, **firstday.BUILDERS, **scores.BUILDERS}
 
+
+def event_source(cat: Catalog) -> Callable[[str], DataFrame]:
+    """Tables by name for the event operators: the stored views where there is one, else the base table."""
+    return lambda name: cat.concept(name) if name in VIEWS else cat.table(name)
+
+
+# stored views of the event layer
+VIEWS: dict[str, Callable[[Catalog], DataFrame]] = {
+    "d_prescriptions": lambda cat: events.d_prescriptions(cat.table("prescriptions")),
+    "microbiologyresultsevents": lambda cat: events.microbiology_results(cat.table("microbiologyevents")),
+    "positive_microbiology": lambda cat: events.positive_microbiology(cat.concept("microbiologyresultsevents"), cat.table("infection_type")),
+    "demographics": lambda cat: events.demographics(cat.table, cat.concept),
+    "uid_list": lambda cat: events.uid_list(cat.table("patients"), cat.table("admissions"), cat.table("icustays")),
+    "distinct_events": lambda cat: events.distinct_events(
+        cat.table("d_items"), cat.table("d_labitems"), cat.concept("microbiologyresultsevents"), cat.concept("d_prescriptions"),
+        cat.concept("demographics"), cat.table("d_customevents")),
+    "event_catalogue": lambda cat: cohort.event_catalogue(events.unify_events(event_source(cat), ordered=False)),
+}
+BUILDERS: dict[str, Callable[[Catalog], DataFrame]] = {**CONCEPTS, **VIEWS}
+
 _VASO = ("norepinephrine", "epinephrine", "dobutamine", "dopamine")
 _LABS = ("complete_blood_count", "chemistry", "blood_differential", "coagulation", "enzyme")
 
@@ -47,11 +68,15 @@ DEPENDENCIES: dict[str, tuple[str, ...]] = {
     "apsiii": ("bg", "ventilation", "first_day_urine_output", "first_day_lab", "first_day_gcs", "first_day_vitalsign"),
     "suspicion_of_infection": ("antibiotic",),
     "sepsis3": ("sofa", "suspicion_of_infection"),
+    "positive_microbiology": ("microbiologyresultsevents",),
+    "demographics": ("age", "charlson", "height", "first_day_weight", "sapsii", "sofa"),
+    "distinct_events": ("microbiologyresultsevents", "d_prescriptions", "demographics"),
+    "event_catalogue": ("microbiologyresultsevents", "d_prescriptions", "demographics"),
 }
 
 # read by three or more tables, or expensive: written once by a catalog that shares them
 SHARED = ("bg", "ventilation", "vitalsign", "gcs", "urine_output", "weight_durations", "chemistry", "complete_blood_count", "enzyme",
-          "first_day_lab", "first_day_vitalsign", "first_day_gcs", "first_day_urine_output", "urine_output_rate", "sofa", "antibiotic")
+          "first_day_lab", "first_day_vitalsign", "first_day_gcs", "first_day_urine_output", "urine_output_rate", "sofa", "antibiotic", "demographics")
 
 # column a stored table is clustered by, so that star joins and stay filters touch few files
 CLUSTER = ("stay_id", "hadm_id", "subject_id", "specimen_id")

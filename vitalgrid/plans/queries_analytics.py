@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import analytics as A
-from ..operators import events as E
 from ..operators.cohort import mortality_flags
 from .queries_cohort import HIGH_HR, LOW_SAT, match
 from .queries_cohort import _COHORT_SQL as HIGH_SQL
@@ -54,7 +53,7 @@ def strata(spark, d):
 
 def long_table(spark, d):
     cat = catalog(spark, d)
-    return A.long_variables(E.demographics(cat.table, cat.concept), strata(spark, d))
+    return A.long_variables(cat.concept("demographics"), strata(spark, d))
 
 
 @query("item_series", "SELECT * FROM v_an_series")

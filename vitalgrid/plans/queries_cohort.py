@@ -47,8 +47,8 @@ for _agg, _op, _v, _sql in (("min", "<", 35, "min(valuenum)"), ("mean", ">", 100
 _GRID = "v_icustay_hourly h ON h.stay_id = {}.stay_id AND {}.charttime BETWEEN h.endtime - INTERVAL 1 HOUR AND h.endtime"
 _leaf("filter_hour_window", Condition("chartevents", HR, "valuenum", ">", 140, None, (0, 24)),
       f"SELECT DISTINCT {', '.join('c.' + k for k in KEYS.split(', '))} FROM v_chartevents c JOIN {_GRID.format('c', 'c')} WHERE itemid = {HR} AND hr BETWEEN 0 AND 24 AND valuenum > 140")
-_leaf("filter_hour_window_sum", Condition("chartevents", HR, "valuenum", ">", 400, "sum", (-5, 20)),
-      f"SELECT c.subject_id, c.hadm_id, c.stay_id FROM v_chartevents c JOIN {_GRID.format('c', 'c')} WHERE itemid = {HR} AND hr BETWEEN -5 AND 20 GROUP BY ALL HAVING sum(valuenum) > 400")
+_leaf("filter_hour_window_sum", Condition("chartevents", HR, "valuenum", ">", 405.05, "sum", (-5, 20)),
+      f"SELECT c.subject_id, c.hadm_id, c.stay_id FROM v_chartevents c JOIN {_GRID.format('c', 'c')} WHERE itemid = {HR} AND hr BETWEEN -5 AND 20 GROUP BY ALL HAVING sum(valuenum) > 405.05")
 _STAY = "v_icustays i ON i.subject_id = t.subject_id AND i.hadm_id = t.hadm_id AND t.{0} BETWEEN i.intime - INTERVAL 24 HOUR AND i.outtime + INTERVAL 1 HOUR"
 _leaf("filter_hospital_scope", Condition("labevents", 50912, "valuenum", ">", 5),
       f"SELECT DISTINCT i.subject_id, i.hadm_id, i.stay_id FROM v_labevents t JOIN {_STAY.format('charttime')} WHERE itemid = 50912 AND valuenum > 5")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..concepts.firstday import VITAL_COLUMNS
-from .dag import BUILDERS
+from .dag import CONCEPTS
 from .registry import catalog, query
 
 # columns with a floating sum, a logarithm or a power behind them
@@ -39,5 +39,5 @@ def _register(name: str) -> None:
         return catalog(spark, folder).concept(name)
 
 
-for _name in BUILDERS:
+for _name in CONCEPTS:
     _register(_name)

@@ -5,19 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import events as E
+from .dag import event_source
 from .registry import catalog, query, views
 
 COLS = ", ".join(E.EVENT_COLUMNS)
 
 
 def tables(cat):
-    """Base tables plus the dictionaries derived from them."""
-    made = {
-        "d_prescriptions": lambda: E.d_prescriptions(cat.table("prescriptions")),
-        "demographics": lambda: E.demographics(cat.table, cat.concept),
-        "microbiologyresultsevents": lambda: E.microbiology_results(cat.table("microbiologyevents")),
-    }
-    return lambda name: made[name]() if name in made else cat.table(name)
+    """Base tables and the stored views of the event layer."""
+    return event_source(cat)
 
 
 def unified(spark, d, **scope):
@@ -139,8 +135,7 @@ def positive(spark, d):
 
 @query("demographics", "SELECT * FROM v_demographics")
 def demo(spark, d):
-    cat = catalog(spark, d)
-    return E.demographics(cat.table, cat.concept)
+    return catalog(spark, d).concept("demographics")
 
 
 @query("uid_list", """SELECT DISTINCT * FROM (SELECT 'subject_id' AS type, subject_id AS uid FROM v_patients UNION ALL SELECT 'hadm_id', hadm_id FROM v_admissions UNION ALL SELECT 'stay_id', stay_id FROM v_icustays)""")
