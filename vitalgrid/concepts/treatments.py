@@ -31,11 +31,9 @@ def charlson(cat: Catalog) -> DataFrame:
 
 
 # --- drugs by keyword --------------------------------------------------------------------------------
-def drug_class(rx: DataFrame, words: tuple[str, ...], keep: Column | None = None, on: tuple[str, ...] = ("drug",)) -> DataFrame:
-    """Orders of a drug class: the keyword test runs on the distinct drugs, which are then joined back."""
-    drugs = rx if keep is None else rx.filter(keep)
-    hits = drugs.select(*on).distinct().filter(any_keyword("drug", words))
-    return rx.join(hits, list(on), "left_semi")
+def drug_class(rx: DataFrame, words: tuple[str, ...]) -> DataFrame:
+    """Orders whose drug name contains one of the words: one expression on the scan, nothing is shuffled."""
+    return rx.filter(any_keyword("drug", words))
 
 
 def _named_class(cat: Catalog, name: str, words: tuple[str, ...]) -> DataFrame:
@@ -55,11 +53,18 @@ def nsaid(cat: Catalog) -> DataFrame:
 
 
 def antibiotic(cat: Catalog) -> DataFrame:
-    keep = ((F.col("drug_type") != "BASE") & ~F.col("route").isin(list(D.EXCLUDED_ROUTES))
-            & ~any_keyword("route", D.EXCLUDED_ROUTE_WORDS) & ~any_keyword("drug", D.EXCLUDED_FORMS))
-    rx = drug_class(cat.table("prescriptions"), D.ANTIBIOTICS, keep, ("drug", "route"))
+    """Antibiotic orders by name, route and form, with the stay that holds their start.
+
+    A base solution counts only when the same drug and route is also ordered as a drug of its own; so only
+    those few rows are joined back to the drugs.
+    """
+    text = ~F.col("route").isin(list(D.EXCLUDED_ROUTES)) & ~any_keyword("route", D.EXCLUDED_ROUTE_WORDS) & ~any_keyword("drug", D.EXCLUDED_FORMS)
+    named = drug_class(cat.table("prescriptions"), D.ANTIBIOTICS).filter(text)
+    own = F.coalesce(F.col("drug_type") != "BASE", F.lit(False))
+    main = named.filter(own)
+    base = named.filter(~own).join(main.select("drug", "route").distinct(), ["drug", "route"], "left_semi").select(named.columns)
     stays = cat.table("icustays").select("hadm_id", "stay_id", "intime", "outtime")
-    d = interval_join(rx, stays, ["hadm_id"], "starttime", "intime", "outtime", "[)", "left")
+    d = interval_join(main.unionByName(base), stays, ["hadm_id"], "starttime", "intime", "outtime", "[)", "left")
     return d.select("subject_id", "hadm_id", "stay_id", F.col("drug").alias("antibiotic"), "route", "starttime", "stoptime")
 
 

@@ -103,16 +103,19 @@ def evaluate_expr(expr: CohortExpr, matcher: Callable[[Condition], DataFrame]) -
 
 
 # --- diagnoses ----------------------------------------------------------------------------------------
-def code_matches(dx: DataFrame, codes: Sequence[tuple[str, int]], mode: str = "OR", strict: bool = False) -> DataFrame:
+def code_matches(dx: DataFrame, codes: Sequence[tuple[str, int]], mode: str = "OR", strict: bool = False, distinct: bool = True) -> DataFrame:
     """Admissions whose codes start with the requested ones in the same version.
 
-    OR: any. AND: as many matching rows as requested codes; `strict` wants every requested code instead.
+    OR: any (without `distinct` one row per matching diagnosis and code). AND: as many matching rows as
+    requested codes; `strict` wants every requested code instead.
     """
     hits = [F.col("icd_code").startswith(code) & (F.col("icd_version") == version) for code, version in codes]
     any_hit = reduce(lambda x, y: x | y, hits)
     d = dx.filter(any_hit)
     if mode == "OR":
-        return d.select(*TWO_KEYS).distinct()
+        if distinct:
+            return d.select(*TWO_KEYS).distinct()
+        return reduce(DataFrame.union, [dx.filter(h).select(*TWO_KEYS) for h in hits])
     if mode != "AND":
         raise ValueError("mode is OR or AND")
     if strict:
@@ -123,10 +126,14 @@ def code_matches(dx: DataFrame, codes: Sequence[tuple[str, int]], mode: str = "O
 
 
 def icd_filter(df: DataFrame, dx: DataFrame, allow: Sequence[tuple[str, int]] = (), deny: Sequence[tuple[str, int]] = (),
-               allow_mode: str = "OR", deny_mode: str = "OR", strict: bool = False) -> DataFrame:
-    """Keep admissions with the allowed codes, drop those with the denied ones."""
+               allow_mode: str = "OR", deny_mode: str = "OR", strict: bool = False, duplicates: bool = False) -> DataFrame:
+    """Keep admissions with the allowed codes, drop those with the denied ones.
+
+    `duplicates` repeats a row for every diagnosis that matched an allowed code.
+    """
     if allow:
-        df = df.join(code_matches(dx, allow, allow_mode, strict), list(TWO_KEYS), "left_semi")
+        matched = code_matches(dx, allow, allow_mode, strict, distinct=not duplicates)
+        df = df.join(matched, list(TWO_KEYS), "inner" if duplicates else "left_semi")
     if deny:
         df = df.join(code_matches(dx, deny, deny_mode, strict), list(TWO_KEYS), "left_anti")
     return df

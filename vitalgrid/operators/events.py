@@ -8,10 +8,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import HOUR, DAY, age_by_year, datetime_diff, micros, shift, span_days
+from ..functions.scalars import DAY, age_by_year, span_days
 from ..sources.schemas import EVENTS
 from .joins import anchored, star_join
-from .windows import Order, top1
+from .windows import row_numbers
 
 Tables = Callable[[str], DataFrame]
 EVENT_COLUMNS = ("subject_id", "hadm_id", "stay_id", "itemid", "label", "abbreviation", "linksto", "category", "unitname", "param_type",
@@ -267,20 +267,34 @@ def event_detail(t: Tables, records: DataFrame, table: str) -> DataFrame:
 
 
 # --- per patient ------------------------------------------------------------------------------------
-def patient_text_lines(events: DataFrame, span: int = DAY) -> DataFrame:
+def patient_text_lines(events: DataFrame, size: int = 1000) -> DataFrame:
     """One line per patient, admission and item: its values in time order, one per (item, time).
 
-    A line is cut into parts of one time span each (`part` orders them), so no task holds a whole history;
+    A line comes in parts of at most `size` values (`part` orders them), so no task holds a whole history;
     joining the parts of a line with blanks gives the full text. User events are left out.
     """
     d = events.filter(F.coalesce(F.col("category") != "User imported", F.lit(True)))
-    keys = ["subject_id", "hadm_id", "itemid", "category", "param_type", "label"]
-    one = d.groupBy(*keys, "starttime").agg(F.min("value").alias("value")).filter(F.col("value").isNotNull())
-    one = one.withColumn("part", F.floor(micros("starttime") / F.lit(span)).cast("long"))
-    values = F.transform(F.array_sort(F.collect_list(F.struct("starttime", "value"))), lambda x: x["value"])
-    lines = one.groupBy(*keys, "part").agg(F.array_join(values, " ").alias("values"))
     title = F.concat_ws(" ", "category", "param_type", "label", F.col("itemid").cast("string"))
-    return lines.select("subject_id", "hadm_id", "itemid", title.alias("title"), "part", "values")
+    keys = ["subject_id", "hadm_id", "itemid", "title"]
+    one = d.select("subject_id", "hadm_id", "itemid", title.alias("title"), "starttime", "value")
+    one = one.groupBy(*keys, "starttime").agg(F.min("value").alias("value")).filter(F.col("value").isNotNull())
+    one = row_numbers(one, keys, "starttime", "n", span=30 * DAY).withColumn("part", F.floor((F.col("n") - 1) / size).cast("long"))
+    values = F.transform(F.array_sort(F.collect_list(F.struct("n", "value"))), lambda x: x["value"])
+    return one.groupBy(*keys, "part").agg(F.array_join(values, " ").alias("values"))
+
+
+def patient_text(overview: DataFrame, diagnoses: DataFrame, lines: DataFrame) -> DataFrame:
+    """The whole text of every admission as ordered rows: header, diagnoses, item lines.
+
+    Order by (section, position, title, part) within a patient and admission.
+    """
+    keys = ["subject_id", "hadm_id"]
+    none, blank = F.lit(0).cast("long"), F.lit("")
+    head = patient_text_header(overview).select(*keys, F.lit(0).alias("section"), F.coalesce("stay_id", F.lit(0)).cast("long").alias("position"), blank.alias("title"),
+                                                none.alias("part"), F.col("header").alias("text"))
+    dx = diagnoses.select(*keys, F.lit(1).alias("section"), F.col("seq_num").cast("long").alias("position"), F.col("line").alias("title"), none.alias("part"), F.col("line").alias("text"))
+    body = lines.select(*keys, F.lit(2).alias("section"), F.col("itemid").alias("position"), "title", "part", F.concat(F.col("title"), F.lit(" : "), F.col("values")).alias("text"))
+    return head.unionByName(dx).unionByName(body)
 
 
 def patient_text_header(overview: DataFrame) -> DataFrame:

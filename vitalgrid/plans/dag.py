@@ -71,12 +71,12 @@ DEPENDENCIES: dict[str, tuple[str, ...]] = {
     "positive_microbiology": ("microbiologyresultsevents",),
     "demographics": ("age", "charlson", "height", "first_day_weight", "sapsii", "sofa"),
     "distinct_events": ("microbiologyresultsevents", "d_prescriptions", "demographics"),
-    "event_catalogue": ("microbiologyresultsevents", "d_prescriptions", "demographics"),
+    "event_catalogue": ("d_prescriptions", "demographics"),
 }
 
 # read by three or more tables, or expensive: written once by a catalog that shares them
 SHARED = ("bg", "ventilation", "vitalsign", "gcs", "urine_output", "weight_durations", "chemistry", "complete_blood_count", "enzyme",
-          "first_day_lab", "first_day_vitalsign", "first_day_gcs", "first_day_urine_output", "urine_output_rate", "sofa", "antibiotic", "demographics")
+          "first_day_lab", "first_day_vitalsign", "first_day_gcs", "first_day_urine_output", "urine_output_rate", "sofa", "antibiotic", "demographics", "d_prescriptions", "sapsii", "charlson", "age")
 
 # column a stored table is clustered by, so that star joins and stay filters touch few files
 CLUSTER = ("stay_id", "hadm_id", "subject_id", "specimen_id")

@@ -169,6 +169,12 @@ def code_any(spark, d):
     return C.icd_filter(dx.select("subject_id", "hadm_id").distinct(), dx, _ALLOW, _DENY)
 
 
+@query("code_filter_any_repeated", f"SELECT subject_id, hadm_id FROM v_hosp_diagnoses WHERE ({_dx(_ALLOW)}) AND seq_num <= 4")
+def code_repeated(spark, d):
+    dx = admissions(spark, d).diagnoses_icd().filter(F.col("seq_num") <= 4)
+    return C.icd_filter(dx.select("subject_id", "hadm_id").distinct(), dx, _ALLOW, duplicates=True)
+
+
 @query("code_filter_all", f"SELECT subject_id, hadm_id FROM v_hosp_diagnoses WHERE {_dx(_ALLOW)} GROUP BY ALL HAVING count(*) = 2")
 def code_all(spark, d):
     dx = admissions(spark, d).diagnoses_icd()

@@ -187,9 +187,13 @@ def detail_rx(spark, d):
     return E.event_detail(tables(cat), records, "prescriptions").select("subject_id", "hadm_id", "drug", "starttime", "stoptime", "route").distinct()
 
 
-@query("patient_text_lines", """SELECT subject_id, hadm_id, itemid, category || coalesce(' ' || param_type, '') || ' ' || label || ' ' || CAST(itemid AS VARCHAR) AS title,
-    epoch_us(starttime) // 86400000000 AS part, string_agg(value, ' ' ORDER BY starttime) AS values FROM (SELECT subject_id, hadm_id, itemid, category, param_type, label, starttime, min(value) AS value
-    FROM v_unified WHERE category <> 'User imported' GROUP BY ALL) WHERE value IS NOT NULL GROUP BY ALL""")
+_TITLE = "category || coalesce(' ' || param_type, '') || ' ' || label || ' ' || CAST(itemid AS VARCHAR)"
+_LINES = f"""SELECT subject_id, hadm_id, itemid, title, part, string_agg(value, ' ' ORDER BY starttime) AS "values" FROM (
+    SELECT *, (row_number() OVER (PARTITION BY subject_id, hadm_id, itemid, title ORDER BY starttime) - 1) // 1000 AS part FROM (
+    SELECT subject_id, hadm_id, itemid, {_TITLE} AS title, starttime, min(value) AS value FROM v_unified WHERE category <> 'User imported' GROUP BY ALL) WHERE value IS NOT NULL) GROUP BY ALL"""
+
+
+@query("patient_text_lines", _LINES)
 def text_lines(spark, d):
     return E.patient_text_lines(unified(spark, d))
 
@@ -208,14 +212,27 @@ def overview(spark, d):
     return E.patient_overview(cat.table, cat.concept)
 
 
-@query("patient_text_header", f"""SELECT subject_id, hadm_id, stay_id, 'Gender : ' || gender || chr(10) || 'Age : ' || age || chr(10) || 'Charlson Comorbidity Index : ' || charlson_comorbidity_index || chr(10)
-    || 'SOFA : ' || sofa || chr(10) || 'Glasgow Score Minimum : ' || coalesce(CAST(gcs_min AS VARCHAR), 'NA') AS header FROM ({_OVERVIEW})""")
+_HEADER = f"""SELECT subject_id, hadm_id, stay_id, 'Gender : ' || gender || chr(10) || 'Age : ' || age || chr(10) || 'Charlson Comorbidity Index : ' || charlson_comorbidity_index || chr(10)
+    || 'SOFA : ' || sofa || chr(10) || 'Glasgow Score Minimum : ' || coalesce(CAST(gcs_min AS VARCHAR), 'NA') AS header FROM ({_OVERVIEW})"""
+_DX_LINES = "SELECT subject_id, hadm_id, seq_num, icd_code || ' v' || icd_version || ' ' || long_title AS line FROM v_diagnoses_icd JOIN v_d_icd_diagnoses USING (icd_code, icd_version)"
+
+
+@query("patient_text_header", _HEADER)
 def text_header(spark, d):
     cat = catalog(spark, d)
     return E.patient_text_header(E.patient_overview(cat.table, cat.concept))
 
 
-@query("diagnosis_lines", "SELECT subject_id, hadm_id, seq_num, icd_code || ' v' || icd_version || ' ' || long_title AS line FROM v_diagnoses_icd JOIN v_d_icd_diagnoses USING (icd_code, icd_version)")
+@query("patient_text", f"""SELECT subject_id, hadm_id, 0 AS section, coalesce(stay_id, 0) AS position, '' AS title, 0 AS part, header AS text FROM ({_HEADER})
+    UNION ALL SELECT subject_id, hadm_id, 1, seq_num, line, 0, line FROM ({_DX_LINES})
+    UNION ALL SELECT subject_id, hadm_id, 2, itemid, title, part, title || ' : ' || "values" FROM ({_LINES})""")
+def text_whole(spark, d):
+    cat = catalog(spark, d)
+    return E.patient_text(E.patient_overview(cat.table, cat.concept), E.diagnosis_lines(cat.table("diagnoses_icd"), cat.table("d_icd_diagnoses")),
+                          E.patient_text_lines(unified(spark, d)))
+
+
+@query("diagnosis_lines", _DX_LINES)
 def dx_lines(spark, d):
     cat = catalog(spark, d)
     return E.diagnosis_lines(cat.table("diagnoses_icd"), cat.table("d_icd_diagnoses"))

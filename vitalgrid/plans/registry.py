@@ -14,7 +14,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import require_utc
+from ..session import prepare
 from ..sources.catalog import Catalog
 from ..sources.fixtures import AdmissionFixture, StayFixture, fixture_sql
 from .concept_sql import concept_views
@@ -48,21 +48,21 @@ def query(name: str, sql: str | None = None, rounded: dict[str, int] | None = No
             raise ValueError(f"query {name} exists")
 
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            require_utc(spark)
+            prepare(spark)
             return rounded_columns(fn(spark, folder), digits)
         QUERIES[name] = Query(name, run, sql, digits)
         return fn
     return wrap
 
 
-_CATALOGS: dict[tuple[str, str], Catalog] = {}
+_CATALOGS: dict[tuple[str, int, str], Catalog] = {}
 
 
 def catalog(spark: SparkSession, folder: str, share: bool = True) -> Catalog:
     """Catalog over the stay fixture of one folder; one per session, so shared tables are written once."""
     if not share:
         return Catalog(spark, StayFixture(spark, folder), BUILDERS)
-    key = (spark.sparkContext.applicationId, folder)
+    key = (spark.sparkContext.applicationId, id(spark), folder)
     if key not in _CATALOGS:
         _CATALOGS[key] = Catalog(spark, StayFixture(spark, folder), BUILDERS, SHARED)
     return _CATALOGS[key]

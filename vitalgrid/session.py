@@ -44,7 +44,12 @@ def local_session(app: str = "vitalgrid", cpus: int | str = "*", partitions: int
     return spark
 
 
-def require_utc(spark: SparkSession) -> None:
-    """Timestamps carry no zone; microsecond positions are taken in UTC."""
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+def prepare(spark: SparkSession) -> None:
+    """Runtime settings the plans rely on, for sessions built elsewhere.
+
+    Timestamps carry no zone, so positions are taken in UTC; skewed joins are split even when the next
+    operator could have reused their partitioning.
+    """
+    for key, value in CONF.items():
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)

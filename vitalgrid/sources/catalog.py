@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import require_utc
+from ..session import prepare
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,7 +36,7 @@ class Catalog:
     def __init__(self, spark: SparkSession, base: Callable[[str], DataFrame],
                  builders: Mapping[str, Callable[["Catalog"], DataFrame]], shared: Iterable[str] = (),
                  prebuilt: Callable[[str], DataFrame | None] | None = None):
-        require_utc(spark)
+        prepare(spark)
         self.spark, self._base, self._builders = spark, base, builders
         self._shared, self._prebuilt = set(shared), prebuilt
         self._memo: dict[str, DataFrame] = {}

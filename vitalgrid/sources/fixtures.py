@@ -121,10 +121,27 @@ CODES = (("4280", 9), ("I50", 10), ("41071", 9), ("I252", 10), ("44024", 9), ("I
          ("042", 9), ("B20", 10), ("20280", 9), ("C8510", 10), ("4019", 9), ("I10", 10), ("5856", 9), ("N184", 10))
 
 
+def _literal(v) -> str:
+    if isinstance(v, str):
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(v, float):
+        return f"double({v})"
+    if isinstance(v, (tuple, list)):
+        return "cast(array(" + ", ".join(_literal(x) for x in v) + ") AS array<string>)"
+    return str(v)
+
+
+def inline(spark: SparkSession, rows, schema: str) -> DataFrame:
+    """A constant table; its size is known to the optimizer, so it is broadcast because it is small."""
+    cols = [c.strip().split(" ") for c in schema.split(", ")]
+    values = ", ".join("(" + ", ".join(_literal(v) for v in r) + ")" for r in rows)
+    casts = ", ".join(f"CAST(c{i} AS {t}) AS {n}" for i, (n, t) in enumerate(cols))
+    return spark.sql(f"SELECT {casts} FROM VALUES {values} AS t({', '.join(f'c{i}' for i in range(len(cols)))})")
+
+
 def _panel(spark: SparkSession) -> DataFrame:
-    rows = [(i, *r[:5], list(r[5]), r[6]) for i, r in enumerate(PANEL)]
-    schema = "pid int, slot int, tbl string, itemid long, lo double, hi double, texts array<string>, keep int"
-    return F.broadcast(spark.createDataFrame([(r[0], r[1], r[2], r[3], float(r[4]), float(r[5]), r[6], r[7]) for r in rows], schema))
+    rows = [(i, s, t, it, float(lo), float(hi), tx, kp) for i, (s, t, it, lo, hi, tx, kp) in enumerate(PANEL)]
+    return inline(spark, rows, "pid int, slot int, tbl string, itemid bigint, lo double, hi double, texts array<string>, keep int")
 
 
 def _pick(words, number: Column) -> Column:
@@ -234,7 +251,7 @@ class StayFixture:
 
     def datetimeevents(self) -> DataFrame:
         return self._events().filter(F.col("slot") == 1).select(
-            "subject_id", "hadm_id", "stay_id", F.lit(224280).cast("long").alias("itemid"), F.col("t").alias("charttime"),
+            "subject_id", "hadm_id", "stay_id", (F.col("slot") + 224279).cast("long").alias("itemid"), F.col("t").alias("charttime"),
             F.col("t").alias("value"), F.lit("Date").alias("valueuom"))
 
     def microbiologyevents(self) -> DataFrame:
@@ -279,8 +296,8 @@ class StayFixture:
             (F.col("t") + F.make_dt_interval(F.lit(0), F.lit(5))).alias("outtime"))
 
     def _dictionary(self, tables: dict[str, str]) -> DataFrame:
-        p = _panel(self.spark).filter(F.col("tbl").isin(list(tables))).select("itemid", "tbl").distinct()
-        return p
+        known = sorted({(item, tables[tbl]) for _, tbl, item, *_ in PANEL if tbl in tables})
+        return inline(self.spark, known, "itemid bigint, linksto string")
 
     def d_items(self) -> DataFrame:
         """Items that occur, with made-up labels; lines get the labels the canonical map knows."""
@@ -289,24 +306,21 @@ class StayFixture:
         for item, text in special.items():
             label = F.when(F.col("itemid") == item, text).otherwise(label)
         links = {"chart": "chartevents", "output": "outputevents", "input": "inputevents", "proc": "procedureevents"}
-        linksto = F.lit(None).cast("string")
-        for tbl, name in links.items():
-            linksto = F.when(F.col("tbl") == tbl, name).otherwise(linksto)
-        d = self._dictionary(links).select("itemid", label.alias("label"), linksto.alias("linksto"))
-        extra = self.spark.createDataFrame([(224280, "Date of line", "datetimeevents")], "itemid long, label string, linksto string")
-        return d.unionByName(extra).select(
+        known = sorted({(item, links[tbl]) for _, tbl, item, *_ in PANEL if tbl in links} | {(224280, "datetimeevents")})
+        d = inline(self.spark, known, "itemid bigint, linksto string").withColumn("label", F.when(F.col("itemid") == 224280, "Date of line").otherwise(label))
+        return d.select(
             "itemid", "label", F.concat(F.lit("I"), F.col("itemid").cast("string")).alias("abbreviation"), "linksto",
             _pick(("Routine", "Labs", "Respiratory"), F.col("itemid")).alias("category"), F.lit("unit").alias("unitname"),
             _pick(("Numeric", "Text"), F.col("itemid")).alias("param_type"), F.lit(1.0).alias("lownormalvalue"), F.lit(99.0).alias("highnormalvalue"))
 
     def d_labitems(self) -> DataFrame:
-        d = self._dictionary({"lab": ""}).select("itemid")
+        d = self._dictionary({"lab": "labevents"}).select("itemid")
         return d.select("itemid", F.concat(F.lit("Lab "), F.col("itemid").cast("string")).alias("label"), F.lit("Blood").alias("fluid"),
                         _pick(("Chemistry", "Hematology"), F.col("itemid")).alias("category"))
 
     def d_customevents(self) -> DataFrame:
-        return self.spark.createDataFrame([(10000, "My score", "MS", "me"), (10001, "My flag", "MF", "me")],
-                                          "itemid long, label string, abbreviation string, author string")
+        return inline(self.spark, [(10000, "My score", "MS", "me"), (10001, "My flag", "MF", "me")],
+                      "itemid bigint, label string, abbreviation string, author string")
 
     def customevents(self) -> DataFrame:
         return self._events().filter(F.col("k") % 9 == 0).select(
@@ -317,7 +331,7 @@ class StayFixture:
     def infection_type(self) -> DataFrame:
         rows = [("TEST 1", "ESCHERICHIA COLI", 3, "Bacterial"), ("TEST 2", "YEAST", 2, "Fungal"), ("TEST 4", "STAPH AUREUS COAG +", 5, "Bacterial"),
                 ("TEST 1", "POSITIVE FOR MRSA", 1, "Bacterial"), ("TEST 2", "CANCELLED", 1, "Viral")]
-        return self.spark.createDataFrame(rows, "label string, value string, count int, infection_type string")
+        return inline(self.spark, rows, "label string, value string, count int, infection_type string")
 
 
 class AdmissionFixture:
