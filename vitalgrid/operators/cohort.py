@@ -166,7 +166,9 @@ def cohort_summary(cohort: DataFrame, patients: DataFrame, adm: DataFrame) -> Da
         F.count_distinct("subject_id").alias("subjects"), F.count_distinct("hadm_id").alias("admissions"), F.count_distinct("stay_id").alias("stays"),
         F.count_distinct("subject_id").alias("with_row"), who("M").alias("males"), who("F").alias("females"),
         (F.sum("ages") / F.sum("n")).alias("mean_age"))
-    s = s.join(exact_median(d, ["__all"], "age", "median_age"), "__all")
+    names = [c for c in s.columns if c != "__all"]
+    both = s.select(*names).unionByName(exact_median(d, ["__all"], "age", "median_age").select("median_age"), allowMissingColumns=True)
+    s = both.agg(*[F.max(c).alias(c) for c in (*names, "median_age")])
     return s.select("subjects", "admissions", "stays", (F.col("with_row") / F.col("subjects") * 100).alias("subjects_with_stay_pct"),
                     "males", "females", F.round(F.col("males") / F.nullif(F.col("females"), F.lit(0)), 3).alias("sex_ratio"),
                     F.round("mean_age", 2).alias("mean_age"), "median_age")

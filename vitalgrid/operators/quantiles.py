@@ -32,7 +32,8 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], col: str, probs: Mapping[s
     seen = F.when(F.col("__n") > 0, F.col("__v"))
     sketch = counts.groupBy(*keys).agg(F.percentile_approx(seen, grid, F.lit(1000)).alias("__cuts"))
     spread = sketch.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    salted = counts.withColumn("__salt", F.pmod(F.hash("__v"), F.lit(_SALTS)))
+    # never NULL, so no filter is pushed below the counts and all branches share their shuffle
+    salted = counts.withColumn("__salt", F.coalesce(F.pmod(F.hash("__v"), F.lit(_SALTS)), F.lit(0)))
     right = spread.select(*[F.col(k).alias(f"{k}r") for k in keys], "__cuts", F.col("__salt").alias("__saltr"))
     cond = F.col("__salt") == F.col("__saltr")
     for k in keys:
