@@ -95,21 +95,23 @@ def neuroblock(cat: Catalog) -> DataFrame:
         "stay_id", "orderid", F.col("rate").alias("drug_rate"), F.col("amount").alias("drug_amount"), "starttime", "endtime")
 
 
-_AGENTS = ("dobutamine", "dopamine", "epinephrine", "norepinephrine", "phenylephrine", "vasopressin", "milrinone")
 _AGENT_COLUMNS = ("dopamine", "epinephrine", "norepinephrine", "phenylephrine", "vasopressin", "dobutamine", "milrinone")
 
 
 def vasoactive_agent(cat: Catalog) -> DataFrame:
     """Segments between all infusion boundaries with the rate of every agent that covers the segment.
 
-    One containment join for all agents. Rates are counted per (segment, agent, rate) before they are
+    The infusions are read once; one containment join serves all agents. Rates are counted per (segment, agent, rate) before they are
     put side by side; several infusions of one agent over a segment give one row per combination.
     """
-    agents = {n: cat.concept(n).select("stay_id", "starttime", "endtime", "vaso_rate") for n in _AGENTS}
-    segs = segment_intervals(agents)
-    runs = reduce(DataFrame.unionByName, [
-        df.select("stay_id", F.col("starttime").alias("i_start"), F.col("endtime").alias("i_end"), F.lit(n).alias("agent"), "vaso_rate")
-        for n, df in agents.items()])
+    items = {D.INFUSIONS[n]: n for n in _AGENT_COLUMNS}
+    agent, rate = F.lit(None).cast("string"), F.lit(None).cast("double")
+    for item, name in items.items():
+        agent = F.when(F.col("itemid") == item, name).otherwise(agent)
+        rate = F.when(F.col("itemid") == item, normalise_rate(item)).otherwise(rate)
+    runs = cat.table("inputevents").filter(F.col("itemid").isin(list(items))).select("stay_id", "starttime", "endtime", agent.alias("agent"), rate.alias("vaso_rate"))
+    segs = segment_intervals({"all": runs})
+    runs = runs.withColumnsRenamed({"starttime": "i_start", "endtime": "i_end"})
     ids = ["stay_id", "starttime", "endtime"]
     hits = contained_join(segs, runs, ["stay_id"], ("starttime", "endtime"), ("i_start", "i_end"), "left")
     counted = hits.groupBy(*ids, "agent", "vaso_rate").agg(F.count(F.lit(1)).alias("n"))
@@ -117,9 +119,9 @@ def vasoactive_agent(cat: Catalog) -> DataFrame:
         F.collect_list(F.when(F.col("agent") == n, F.struct("vaso_rate", "n"))).alias(n) for n in _AGENT_COLUMNS])
     for n in _AGENT_COLUMNS:
         wide = wide.withColumn(n, F.explode_outer(n))
-        copies = F.sequence(F.lit(1).cast("long"), F.coalesce(F.col(f"{n}.n"), F.lit(1)))
-        wide = wide.withColumn("__copy", F.explode(copies)).drop("__copy").withColumn(n, F.col(f"{n}.vaso_rate"))
-    return wide.select(*ids, *_AGENT_COLUMNS)
+    copies = reduce(lambda x, y: x * y, [F.coalesce(F.col(f"{n}.n"), F.lit(1).cast("long")) for n in _AGENT_COLUMNS])
+    wide = wide.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
+    return wide.select(*ids, *[F.col(f"{n}.vaso_rate").alias(n) for n in _AGENT_COLUMNS])
 
 
 def norepinephrine_equivalent_dose(cat: Catalog) -> DataFrame:

@@ -259,7 +259,8 @@ def rank_sums(long: DataFrame) -> DataFrame:
     values = cells.groupBy("variable", "number").agg(F.sum("n").alias("t"))
     seen = F.when(F.col("t") > 0, F.col("number"))
     limits = values.groupBy("variable").agg(F.percentile_approx(seen, F.array(*[F.lit(i / 32) for i in range(1, 32)]), F.lit(1000)).alias("__cuts"))
-    v = values.join(limits, "variable").withColumn("__cut", F.size(F.filter("__cuts", lambda x: x < F.col("number")))).drop("__cuts")
+    cut_of = reduce(lambda a, b: a + b, [F.when(F.col("__cuts")[i] < F.col("number"), 1).otherwise(0) for i in range(31)])
+    v = values.join(limits, "variable").withColumn("__cut", cut_of).drop("__cuts")
     sizes = v.groupBy("variable", "__cut").agg(F.sum("t").alias("__n"))
     below = Window.partitionBy("variable").orderBy("__cut").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("variable", "__cut", F.coalesce(F.sum("__n").over(below), F.lit(0)).alias("__below"))

@@ -9,6 +9,7 @@ scanned once.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,7 +39,7 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], col: str, probs: Mapping[s
     cond = F.col("__salt") == F.col("__saltr")
     for k in keys:
         cond = cond & F.col(k).eqNullSafe(F.col(f"{k}r"))
-    cut_of = F.size(F.filter("__cuts", lambda x: x < F.col("__v")))
+    cut_of = reduce(lambda a, b: a + b, [F.when(F.col("__cuts")[i] < F.col("__v"), 1).otherwise(0) for i in range(_CUTS - 1)])
     cells = salted.join(right, cond).select(*keys, "__v", "__n", cut_of.alias("__cut"))
 
     per_cut = cells.groupBy(*keys, "__cut").agg(F.sum("__n").alias("__cn"))

@@ -44,7 +44,6 @@ DEPENDENCIES: dict[str, tuple[str, ...]] = {
     "urine_output_rate": ("urine_output", "weight_durations"),
     "kdigo_uo": ("urine_output", "weight_durations"),
     "charlson": ("age",),
-    "vasoactive_agent": (*_VASO, "phenylephrine", "vasopressin", "milrinone"),
     "norepinephrine_equivalent_dose": ("vasoactive_agent",),
     "ventilation": ("ventilator_setting", "oxygen_delivery"),
     "first_day_bg": ("bg",),
