@@ -33,6 +33,11 @@ def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op4_pack(spark: SparkSession, folder: str) -> DataFrame:
+    from .packing import pack
+    return pack(read(spark, folder, "documents").select("doc_id", "text"))
+
+
 AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 OP9_SQL = rf"""
@@ -51,5 +56,5 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN places USING (r) LEFT JOIN names USING (r)
 """
 
-QUERIES: dict[str, Build] = {f.__name__: prepared(f) for f in (op9_decontaminate,)}
+QUERIES: dict[str, Build] = {f.__name__: prepared(f) for f in (op4_pack, op9_decontaminate)}
 SQL: dict[str, str] = {"op9_decontaminate": OP9_SQL}
