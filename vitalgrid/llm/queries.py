@@ -33,6 +33,11 @@ def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op1_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    from .jaccard import near_duplicates
+    return near_duplicates(read(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op2_language(spark: SparkSession, folder: str) -> DataFrame:
     from .language import identify, third
     return identify(read(spark, folder, "documents"), third())
@@ -61,5 +66,5 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN places USING (r) LEFT JOIN names USING (r)
 """
 
-QUERIES: dict[str, Build] = {f.__name__: prepared(f) for f in (op2_language, op4_pack, op9_decontaminate)}
+QUERIES: dict[str, Build] = {f.__name__: prepared(f) for f in (op1_jaccard, op2_language, op4_pack, op9_decontaminate)}
 SQL: dict[str, str] = {"op9_decontaminate": OP9_SQL}
