@@ -26,6 +26,18 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from .toxicity import fifth, score_toxicity
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    found = score_toxicity(docs, read(spark, folder, "labels").where(~fifth()))
+    return found.select("doc_id", fifth().alias("held_out"), "score", "predicted", "neighbours")
+
+
+def op8_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    from .neighbours import search
+    return search(read(spark, folder, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     from .decontaminate import find_contamination
     docs = read(spark, folder, "documents").select("doc_id", "text")
@@ -43,6 +55,11 @@ def op2_language(spark: SparkSession, folder: str) -> DataFrame:
     return identify(read(spark, folder, "documents"), third())
 
 
+def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    from .secrets import find_secrets
+    return find_secrets(read(spark, folder, "documents").select("doc_id", "text")).drop("text")
+
+
 def op4_pack(spark: SparkSession, folder: str) -> DataFrame:
     from .packing import pack
     return pack(read(spark, folder, "documents").select("doc_id", "text"))
@@ -66,5 +83,5 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN places USING (r) LEFT JOIN names USING (r)
 """
 
-QUERIES: dict[str, Build] = {f.__name__: prepared(f) for f in (op1_jaccard, op2_language, op4_pack, op9_decontaminate)}
+QUERIES: dict[str, Build] = {f.__name__: prepared(f) for f in (op1_jaccard, op2_language, op3_secrets, op4_pack, op5_toxicity, op8_neighbours, op9_decontaminate)}
 SQL: dict[str, str] = {"op9_decontaminate": OP9_SQL}
