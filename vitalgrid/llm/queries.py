@@ -56,7 +56,7 @@ def op2_language(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
-    from .secrets import find_secrets
+    from .secret_scan import find_secrets
     return find_secrets(read(spark, folder, "documents").select("doc_id", "text")).drop("text")
 
 
@@ -65,6 +65,11 @@ def op4_pack(spark: SparkSession, folder: str) -> DataFrame:
     return pack(read(spark, folder, "documents").select("doc_id", "text"))
 
 
+def op10_hidden_markov(spark: SparkSession, folder: str) -> DataFrame:
+    from .hidden_markov import fifth_one, score_texts
+    return score_texts(read(spark, folder, "documents").select("doc_id", "text"), fifth_one())
+
+
 AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 OP9_SQL = rf"""
@@ -83,5 +88,5 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN places USING (r) LEFT JOIN names USING (r)
 """
 
-QUERIES: dict[str, Build] = {f.__name__: prepared(f) for f in (op1_jaccard, op2_language, op3_secrets, op4_pack, op5_toxicity, op8_neighbours, op9_decontaminate)}
+QUERIES: dict[str, Build] = {f.__name__: prepared(f) for f in (op1_jaccard, op2_language, op3_secrets, op4_pack, op5_toxicity, op8_neighbours, op9_decontaminate, op10_hidden_markov)}
 SQL: dict[str, str] = {"op9_decontaminate": OP9_SQL}
