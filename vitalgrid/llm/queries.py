@@ -33,6 +33,20 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", fifth().alias("held_out"), "score", "predicted", "neighbours")
 
 
+def op6_resample(spark: SparkSession, folder: str) -> DataFrame:
+    from .resampling import resample
+    good = read(spark, folder, "labels").where("quality = 1")
+    return resample(read(spark, folder, "documents").select("doc_id", "text"), good)
+
+
+def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    from .separators import count_tokens, token_streams
+    end = 49407
+    blocks, order = token_streams(read(spark, folder, "documents").select("doc_id", "text"), end)
+    counts = count_tokens(blocks, end, aligned=True)
+    return counts.join(order, ["stream", "place"]).select(F.col("id").alias("doc_id"), "stream", "place", "n_tokens", "closed")
+
+
 def op8_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     from .neighbours import search
     return search(read(spark, folder, "embeddings"), F.col("id") % 20 == 0)
@@ -88,5 +102,5 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN places USING (r) LEFT JOIN names USING (r)
 """
 
-QUERIES: dict[str, Build] = {f.__name__: prepared(f) for f in (op1_jaccard, op2_language, op3_secrets, op4_pack, op5_toxicity, op8_neighbours, op9_decontaminate, op10_hidden_markov)}
+QUERIES: dict[str, Build] = {f.__name__: prepared(f) for f in (op1_jaccard, op2_language, op3_secrets, op4_pack, op5_toxicity, op6_resample, op7_token_counts, op8_neighbours, op9_decontaminate, op10_hidden_markov)}
 SQL: dict[str, str] = {"op9_decontaminate": OP9_SQL}
