@@ -1,13 +1,73 @@
-"""A cleaning pipeline over `documents`."""
+"""From raw documents to packed token sequences.
+
+Toxic documents go, one document of each near-duplicate class stays, documents with benchmark passages go, secrets
+are overwritten in place, and what is left is packed. Every stage but the last returns the columns of `documents`.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from vitalgrid.llm.decontaminate import contamination_rows
+from vitalgrid.llm.jaccard import one_of_each
+from vitalgrid.llm.packing import pack
+from vitalgrid.llm.secret_scan import redacted
+from vitalgrid.llm.toxicity import fifth, toxicity_rows
+from vitalgrid.llm.work import shared_folder, ship, unpacked
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the nearest labelled examples call toxic go."""
+    ship(spark)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~fifth())
+    return unpacked(toxicity_rows(docs, labels).where("predicted = 0"))
+
+
+def one_per_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates stays."""
+    ship(spark)
+    return one_of_each(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    ship(spark)
+    return unpacked(contamination_rows(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("NOT contaminated"))
+
+
+def overwrite_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets give way to a mark; every document stays."""
+    ship(spark)
+    return redacted(docs)
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the tokenised documents with their places in sequences."""
+    ship(spark)
+    return pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", one_per_class),
+    ("decontamination", drop_contaminated),
+    ("secrets", overwrite_secrets),
+    ("packing", packed_sequences),
+]
+
+# tokenisation and learned scores have no counterpart in SQL
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over `documents`; each result is written and read again before the next stage."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for number, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if number + 1 < len(STAGES):
+            docs.write.parquet(f"{folder}/{name}")
+            docs = spark.read.parquet(f"{folder}/{name}")
     return docs

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .words import SPACED, Words, field, mixed, ranges, small_batches, windows
-from .work import dealt, hash_bitmap, in_bitmap, stored, tasks_of
+from .work import ROW, dealt, hash_bitmap, in_bitmap, row_schema, rows_of, stored, tasks_of, unpacked
 
 SHINGLE, PERCENT = 5, 75
 LEAST_FREQUENT, MOST_FREQUENT = 32, 1 << 22
@@ -127,7 +127,7 @@ def _sets(id_col: str, text_col: str, width: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, text_col):
             values, bounds = shingle_sets(field(batch, text_col), width)
-            yield pa.record_batch([field(batch, id_col), pa.array(fingerprints(values, bounds).view(np.int64)), pa.array(np.diff(bounds))], ["id", "node", "n"])
+            yield pa.record_batch([field(batch, id_col), field(batch, "key"), pa.array(fingerprints(values, bounds).view(np.int64)), pa.array(np.diff(bounds))], ["id", "key", "node", "n"])
     return run
 
 
@@ -448,9 +448,9 @@ class Join:
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> None:
         self.spark, self.width, self.percent = docs.sparkSession, width, percent
-        self.texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+        self.texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("key"))
         self.kind = docs.schema[id_col].dataType.simpleString()
-        self.sets = stored(self.texts.mapInArrow(_sets("id", "text", width), f"id {self.kind}, node long, n long"))
+        self.sets = stored(self.texts.mapInArrow(_sets("id", "text", width), f"id {self.kind}, key long, node long, n long"))
         self.nodes = self.sets.where("n > 0").groupBy("node").agg(F.min("id").alias("id"))
 
     def candidates(self) -> tuple[DataFrame, DataFrame]:
@@ -488,8 +488,8 @@ class Join:
         ordered = done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         return stored(pairs.join(ordered, ["a", "b"], "left_anti"))
 
-    def classes(self) -> DataFrame:
-        """Per document: the id, n_shingles, component_id."""
+    def roots(self) -> DataFrame:
+        """(node, root) of the sets that link with another."""
         pairs, large = self.candidates()
         links = self.verified(pairs)
         roots = components(links)
@@ -498,12 +498,49 @@ class Join:
             extra = self.verified(more)
             if not extra.isEmpty():
                 roots = components(links.union(extra))
-        named = self.nodes.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
+        return roots
+
+    def classes(self) -> DataFrame:
+        """Per document: the id, n_shingles, component_id."""
+        named = self.nodes.join(self.roots(), "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
         least = named.groupBy("root").agg(F.min("id").alias("component_id"))
         named = named.join(least, "root").select("node", "component_id")
         return self.sets.join(named, "node", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
+    def surplus(self) -> tuple[DataFrame, DataFrame]:
+        """Keys of rows to leave out, and keys of rows that stay once though they occur more than once."""
+        rows = self.sets.where("n > 0").join(self.roots(), "node", "left").select(F.coalesce("root", "node").alias("root"), F.struct(F.col("id").isNull().alias("no_id"), "id", "key").alias("row"))
+        rows = stored(rows.groupBy("root", "row").agg(F.count("*").alias("m")))
+        first = rows.groupBy("root").agg(F.min("row").alias("first"))
+        rows = rows.join(first, "root").select("row.key", (F.col("row") == F.col("first")).alias("stays"), "m")
+        return rows.where("NOT stays").select("key"), rows.where("stays AND m > 1").select("key")
+
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per document: the id, n_shingles and component_id, the smallest id reachable by links of at least `percent` % Jaccard."""
     return Join(docs, id_col, text_col, width, percent).classes().withColumnRenamed("id", id_col)
+
+
+def _marked(bitmap, wanted: bool) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(bitmap.value, batch.column(batch.schema.get_field_index("key_hash")).to_numpy().view(np.uint64)) == wanted))
+    return run
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The documents with one row of each link class: that of the smallest id, a null id last.
+
+    Rows with an empty set all stay. Rows that certainly stay are passed on where they are read; the others, told by
+    a bitmap of fixed size, are joined with the keys to leave out.
+    """
+    out, once = Join(docs, id_col, text_col, width, percent).surplus()
+    out, once = stored(out.select("key").distinct()), stored(once.select("key").distinct())
+    bitmap = hash_bitmap(out.union(once).select(F.xxhash64("key").alias("h")), "h")
+    rows = rows_of(docs).withColumn("key", F.xxhash64(F.col(f"{ROW}.`{id_col}`"), F.col(f"{ROW}.`{text_col}`"))).withColumn("key_hash", F.xxhash64("key"))
+    schema = row_schema(rows.select(ROW), "key long, key_hash long")
+    sure = rows.mapInArrow(_marked(bitmap, False), schema)
+    unsure = rows.mapInArrow(_marked(bitmap, True), schema).join(out, "key", "left_anti").select(ROW, "key", "key_hash")
+    single = unsure.join(once, "key", "left_anti").select(ROW)
+    repeated = unsure.join(once, "key", "left_semi").dropDuplicates(["key"]).select(ROW)
+    return unpacked(sure.select(ROW).union(single).union(repeated))
