@@ -17,12 +17,13 @@ A partner of at least 3/4 the size leaves e = n/4 (probing prefix), one at least
 prefix); a pair is a candidate only if the smaller set's signature lies in its indexing prefix.
 
 Hot signatures. Up to SMALL_BUCKET sets with one signature are paired directly. In a larger bucket each set is
-paired with one leader; true links unite most of the bucket. Only where sets of different components then
+paired with LEADERS leaders of about its size; true links unite most of the bucket. Only where sets of different components then
 meet in a bucket are all their candidates verified, the members outside the bucket's largest component against
 all. Two sets that share a signature are thus either verified or already connected, so no link class is lost and
 no bucket is expanded into all pairs.
 
-Verification fetches the texts of the candidates once and compares the whole sets.
+Verification compares whole sets. Pairs are gathered in the cells of a grid of node hashes, so that a pair found
+in many buckets is verified once and a text goes once to each cell that needs it; no pair is ever a row.
 
 Traffic is packed: sorted hashes as 16-bit differences, one row per (task, slice of the hash space).
 
@@ -32,6 +33,7 @@ id takes part but never names a component unless all of them are null. Repeated
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -45,7 +47,8 @@ from .work import ROW, dealt, hash_bitmap, in_bitmap, row_schema, rows_of, store
 
 SHINGLE, PERCENT = 5, 75
 LEAST_FREQUENT, MOST_FREQUENT = 32, 1 << 22
-SMALL_BUCKET = 8
+SMALL_BUCKET, LEADERS = 8, 4
+CELL_NODES, CELL_PAIRS, BLOCK = 20_000, 50_000, 1024
 CHUNK = 2_000_000
 LOW_BITS = 24
 ONE = np.uint64(1)
@@ -336,20 +339,44 @@ def _entries(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return low, np.frombuffer(data, np.uint8)[at:at + 8 * len(low)].copy().view(np.uint64), np.frombuffer(data, np.uint8)[at + 8 * len(low):].copy().view(np.uint32)
 
 
-def _buckets(percent: int, out_parts: int) -> Callable:
+def cells_of(both: np.ndarray, grid: int) -> np.ndarray:
+    """Cell of each pair in a grid of node hashes."""
+    row, column = (mixed(both[:, i] ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(grid) for i in (0, 1))
+    return (row * np.uint64(grid) + column).astype(np.int64)
+
+
+class _Pairs:
+    """Distinct pairs, sorted in each pair, gathered for their cells; memory is bounded by CHUNK pairs."""
+
+    def __init__(self, grid: int) -> None:
+        self.grid, self.held, self.size = grid, [], 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        if len(a):
+            self.held.append(np.sort(np.stack((a, b), axis=1), axis=1))
+            self.size += len(a)
+            if self.size > CHUNK:
+                self.held = [np.unique(np.concatenate(self.held), axis=0)]
+                self.size = len(self.held[0])
+
+    def rows(self) -> list[tuple[int, bytes]]:
+        if not self.held:
+            return []
+        both = np.unique(np.concatenate(self.held), axis=0)
+        self.held, self.size = [], 0
+        cell = cells_of(both, self.grid)
+        order = np.argsort(cell, kind="stable")
+        return [(c, both[order[a:b]].tobytes()) for c, a, b in _slices(cell[order])]
+
+
+def _buckets(percent: int, grid: int) -> Callable:
     """Candidate pairs of small buckets, leader pairs of large ones, and the distinct large buckets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs: list[np.ndarray] = []
-        known: set[int] = set()
+        pairs, known = _Pairs(grid), set()
 
         def out() -> pa.RecordBatch:
-            both = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.uint64)
-            pairs.clear()
-            part = (both[:, 0] % np.uint64(out_parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            rows = [(0, p, both[order[a:b]].tobytes(), 0) for p, a, b in _slices(part[order])]
-            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.int64()), strict=True)] if rows else
-                                   [pa.array([], t) for t in (pa.int32(), pa.int32(), pa.binary(), pa.int64())], ["kind", "part", "data", "bucket"])
+            rows = pairs.rows()
+            return pa.record_batch([pa.array([0] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["kind", "name", "data"])
         for part, data in _by_part(batches):
             low, node, n = (np.concatenate(x) for x in zip(*map(_entries, data), strict=True))
             flag, n = (n & np.uint32(1)).astype(bool), (n >> np.uint32(1)).astype(np.int64)
@@ -364,40 +391,31 @@ def _buckets(percent: int, out_parts: int) -> Callable:
             for d in range(1, SMALL_BUCKET):
                 x = np.flatnonzero(small[:-d] & (run_first[:-d] == run_first[d:]) & flag[:-d]) if len(low) > d else np.zeros(0, np.int64)
                 x = x[100 * n[x] >= percent * n[x + d]]
-                if len(x):
-                    pairs.append(np.sort(np.stack((node[x], node[x + d]), axis=1), axis=1))
+                pairs.add(node[x], node[x + d])
             for first, m in zip(edge[size > SMALL_BUCKET].tolist(), size[size > SMALL_BUCKET].tolist(), strict=True):
                 own, sizes, flags = node[first:first + m], n[first:first + m], flag[first:first + m]
                 if not flags.any():
                     continue
-                # leaders: the least hash among sets of about one size; the others of that size go with it
+                # leaders: the least hashes among sets of about one size; the others of that size go with them
                 group = (np.log2(sizes) * 5).astype(np.int64)
                 for g in np.unique(group):
                     at = np.flatnonzero(group == g)
-                    lead = at[np.argmin(mixed(own[at]))]
-                    near = np.flatnonzero((group >= g) & (group <= g + 1) & (own != own[lead]))
-                    near = near[(100 * np.minimum(sizes[near], sizes[lead]) >= percent * np.maximum(sizes[near], sizes[lead]))]
-                    pairs.append(np.sort(np.stack((np.full(len(near), own[lead]), own[near]), axis=1), axis=1))
+                    close = np.flatnonzero((group >= g) & (group <= g + 1))
+                    for lead in at[np.argsort(mixed(own[at]))[:LEADERS]].tolist():
+                        near = close[100 * np.minimum(sizes[close], sizes[lead]) >= percent * np.maximum(sizes[close], sizes[lead])]
+                        near = near[near != lead]
+                        pairs.add(np.full(len(near), own[lead]), own[near])
                 name = int(mixed(np.array([np.sum(mixed(own ^ flags.astype(np.uint64)), dtype=np.uint64)]))[0] >> ONE)
                 if name not in known:
                     known.add(name)
-                    yield pa.record_batch([pa.array([1], pa.int32()), pa.array([0], pa.int32()), pa.array([own.tobytes() + (sizes.astype(np.uint32) << np.uint32(1) | flags).astype(np.uint32).tobytes()], pa.binary()),
-                                           pa.array([name], pa.int64())], ["kind", "part", "data", "bucket"])
-            if sum(map(len, pairs)) > CHUNK:
-                pairs[:] = [np.unique(np.concatenate(pairs), axis=0)]
-                if len(pairs[0]) > CHUNK // 2:
-                    yield out()
-        if pairs:
-            yield out()
+                    yield pa.record_batch([pa.array([1], pa.int32()), pa.array([name], pa.int64()), pa.array([own.tobytes() + (sizes.astype(np.uint32) << np.uint32(1) | flags).astype(np.uint32).tobytes()], pa.binary())],
+                                          ["kind", "name", "data"])
+            if pairs.size > CHUNK // 2:
+                yield out()
+        yield out()
     return run
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, data in _by_part(batches):
-        both = np.unique(np.concatenate([np.frombuffer(d, np.uint64).reshape(-1, 2) for d in data]), axis=0).view(np.int64)
-        yield pa.record_batch([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
-
-
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -407,6 +425,55 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                   ["bucket", "node", "n", "flag"])
 
 
+def _open_pairs(percent: int, grid: int) -> Callable:
+    """Pairs of different components in blocks of buckets; rows sorted by (bucket, i, j): node, n, flag, root, minor."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, held, current = _Pairs(grid), [], None
+
+        def done() -> None:
+            node, n, flag, root, minor = (np.concatenate(x) for x in zip(*held, strict=True))
+            node = node.view(np.uint64)
+            rest = np.arange(len(node))
+            for i in np.flatnonzero(minor):
+                other = rest[(root != root[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))]
+                smaller = (n[other] < n[i]) | ((n[other] == n[i]) & (node[other] < node[i]))
+                other = other[np.where(smaller, flag[other], flag[i])]
+                pairs.add(np.full(len(other), node[i]), node[other])
+        for batch in batches:
+            keys = np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1)
+            edge = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1)))) if len(keys) else []
+            columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3, 8)]
+            for a, b in zip(edge, [*edge[1:], len(keys)], strict=True):
+                key = tuple(keys[a].tolist())
+                if key != current and held:
+                    done()
+                    held = []
+                current = key
+                held.append([c[a:b] for c in columns])
+            if pairs.size > CHUNK // 2:
+                rows = pairs.rows()
+                yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["cell", "data"])
+        if held:
+            done()
+        rows = pairs.rows()
+        yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["cell", "data"])
+    return run
+
+
+def _distinct_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All pairs of a cell as one row."""
+    for cell, data in _by_part(batches):
+        both = np.unique(np.concatenate([np.frombuffer(d, np.uint64).reshape(-1, 2) for d in data]), axis=0)
+        yield pa.record_batch([pa.array([cell], pa.int64()), pa.array([both.tobytes()], pa.binary())], ["cell", "data"])
+
+
+def _cell_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for cell, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            nodes = np.unique(np.frombuffer(data, np.int64))
+            yield pa.record_batch([pa.array(np.full(len(nodes), cell, np.int64)), pa.array(nodes)], ["cell", "node"])
+
+
 # ---- verification
 
 def _wanted(text_col: str, width: int, bitmap) -> Callable:
@@ -425,24 +492,42 @@ def _wanted(text_col: str, width: int, bitmap) -> Callable:
 
 
 def _linked(width: int, percent: int) -> Callable:
+    """Links of each cell; its texts (kind 0) come before its pairs (kind 1)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
+        current, sets = None, {}
         for whole in batches:
-            for batch in small_batches(iter([whole]), "text_b"):
-                a, b = field(batch, "a"), field(batch, "b")
-                values, bounds = shingle_sets(field(batch, "text_b"), width)
-                texts, same = field(batch, "text_a"), []
-                for i, node in enumerate(a.to_pylist()):
-                    if node != kept[0]:
-                        kept = node, shingle_sets(texts.slice(i, 1), width)[0]
-                    other = values[bounds[i]:bounds[i + 1]]
-                    common = len(np.intersect1d(kept[1], other, assume_unique=True))
-                    same.append(100 * common >= percent * (len(kept[1]) + len(other) - common))
-                keep = pa.array(same, pa.bool_())
-                yield pa.record_batch([a.filter(keep), b.filter(keep)], ["a", "b"])
+            for batch in small_batches(iter([whole]), "text"):
+                cells, kinds, nodes, data = (field(batch, c) for c in ("cell", "kind", "node", "data"))
+                values, bounds = shingle_sets(field(batch, "text"), width)
+                for i, (cell, kind) in enumerate(zip(cells.to_pylist(), kinds.to_pylist(), strict=True)):
+                    if cell != current:
+                        current, sets = cell, {}
+                    if kind == 0:
+                        sets[nodes[i].as_py()] = values[bounds[i]:bounds[i + 1]].copy()
+                        continue
+                    both = np.frombuffer(data[i].as_py(), np.int64).reshape(-1, 2)
+                    edge = np.flatnonzero(np.concatenate(([True], both[1:, 0] != both[:-1, 0])))
+                    links = []
+                    for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(both)], strict=True):
+                        for start in range(a, b, 256):
+                            links.append(_matches(sets, both[start:min(b, start + 256)], percent))
+                    found = np.concatenate(links)
+                    yield pa.record_batch([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["a", "b"])
     return run
 
 
+def _matches(sets: dict[int, np.ndarray], both: np.ndarray, percent: int) -> np.ndarray:
+    """The pairs of one left node that link."""
+    one = sets[int(both[0, 0])]
+    others = [sets[int(b)] for b in both[:, 1]]
+    sizes = np.array([len(o) for o in others])
+    values = np.concatenate(others)
+    at = np.searchsorted(one, values)
+    same = one[np.minimum(at, len(one) - 1)] == values
+    common = np.add.reduceat(same, np.cumsum(sizes) - sizes)
+    return both[100 * common >= percent * (len(one) + sizes - common)]
+
+
 class Join:
     """The state of one self-join: the sets of all documents and the links found so far."""
 
@@ -454,47 +539,60 @@ class Join:
         self.nodes = self.sets.where("n > 0").groupBy("node").agg(F.min("id").alias("id"))
 
     def candidates(self) -> tuple[DataFrame, DataFrame]:
-        """Pairs (a, b) to verify, and the large buckets (bucket, node, n, flag)."""
+        """Pairs to verify (cell, data), and the large buckets (bucket, node, n, flag)."""
         frequent = frequent_shingles(self.texts, "text", self.width)
         floor = frequency_floor(frequent)
         often = hash_bitmap(frequent.where(F.col("n") > floor), "hash")
         very_often = hash_bitmap(frequent.where(F.col("n") > 32 * floor), "hash")
-        tasks = tasks_of(self.spark)
-        bits = part_bits(tasks)
+        bits = part_bits(tasks_of(self.spark))
         entries = self.texts.select("text").mapInArrow(_signatures("text", self.width, self.percent, bits, often, very_often), "part int, data binary")
-        found = stored(dealt(entries).sortWithinPartitions("part").mapInArrow(_buckets(self.percent, 1 << bits), "kind int, part int, data binary, bucket long"))
-        pairs = dealt(found.where("kind = 0").select("part", "data")).sortWithinPartitions("part").mapInArrow(_pairs, "a long, b long")
-        large = found.where("kind = 1").select("bucket", "data").dropDuplicates(["bucket"]).mapInArrow(_members, "bucket long, node long, n long, flag boolean")
-        return stored(pairs), large
+        found = stored(dealt(entries).sortWithinPartitions("part").mapInArrow(_buckets(self.percent, self.grid(self.nodes.count())), "kind int, name long, data binary"))
+        large = found.where("kind = 1").select(F.col("name").alias("bucket"), "data").dropDuplicates(["bucket"]).mapInArrow(_members, "bucket long, node long, n long, flag boolean")
+        return found.where("kind = 0").select(F.col("name").alias("cell"), "data"), large
+
+    def grid(self, nodes: int, pairs: int = 0) -> int:
+        """Side of the grid of cells: some cells a task, and few nodes and pairs in a cell."""
+        return max(4, math.isqrt(4 * tasks_of(self.spark)) + 1, -(-nodes // CELL_NODES), math.isqrt(pairs // CELL_PAIRS) + 1)
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that link."""
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(self.nodes, "node")
+        """The pairs (cell, data) that link, as (a, b). A text goes once to each cell that needs it."""
+        pairs = stored(dealt(pairs, "cell").sortWithinPartitions("cell").mapInArrow(_distinct_pairs, "cell long, data binary"))
+        needs = stored(pairs.mapInArrow(_cell_nodes, "cell long, node long"))
+        wanted = needs.select("node").distinct().join(self.nodes, "node")
         bitmap = hash_bitmap(wanted.select(F.col("node").bitwiseXOR(F.xxhash64("id")).alias("key")), "key")
-        texts = stored(self.texts.select("text", F.xxhash64("id").alias("id_hash")).mapInArrow(_wanted("text", self.width, bitmap), "node long, text string").dropDuplicates(["node"]))
-        a, b = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-        return stored(pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(_linked(self.width, self.percent), "a long, b long"))
-
-    def open_pairs(self, large: DataFrame, roots: DataFrame, done: DataFrame) -> DataFrame:
-        """Candidates of large buckets between different components."""
+        texts = self.texts.select("text", F.xxhash64("id").alias("id_hash")).mapInArrow(_wanted("text", self.width, bitmap), "node long, text string").dropDuplicates(["node"])
+        nothing, no_text = F.lit(None).cast("binary"), F.lit(None).cast("string")
+        routed = needs.join(texts, "node").select("cell", F.lit(0).alias("kind"), "node", "text", nothing.alias("data"))
+        both = routed.union(pairs.select("cell", F.lit(1), F.lit(None).cast("long"), no_text, "data"))
+        return stored(dealt(both, "cell").sortWithinPartitions("cell", "kind").mapInArrow(_linked(self.width, self.percent), "a long, b long"))
+
+    def open_pairs(self, large: DataFrame, roots: DataFrame) -> DataFrame | None:
+        """Candidates (cell, data) of large buckets between different components; None if there are none."""
         members = large.join(roots, "node", "left").select("bucket", "node", "n", "flag", F.coalesce("root", "node").alias("root"))
         counts = members.groupBy("bucket", "root").agg(F.count("*").alias("m"))
-        main = counts.groupBy("bucket").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
-        members = stored(members.join(main, "bucket"))
-        x, y = members.where("root <> main").alias("x"), members.alias("y")
-        smaller = "x.n < y.n OR (x.n = y.n AND x.node < y.node)"
-        fits = F.expr(f"x.root <> y.root AND 100 * least(x.n, y.n) >= {self.percent} * greatest(x.n, y.n) AND IF({smaller}, x.flag, y.flag)")
-        pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & fits).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-        ordered = done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        return stored(pairs.join(ordered, ["a", "b"], "left_anti"))
+        main = counts.groupBy("bucket").agg(F.max(F.struct("m", "root")).alias("main"), F.sum("m").alias("m"), F.count("*").alias("roots")).where("roots > 1")
+        main = stored(main.select("bucket", "main.root", "m", (F.col("m") - F.col("main.m")).alias("minors")).withColumnRenamed("root", "main"))
+        size = main.agg(F.sum(F.col("m") * F.col("minors")), F.sum("m")).first()
+        if size[0] is None:
+            return None
+        grid = self.grid(size[1] // 8, size[0])
+        # a bucket is worked off in blocks of members (i) times blocks of minor members (j)
+        rows = members.join(main, "bucket").withColumn("minor", F.col("root") != F.col("main"))
+        side = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK).cast("int"))
+        block = lambda c: F.pmod(F.xxhash64("node"), side(c)).cast("int")
+        every = rows.select("bucket", block("m").alias("i"), F.explode(F.sequence(F.lit(0), side("minors") - 1)).alias("j"), "node", "n", "flag", "root", F.lit(False).alias("minor"))
+        few = rows.where("minor").select("bucket", F.explode(F.sequence(F.lit(0), side("m") - 1)).alias("i"), block("minors").alias("j"), "node", "n", "flag", "root", F.lit(True).alias("minor"))
+        blocks = every.union(few)
+        blocks = blocks.repartition(tasks_of(self.spark), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+        return blocks.mapInArrow(_open_pairs(self.percent, grid), "cell long, data binary")
 
     def roots(self) -> DataFrame:
         """(node, root) of the sets that link with another."""
         pairs, large = self.candidates()
         links = self.verified(pairs)
         roots = components(links)
-        more = self.open_pairs(large, roots, pairs)
-        if not more.isEmpty():
+        more = self.open_pairs(large, roots)
+        if more is not None:
             extra = self.verified(more)
             if not extra.isEmpty():
                 roots = components(links.union(extra))
