@@ -119,7 +119,9 @@ def _cut(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def _slices(parts: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    edge = np.flatnonzero(np.concatenate(([True], parts[1:] != parts[:-1]))) if len(parts) else np.zeros(0, np.int64)
+    if not len(parts):
+        return
+    edge = np.flatnonzero(np.concatenate(([True], parts[1:] != parts[:-1])))
     for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(parts)], strict=True):
         yield int(parts[a]), a, b
 

@@ -5,10 +5,12 @@ by iterative quantisation; the signs of a rotated vector are its bits, so a code
 as the vector has components. Vectors of unequal length get one more component that makes their lengths equal
 (queries get 0 there), which turns the inner product into an angle.
 
-Index. Every vector is indexed, in shards of about SHARD rows. A shard has one table per byte of the code. A
-code within Hamming distance r of the query differs from it in at most r / bytes bits in one byte at least
-(pigeonhole), so probing each table with the byte values that near retrieves every code within r. These are
-then reranked by the inner product of the original vectors in double precision.
+Index. Every vector is indexed, in shards of about SHARD rows. A shard has one table per byte of the code. With
+r = bytes * s + a, a code within Hamming distance r of the query differs from it in at most s bits in one of the
+first a + 1 bytes, or in at most s - 1 in one of the others (pigeonhole), so probing each table with the byte
+values that near retrieves every code within r. The lists of rows are bitmaps, and those of all values near a
+given one are united when the shard is built, so a query reads one bitmap per table. What lies within r is
+reranked by the inner product of the original vectors in double precision.
 
 Radius. r is the least radius that covers TARGET of the true neighbours of queries among the sample; a larger
 corpus has nearer neighbours, so the sample errs on the safe side. A query that finds fewer than k candidates in
@@ -81,31 +83,36 @@ class Coder:
 
 
 class Shard:
-    """One table per code byte: rows sorted by the byte's value."""
+    """One table per code byte: for each value of the byte, a bitmap of the rows whose byte is near enough to it."""
 
     def __init__(self, coder: Coder, ids: np.ndarray, vectors: np.ndarray) -> None:
         self.coder, self.ids, self.vectors = coder, ids, vectors
-        self.codes = coder.codes(vectors, False)
-        self.order = np.argsort(self.codes, axis=0, kind="stable").astype(np.int32)
-        self.first = np.stack([np.searchsorted(self.codes[self.order[:, j], j], np.arange(257)) for j in range(self.codes.shape[1])]) if len(ids) else np.zeros((coder.bytes, 257), np.int64)
+        codes = coder.codes(vectors, False)
+        self.words = as_words(codes) if coder.bytes else codes
+        least, more = divmod(coder.radius, max(1, coder.bytes))
+        # all bytes further away than allowed would add up to more than the radius
+        self.tables = [self._table(codes[:, j], least if j <= more else least - 1) for j in range(coder.bytes)]
+
+    def _table(self, column: np.ndarray, radius: int) -> np.ndarray:
+        lists = np.zeros((256, -(-len(column) // 8) * 8), bool)
+        lists[column, np.arange(len(column))] = True
+        lists = np.packbits(lists, axis=1)
+        near = np.zeros_like(lists)
+        for step in range(256):
+            if step.bit_count() <= radius:
+                near |= lists[np.arange(256) ^ step]
+        return near
 
     def within(self, code: np.ndarray) -> np.ndarray:
         """Rows whose code is within the radius of the query's."""
-        radius = self.coder.radius
-        each = radius // max(1, len(code))
-        found = np.zeros(len(self.ids), bool)
-        for j, byte in enumerate(code.tolist()):
-            row, first = self.order[:, j], self.first[j]
-            values = np.flatnonzero(DISTANCE[byte] <= each)
-            hit = np.zeros(256, bool)
-            hit[values] = True
-            if hit.sum() > 128:  # most of the table: one pass over it
-                found[row[np.repeat(hit, np.diff(first))]] = True
-            else:
-                for v in values.tolist():
-                    found[row[first[v]:first[v + 1]]] = True
-        rows = np.flatnonzero(found)
-        return rows[DISTANCE[code, self.codes[rows]].sum(axis=1, dtype=np.int64) <= radius]
+        if not len(code) or not len(self.ids):
+            return np.arange(len(self.ids))
+        found = self.tables[0][code[0]].copy()
+        for table, byte in zip(self.tables[1:], code[1:].tolist(), strict=True):
+            found |= table[byte]
+        rows = np.flatnonzero(np.unpackbits(found))
+        away = np.bitwise_count(self.words[rows] ^ as_words(code[None, :])).sum(axis=1, dtype=np.int64)
+        return rows[away <= self.coder.radius]
 
     def search(self, own: int, vector: np.ndarray, code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         rows = self.within(code)
@@ -120,6 +127,11 @@ class Shard:
         return self.ids[rows[best]], scores[best]
 
 
+def as_words(codes: np.ndarray) -> np.ndarray:
+    """Codes as 64-bit words."""
+    return np.ascontiguousarray(np.pad(codes, ((0, 0), (0, -codes.shape[1] % 8)))).view(np.uint64)
+
+
 def _blob(parts: list[np.ndarray]) -> bytes:
     return b"".join(np.ascontiguousarray(p).tobytes() for p in parts)
 
@@ -217,7 +229,7 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id
     sizes = vectors.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
     dim, total = (sizes[0]["dim"], sizes[0]["count"]) if sizes else (0, 0)
     vectors = vectors.where(F.size("vector") == dim)
-    sample = np.array([r["vector"] for r in vectors.orderBy(F.xxhash64("id", "vector"), "id").limit(SAMPLE).collect()], float).reshape(-1, dim)
+    sample = np.array([r["vector"] for r in vectors.orderBy(F.xxhash64("id", "vector"), "id").limit(SAMPLE).collect()], float).reshape(-1, dim) if dim else np.zeros((0, 0))
     shared = spark.sparkContext.broadcast(Coder(sample, k))
     n_shards, n_queries = max(1, -(-total // SHARD)), vectors.where(is_query).count()
     n_blocks = max(1, -(-n_queries // QUERY_BLOCK))
