@@ -36,6 +36,26 @@ def test_csv_folder(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out" / "outputevents")).count() == 1
 
 
+def test_csv_quotes_and_broken_records(spark, tmp_path):
+    (tmp_path / "hosp").mkdir()
+    path = tmp_path / "hosp" / "labevents.csv"
+    head = "labevent_id,charttime,valuenum,comments,extra\n"
+    path.write_text(head + '1,2024-01-01 05:00:00,1.5,"a ""b, c"" d",x\n2,,,"two\nlines",\n')
+    rows = {r.labevent_id: r for r in io.load_csv_dir(spark, str(tmp_path))["labevents"].collect()}
+    assert len(rows) == 2 and rows[1].comments == 'a "b, c" d' and rows[1].valuenum == 1.5 and rows[1].itemid is None
+    assert rows[2].comments == "two\nlines" and rows[2].valuenum is None and rows[2].charttime is None
+    for bad in ("3,not a time,1,c,x\n", "3,2024-01-01 05:00:00,one,c,x\n", "3,2024-01-01 05:00:00,1,c,x,more\n"):
+        path.write_text(head + "1,2024-01-01 05:00:00,1.5,c,x\n" + bad)
+        with pytest.raises(ValueError, match="1 broken"):
+            io.load_csv_dir(spark, str(tmp_path))
+        assert io.load_csv_dir(spark, str(tmp_path), on_error="null")["labevents"].count() == 2
+    (tmp_path / "hosp" / "unknown_table.csv").write_text("a,b\n1,2\n")
+    path.write_text(head)
+    with pytest.raises(ValueError, match="no schema"):
+        io.load_csv_dir(spark, str(tmp_path))
+    assert io.load_csv_dir(spark, str(tmp_path), on_error="null")["unknown_table"].first().b == "2"
+
+
 def test_coerce_timestamps_keeps_hopeless_columns(spark):
     d = spark.createDataFrame([("2024-01-01 00:00:00", "abc"), ("bad", "def")], "a string, b string")
     out = io.coerce_timestamps(d, ["a", "b"])
@@ -70,7 +90,9 @@ def test_custom_events_from_table(spark):
     src = spark.createDataFrame([(100, T0, "x" * 30), (200, T0, "y")], "stay_id long, at timestamp_ntz, text string")
     out = io.custom_events_from_table(src, {"charttime": "at", "value": "text", "stay_id": "stay_id"}, stays)
     rows = sorted((r.subject_id, r.hadm_id, r.stay_id, r.value, r.valueuom) for r in out.collect())
-    assert rows == [(1, 10, 100, "x" * 20, None), (2, 20, 200, "y", None)]
+    assert rows == [(1, 10, 100, "x" * 30, None), (2, 20, 200, "y", None)]
+    short = io.custom_events_from_table(src, {"charttime": "at", "value": "text", "stay_id": "stay_id"}, stays, cut=20)
+    assert {r.value for r in short.collect()} == {"x" * 20, "y"}
     with pytest.raises(ValueError):
         io.custom_events_from_table(src.drop("stay_id"), {"charttime": "at", "value": "text", "subject_id": "text"}, stays)
 

@@ -53,9 +53,12 @@ _FN: dict[str, Callable] = {"mean": F.avg, "min": F.min, "max": F.max, "sum": F.
 
 
 def aggregate_bins(df: DataFrame, by: Sequence[str], fn: str, value: str = "value") -> DataFrame:
-    """One aggregate per (bin, stay)."""
+    """One aggregate per (bin, stay); NULL for a group without values."""
     if fn == "median":
-        return exact_quantiles(df, by, value, {"aggr": 0.5})
+        middle = exact_quantiles(df, by, value, {"aggr": 0.5})
+        groups = df.select(*by).distinct()
+        same = reduce(lambda x, y: x & y, [groups[b].eqNullSafe(middle[b]) for b in by])
+        return groups.join(middle, same, "left").select(*[groups[b] for b in by], "aggr")
     return df.groupBy(*by).agg(_FN[fn](value).alias("aggr"))
 
 
@@ -107,17 +110,18 @@ def item_preview(events: DataFrame, itemid: int | None, field: str) -> DataFrame
         "itemid", "min", "q25", "median", "mean", "q75", "max")
 
 
-def value_preview(events: DataFrame, itemid: int, field: str, param_type: str | None = None, head: int = 100) -> tuple[str, DataFrame]:
+def value_preview(events: DataFrame, itemid: int, field: str, param_type: str | None = None) -> tuple[str, DataFrame]:
     """What to show for an item: kind, and its distinct texts or its number summary.
 
-    Without a declared type a text field counts as numeric when more than half of its first rows read as numbers.
+    Without a declared type a text field counts as numeric when more than half of its values read as numbers.
     """
     d = events.filter(F.col("itemid") == itemid)
     if param_type == "Checkbox":
         return "checkbox", d.sparkSession.createDataFrame([("1",), ("0",)], "value string")
     numeric = param_type == "Numeric" or not isinstance(events.schema[field].dataType, StringType)
     if not numeric and param_type != "Text":
-        numeric = d.select(field).limit(head).filter(F.col(field).rlike(NUMBER_PATTERN)).count() > head / 2
+        seen = d.agg(F.count_if(F.col(field).rlike(NUMBER_PATTERN)).alias("numbers"), F.count(field).alias("n")).first()
+        numeric = seen["numbers"] > seen["n"] / 2
     if numeric and param_type != "Text":
         return "numeric", item_preview(events, itemid, field)
     return "text", d.select(F.col(field).alias("value")).distinct()
@@ -199,10 +203,10 @@ def top_categories(df: DataFrame, by: Sequence[str], value: str, n: int = 10, ot
     return j.select(*[F.col(f"__{c}").alias(c) for c in by], name.alias(value), "n").groupBy(*by, value).agg(F.sum("n").alias("n"))
 
 
-def top_codes(cohort: DataFrame, dx: DataFrame, d_dx: DataFrame, n: int = 5, max_seq: int = 5) -> DataFrame:
-    """Most frequent of the first diagnoses per stratum."""
+def top_codes(cohort: DataFrame, dx: DataFrame, d_dx: DataFrame, n: int = 5, max_seq: int | None = None) -> DataFrame:
+    """Most frequent diagnoses per stratum; `max_seq` leaves out those further down an admission's list."""
     who = cohort.select("subject_id", "hadm_id", "strat").distinct()
-    d = dx.filter(F.col("seq_num") <= max_seq).join(who, ["subject_id", "hadm_id"]).join(d_dx, ["icd_version", "icd_code"])
+    d = (dx if max_seq is None else dx.filter(F.col("seq_num") <= max_seq)).join(who, ["subject_id", "hadm_id"]).join(d_dx, ["icd_version", "icd_code"])
     counts = d.groupBy("icd_code", "icd_version", "long_title", "strat").agg(F.count(F.lit(1)).alias("n"))
     return top_k(counts, ["strat"], n, [Order("n", desc=True), Order("icd_code"), Order("icd_version")])
 

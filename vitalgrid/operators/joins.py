@@ -76,7 +76,7 @@ def asof_join(left: DataFrame, right: DataFrame, key: Sequence[str], ts: str, to
 
     `cols` maps output names to right columns. Right rows must be unique per (key, time). Both sides are
     laid on one time line per (key, span of 8*tol) and the last right row is carried forward; right rows
-    near the end of a span also enter the next span, so no match is lost.
+    near the end of a span also enter the next span, so no match is lost. A NULL key matches nothing.
     """
     rts = right_ts or ts
     span = 8 * tol
@@ -85,7 +85,7 @@ def asof_join(left: DataFrame, right: DataFrame, key: Sequence[str], ts: str, to
     pos = micros(rts)
     home = F.floor(pos / F.lit(span)).cast("long")
     reach = pos + F.lit(tol) >= (home + 1) * F.lit(span)
-    r = right.select(
+    r = right.filter(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key])).select(
         *key, pos.alias("__pos"), F.lit(0).alias("__side"), payload_type.alias("__payload"),
         F.explode(F.when(reach, F.array(home, home + 1)).otherwise(F.array(home))).alias("__span"),
     )

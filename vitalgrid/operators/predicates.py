@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import DataType, DateType, StringType, TimestampNTZType, TimestampType
 
 from ..functions.scalars import guarded_number, like_contains, shift, upper_trim
 from ..sources.schemas import EVENTS, EventSpec
@@ -52,13 +52,16 @@ class Condition:
 
 
 def compare(c: Column, op: str, value) -> Column:
-    v = F.lit(value)
+    v = value if isinstance(value, Column) else F.lit(value)
     return {"=": c == v, "<>": c != v, "<": c < v, ">": c > v, "<=": c <= v, ">=": c >= v}[op]
 
 
-def row_test(cond: Condition, is_text: bool) -> tuple[Column | None, Column | None]:
-    """(test on the row, number to aggregate and compare); exactly one may be None."""
-    f = F.col(cond.field)
+TIMES = (TimestampType, TimestampNTZType, DateType)
+
+
+def row_test(cond: Condition, kind: DataType) -> tuple[Column | None, Column | None]:
+    """(test on the row, number or time to aggregate and compare); exactly one may be None."""
+    f, is_text = F.col(cond.field), isinstance(kind, StringType)
     c = cond.constraint
     if c == "Exist":
         return F.lit(True), None
@@ -75,11 +78,20 @@ def row_test(cond: Condition, is_text: bool) -> tuple[Column | None, Column | No
             return f == ("1" if c == "Is True" else "0"), None
         return None, guarded_number(f)
     if c in TEXT_TESTS:
-        raise ValueError(f"{c} needs a text field, {cond.field} is numeric")
+        raise ValueError(f"{c} needs a text field, {cond.field} is none")
+    if isinstance(kind, TIMES):
+        if c in ("Is True", "Is False"):
+            raise ValueError(f"{c} needs a number or text, {cond.field} is a time")
+        if cond.agg not in (None, "min", "max"):
+            raise ValueError(f"{cond.agg} of a time is not defined")
+        return None, f.cast("timestamp_ntz")
     return None, f.cast("double")
 
 
-def number_test(cond: Condition, number: Column) -> Column:
+def number_test(cond: Condition, number: Column, kind: DataType) -> Column:
+    """The comparison; times compare with a datetime, a date or ISO text."""
+    if isinstance(kind, TIMES):
+        return compare(number, cond.constraint, F.lit(str(cond.value)).cast("timestamp_ntz"))
     if cond.constraint in ("Is True", "Is False"):
         return number == F.lit(1.0 if cond.constraint == "Is True" else 0.0)
     return compare(number, cond.constraint, float(cond.value))
@@ -116,13 +128,13 @@ def match_events(events: DataFrame, stays: DataFrame, times: DataFrame | None, c
     without one.
     """
     spec = cond.check()
-    is_text = isinstance(events.schema[cond.field].dataType, StringType)
-    test, number = row_test(cond, is_text)
+    kind = events.schema[cond.field].dataType
+    test, number = row_test(cond, kind)
     d = events.filter(F.col("itemid") == cond.itemid)
     if test is not None:
         d = d.filter(test)
     elif cond.agg is None:
-        d = d.filter(number_test(cond, number))
+        d = d.filter(number_test(cond, number, kind))
     carried = [F.col(spec.time).alias("__ts")] + ([number.alias("__num")] if number is not None else [])
     if spec.scope == "icu":
         d = d.select(*KEYS, *carried)
@@ -146,7 +158,7 @@ def match_events(events: DataFrame, stays: DataFrame, times: DataFrame | None, c
     else:
         fn = {"min": F.min, "max": F.max, "mean": F.avg, "sum": F.sum}[cond.agg]
         per_stay = d.groupBy(*KEYS).agg(fn("__num").alias("__agg"))
-    return per_stay.filter(number_test(cond, F.col("__agg"))).select(*KEYS)
+    return per_stay.filter(number_test(cond, F.col("__agg"), kind)).select(*KEYS)
 
 
 def clean(series: DataFrame, drop_stays: list[int], lo: float, hi: float) -> DataFrame:
@@ -159,11 +171,13 @@ def admissions_with_stay(adm: DataFrame, stays: DataFrame) -> DataFrame:
     return adm.join(stays.select("hadm_id").distinct(), "hadm_id", "left_semi")
 
 
-def search_names(catalogue: DataFrame, name: str, text: str, n: int = 100) -> DataFrame:
-    """First n entries whose name holds the text in any case, in name order."""
-    return catalogue.filter(F.lower(F.col(name)).contains(text.lower())).orderBy(name).limit(n)
+def search_names(catalogue: DataFrame, name: str, text: str, n: int | None = None) -> DataFrame:
+    """Entries whose name holds the text in any case; with n, the first n in the order of name, then of all columns."""
+    found = catalogue.filter(F.lower(F.col(name)).contains(text.lower()))
+    return found if n is None else found.orderBy(name, *[c for c in catalogue.columns if c != name]).limit(n)
 
 
-def search_ids(df: DataFrame, col: str, prefix: str, n: int = 100) -> DataFrame:
-    """First n rows whose id starts with the digits."""
-    return df.filter(F.col(col).cast("string").startswith(prefix)).orderBy(col).limit(n)
+def search_ids(df: DataFrame, col: str, prefix: str, n: int | None = None) -> DataFrame:
+    """Rows whose id starts with the digits; with n, the first n in the order of id, then of all columns."""
+    found = df.filter(F.col(col).cast("string").startswith(prefix))
+    return found if n is None else found.orderBy(col, *[c for c in df.columns if c != col]).limit(n)

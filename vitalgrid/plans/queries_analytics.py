@@ -20,7 +20,7 @@ def _base(cat):
 
 _HOURS = "v_icustay_hourly h ON h.stay_id = {0}.stay_id AND {1}.charttime BETWEEN h.endtime - INTERVAL 1 HOUR AND h.endtime"
 views().update({
-    "v_an_cohort": "SELECT subject_id, hadm_id, stay_id FROM v_icustays WHERE stay_id % 3 <> 0",
+    "v_an_cohort": "SELECT subject_id, hadm_id, stay_id FROM v_icustays",
     "v_an_series": f"SELECT c.valuenum AS value, c.stay_id, CAST(hr AS INTEGER) AS hr, c.valueuom AS unitname FROM v_chartevents c JOIN {_HOURS.format('c', 'c')} "
                    f"WHERE itemid = {HR} AND c.stay_id IN (SELECT stay_id FROM v_an_cohort)",
     "v_an_bins": "SELECT CASE WHEN hr >= 0 AND hr < 24 THEN '[0,24)' WHEN hr >= 24 AND hr < 48 THEN '[24,48)' WHEN hr >= 48 AND hr <= 72 THEN '[48,72]' END AS interval, stay_id, avg(value) AS aggr "
@@ -34,7 +34,7 @@ views().update({
 
 def series(spark, d):
     cat = catalog(spark, d)
-    cohort = cat.table("icustays").filter(F.col("stay_id") % 3 != 0)
+    cohort = cat.table("icustays")
     return A.cohort_item_series(cat.table("chartevents"), "chartevents", HR, "valuenum", cohort, cat.table("icustays"), cat.concept("icustay_times"))
 
 
@@ -68,7 +68,7 @@ _GUARD = "CASE WHEN regexp_full_match(value, '[+-]?([0-9]*[.])?[0-9]+') THEN CAS
     AND l.charttime >= s.intime - INTERVAL 24 HOUR AND l.charttime < s.outtime + INTERVAL 24 HOUR JOIN {_HOURS.format('s', 'l')} WHERE itemid = 50912 AND s.stay_id IN (SELECT stay_id FROM v_an_cohort)""")
 def item_series_hosp(spark, d):
     cat = catalog(spark, d)
-    cohort = cat.table("icustays").filter(F.col("stay_id") % 3 != 0)
+    cohort = cat.table("icustays")
     return A.cohort_item_series(cat.table("labevents"), "labevents", 50912, "value", cohort, cat.table("icustays"), cat.concept("icustay_times"), force_number=True)
 
 
@@ -77,7 +77,7 @@ def bin_aggregate(spark, d):
     return bins(spark, d)
 
 
-@query("bin_aggregate_median", "SELECT CAST(hr AS VARCHAR) AS interval, stay_id, quantile_cont(value, 0.5) AS aggr FROM v_an_series WHERE hr BETWEEN 0 AND 48 AND value IS NOT NULL GROUP BY ALL", {"aggr": 6})
+@query("bin_aggregate_median", "SELECT CAST(hr AS VARCHAR) AS interval, stay_id, quantile_cont(value, 0.5) AS aggr FROM v_an_series WHERE hr BETWEEN 0 AND 48 GROUP BY ALL", {"aggr": 6})
 def bin_median(spark, d):
     return A.bin_aggregate(series(spark, d), 0, 48, 1, "median", per_hour=True)
 
@@ -141,7 +141,7 @@ def top_cats(spark, d):
     JOIN v_d_icd_diagnoses USING (icd_code, icd_version) WHERE seq_num <= 5 GROUP BY ALL) QUALIFY rank <= 5""")
 def top_codes(spark, d):
     cat = catalog(spark, d)
-    return A.top_codes(strata(spark, d), cat.table("diagnoses_icd"), cat.table("d_icd_diagnoses"))
+    return A.top_codes(strata(spark, d), cat.table("diagnoses_icd"), cat.table("d_icd_diagnoses"), max_seq=5)
 
 
 @query("strata_comparison", """SELECT strat, count(DISTINCT s.stay_id) AS stay_count, count(DISTINCT CASE WHEN gender = 'M' THEN s.subject_id END) AS males, count(DISTINCT CASE WHEN gender = 'F' THEN s.subject_id END) AS females,

@@ -57,6 +57,13 @@ _leaf("filter_hospital_hours", Condition("labevents", 50813, "valuenum", ">", 9,
       "GROUP BY ALL HAVING avg(valuenum) > 9")
 _leaf("filter_icu_scope", Condition("inputevents", 221906, "rate", ">", 0.3), f"SELECT DISTINCT {KEYS} FROM v_inputevents WHERE itemid = 221906 AND rate > 0.3")
 
+_AT = "2024-01-05 06:00:00"
+_DATES = f"SELECT DISTINCT {KEYS} FROM v_datetimeevents WHERE itemid = 224280 AND value {{}} TIMESTAMP '{_AT}'"
+for _name, _op in (("equal", "="), ("not_equal", "<>"), ("before", "<"), ("after", ">"), ("until", "<="), ("from", ">=")):
+    _leaf(f"filter_datetime_{_name}", Condition("datetimeevents", 224280, "value", _op, _AT), _DATES.format(_op))
+_leaf("filter_datetime_last", Condition("datetimeevents", 224280, "value", "<", _AT, "max"),
+      f"SELECT {KEYS} FROM v_datetimeevents WHERE itemid = 224280 GROUP BY ALL HAVING max(value) < TIMESTAMP '{_AT}'")
+
 _COHORT_SQL = f"SELECT DISTINCT {KEYS} FROM v_chartevents WHERE itemid = {HR} AND valuenum >= 150"
 HIGH_HR = Condition("chartevents", HR, "valuenum", ">=", 150)
 LOW_SAT = Condition("chartevents", 220277, "valuenum", "<", 72)
@@ -85,27 +92,26 @@ def filter_custom(spark, d):
     return match(catalog(spark, d), Condition("customevents", 10001, "value", ">=", 50))
 
 
-@query("admissions_with_stay", "SELECT hadm_id, admission_type FROM v_admissions WHERE hadm_id IN (SELECT hadm_id FROM v_icustays WHERE los > 3.6)")
+@query("admissions_with_stay", "SELECT hadm_id, admission_type FROM v_admissions WHERE hadm_id IN (SELECT hadm_id FROM v_icustays)")
 def with_stay(spark, d):
     cat = catalog(spark, d)
-    return P.admissions_with_stay(cat.table("admissions"), cat.table("icustays").filter(F.col("los") > 3.6)).select("hadm_id", "admission_type")
+    return P.admissions_with_stay(cat.table("admissions"), cat.table("icustays")).select("hadm_id", "admission_type")
 
 
 @query("search_catalogue", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'bolt') ORDER BY p_name, p_partkey LIMIT 100")
 def search(spark, d):
     p = read(spark, d, "part").select("p_partkey", "p_name")
-    return p.filter(F.lower("p_name").contains("bolt")).orderBy("p_name", "p_partkey").limit(100)
+    return P.search_names(p, "p_name", "Bolt", 100)
 
 
-@query("search_code_titles", """SELECT icd_code || 'v' || CAST(icd_version AS VARCHAR) || ' - ' || long_title AS name FROM v_d_icd_diagnoses WHERE contains(lower(long_title), 'i') AND contains(icd_code, 'I')
-    ORDER BY name LIMIT 100""")
+@query("search_code_titles", """SELECT icd_code || 'v' || CAST(icd_version AS VARCHAR) || ' - ' || long_title AS name FROM v_d_icd_diagnoses WHERE contains(lower(icd_code || 'v' || CAST(icd_version AS VARCHAR) || ' - ' || long_title), '1v9')""")
 def search_codes(spark, d):
-    dx = catalog(spark, d).table("d_icd_diagnoses").filter(F.col("icd_code").contains("I"))
+    dx = catalog(spark, d).table("d_icd_diagnoses")
     named = dx.select(F.concat("icd_code", F.lit("v"), F.col("icd_version").cast("string"), F.lit(" - "), "long_title").alias("name"))
-    return P.search_names(named, "name", "I")
+    return P.search_names(named, "name", "1V9")
 
 
-@query("search_ids", "SELECT o_orderkey FROM orders WHERE CAST(o_orderkey AS VARCHAR) LIKE '12%' ORDER BY o_orderkey LIMIT 100")
+@query("search_ids", "SELECT o_orderkey FROM orders WHERE CAST(o_orderkey AS VARCHAR) LIKE '12%'")
 def search_ids(spark, d):
     return P.search_ids(read(spark, d, "orders").select("o_orderkey"), "o_orderkey", "12")
 
@@ -169,9 +175,9 @@ def code_any(spark, d):
     return C.icd_filter(dx.select("subject_id", "hadm_id").distinct(), dx, _ALLOW, _DENY)
 
 
-@query("code_filter_any_repeated", f"SELECT subject_id, hadm_id FROM v_hosp_diagnoses WHERE ({_dx(_ALLOW)}) AND seq_num <= 4")
+@query("code_filter_any_repeated", f"SELECT subject_id, hadm_id FROM v_hosp_diagnoses WHERE {_dx(_ALLOW)}")
 def code_repeated(spark, d):
-    dx = admissions(spark, d).diagnoses_icd().filter(F.col("seq_num") <= 4)
+    dx = admissions(spark, d).diagnoses_icd()
     return C.icd_filter(dx.select("subject_id", "hadm_id").distinct(), dx, _ALLOW, duplicates=True)
 
 

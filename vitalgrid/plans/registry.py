@@ -116,4 +116,4 @@ def all_sql() -> dict[str, str]:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from . import queries_analytics, queries_cohort, queries_concepts, queries_events, queries_operators  # noqa: F401
+    from . import queries_analytics, queries_cohort, queries_concepts, queries_events, queries_operators, queries_storage  # noqa: F401

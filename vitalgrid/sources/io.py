@@ -32,12 +32,30 @@ def table_name(path: str) -> str | None:
     return None
 
 
-def read_csv_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A CSV with header: columns are taken by name, absent ones become NULL; padded text is trimmed."""
-    header = spark.read.option("header", True).csv(path).columns
+_BROKEN = "__broken_record"
+
+
+def read_csv_table(spark: SparkSession, path: str, schema: T.StructType, on_error: str = "raise") -> DataFrame:
+    """A CSV with header: columns are taken by name, absent ones become NULL; padded text is trimmed.
+
+    Quotes inside quoted text are doubled, and quoted text may hold line breaks. A record with the wrong number of
+    fields or an unreadable value is broken: `on_error` "raise" counts such records and raises if there are any,
+    "null" keeps what can be read. A file is read by one task (quoted line breaks rule out splitting), so its
+    rows are dealt out right after.
+    """
+    options = {"header": True, "escape": '"', "multiLine": True}
+    reader = spark.read.options(**options)
+    header = reader.csv(path).columns
     known = {f.name.lower(): f for f in schema.fields}
     fields = [T.StructField(h, known[h.lower()].dataType if h.lower() in known else T.StringType()) for h in header]
-    df = spark.read.option("header", True).option("mode", "PERMISSIVE").schema(T.StructType(fields)).csv(path)
+    full = T.StructType([*fields, T.StructField(_BROKEN, T.StringType())])
+    df = reader.options(mode="PERMISSIVE", columnNameOfCorruptRecord=_BROKEN, enforceSchema=False).schema(full).csv(path)
+    if on_error == "raise":
+        # a hash of all columns, so that every one of them is parsed
+        broken = df.agg(F.sum(F.when(F.col(_BROKEN).isNotNull(), F.pmod(F.hash(*header), F.lit(1)) + 1))).first()[0]
+        if broken:
+            raise ValueError(f"{broken} broken records in {path}")
+    df = df.drop(_BROKEN).repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     have = {h.lower(): h for h in header}
     cols = []
     for f in schema.fields:
@@ -51,15 +69,23 @@ def read_csv_table(spark: SparkSession, path: str, schema: T.StructType) -> Data
 
 
 def load_csv_dir(spark: SparkSession, folder: str, registry: Mapping[str, T.StructType] | None = None,
-                 modules: Sequence[str] = ("hosp", "icu")) -> dict[str, DataFrame]:
-    """Every *.csv or *.csv.gz below the module folders, read with its registered schema."""
+                 modules: Sequence[str] = ("hosp", "icu"), on_error: str = "raise") -> dict[str, DataFrame]:
+    """Every *.csv or *.csv.gz below the module folders, read with its registered schema.
+
+    A file without a schema is an error unless `on_error` is "null"; then its columns are read as text.
+    """
     registry = registry or SCHEMAS
     out: dict[str, DataFrame] = {}
     for module in modules:
         for path in _list(spark, f"{folder.rstrip('/')}/{module}"):
             name = table_name(path)
             if name and name in registry:
-                out[name] = read_csv_table(spark, path, registry[name])
+                out[name] = read_csv_table(spark, path, registry[name], on_error)
+            elif name and on_error == "raise":
+                raise ValueError(f"no schema for {path}")
+            elif name:
+                header = spark.read.options(header=True, escape='"', multiLine=True).csv(path).columns
+                out[name] = read_csv_table(spark, path, T.StructType([T.StructField(h, T.StringType()) for h in header]), on_error)
     return out
 
 
@@ -143,11 +169,12 @@ def import_custom_events(spark: SparkSession, root: str, df: DataFrame, label: s
     return itemid
 
 
-def custom_events_from_table(df: DataFrame, bind: Mapping[str, str], stays: DataFrame | None = None) -> DataFrame:
+def custom_events_from_table(df: DataFrame, bind: Mapping[str, str], stays: DataFrame | None = None, cut: int | None = None) -> DataFrame:
     """Bind a table's columns to the event columns.
 
     `bind` maps event columns to table columns. Unbound subject or admission is filled from the stays by the
-    key columns both tables share; unbound stay and unit become NULL; the value is cut to 20 characters.
+    key columns both tables share; unbound stay and unit become NULL. The value is kept whole unless
+    `cut` gives a number of characters.
     """
     if "charttime" not in bind or "value" not in bind:
         raise ValueError("charttime and value must be bound")
@@ -171,7 +198,7 @@ def custom_events_from_table(df: DataFrame, bind: Mapping[str, str], stays: Data
         return F.lit(None)
     return d.select(bound("subject_id").cast("long").alias("subject_id"), bound("hadm_id").cast("long").alias("hadm_id"),
                     bound("stay_id").cast("long").alias("stay_id"), bound("charttime").cast("timestamp_ntz").alias("charttime"),
-                    F.substring(bound("value").cast("string"), 1, 20).alias("value"), bound("valueuom").cast("string").alias("valueuom"))
+                    (bound("value").cast("string") if cut is None else F.substring(bound("value").cast("string"), 1, cut)).alias("value"), bound("valueuom").cast("string").alias("valueuom"))
 
 
 # --- cohorts and exports --------------------------------------------------------------------------------
