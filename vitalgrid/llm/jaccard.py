@@ -3,14 +3,15 @@
 Sets. A document's set holds the distinct `SHINGLE`-word shingles of its whole lower-cased text (the sequence
 itself if it has fewer words) as 64-bit hashes; equal sets are one node, named by a fingerprint of the set.
 
-Order and classes. All shingles are counted over all documents. Those in more than F documents are class 2, those
-in more than 32 F class 3, the rest class 1; F is the smallest power of two from LEAST_FREQUENT on for which the
-frequent ones fit the bitmap that tells map tasks the class (8 MB, see `hash_bitmap`). Any two sets order their
-shingles alike: by class, then by hash.
+Order and classes. All shingles are counted over all sets. Those in more than F sets are class 2, those in more
+than 32 F class 3; of the rest, those in more than R sets are class 1 and the others class 0. R is the smallest
+power of two from 1 on, F from LEAST_FREQUENT on, above which at most MOST_FREQUENT shingles lie, so that the
+bitmaps that tell map tasks the class (8 MB each, see `hash_bitmap`) stay sparse. Any two sets order their
+shingles alike: by class, then by hash. With R = 1 class 0 holds shingles of one set only, which sign nothing.
 
 Prefixes. With at most e of a set's shingles missing in the partner, a prefix is long enough once the sum over its
 cells of (shingles in the cell - k + 1) exceeds e: then some cell keeps k common shingles, and their combination
-is a common signature. Class 1 is one cell with k = 1. Classes 2 and 3 have k = 2 and 3 and are divided by hash
+is a common signature. Classes 0 and 1 are one cell with k = 1. Classes 2 and 3 have k = 2 and 3 and are divided by hash
 into 2**band / 8 cells, so that a cell has few combinations however long the text; band is log2 of the set size,
 and a set whose partners may lie in the next band signs for both. Below 16 shingles k is 1 everywhere.
 A partner of at least 3/4 the size leaves e = n/4 (probing prefix), one at least as large e = n/7 (indexing
@@ -46,7 +47,7 @@ from .words import SPACED, Words, field, mixed, ranges, small_batches, windows
 from .work import ROW, dealt, hash_bitmap, in_bitmap, row_schema, rows_of, stored, tasks_of, unpacked
 
 SHINGLE, PERCENT = 5, 75
-LEAST_FREQUENT, MOST_FREQUENT = 32, 1 << 22
+LEAST_FREQUENT, MOST_FREQUENT = 32, 1 << 24
 SMALL_BUCKET, LEADERS = 8, 4
 CELL_NODES, CELL_PAIRS, BLOCK = 20_000, 50_000, 1024
 CHUNK = 2_000_000
@@ -165,6 +166,7 @@ def _distinct_sets(batches: Iterator[pa.RecordBatch], text_col: str, width: int)
 def _shingles(text_col: str, width: int, bits: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        size = 0
 
         def out() -> pa.RecordBatch:
             _, parts, low = _cut(np.concatenate(held), bits)
@@ -173,8 +175,10 @@ def _shingles(text_col: str, width: int, bits: int) -> Callable:
             return pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "data"])
         for values, _, _ in _distinct_sets(batches, text_col, width):
             held.append(values)
-            if sum(map(len, held)) >= CHUNK:
+            size += len(values)
+            if size >= CHUNK:
                 yield out()
+                size = 0
         if held:
             yield out()
     return run
@@ -206,20 +210,23 @@ def _frequent(bits: int, least: int) -> Callable:
 
 
 def frequent_shingles(texts: DataFrame, text_col: str, width: int) -> DataFrame:
-    """(hash, n): shingles of more than LEAST_FREQUENT sets, counted by the leading bits of their hash."""
+    """(hash, n): shingles of more than one set, counted by the leading bits of their hash."""
     bits = part_bits(tasks_of(texts.sparkSession))
     slices = dealt(texts.select(text_col).mapInArrow(_shingles(text_col, width, bits), "part int, data binary")).sortWithinPartitions("part")
-    return stored(slices.mapInArrow(_frequent(bits, LEAST_FREQUENT), "hash long, n long"))
+    return stored(slices.mapInArrow(_frequent(bits, 1), "hash long, n long"))
 
 
-def frequency_floor(frequent: DataFrame) -> int:
-    """The smallest power of two from LEAST_FREQUENT on with at most MOST_FREQUENT shingles above it."""
+def frequency_floors(frequent: DataFrame, *least: int) -> list[int]:
+    """For each of `least` the smallest power of two from it on with at most MOST_FREQUENT shingles above it."""
     level = F.floor(F.log2(F.col("n") - 1)).cast("int")  # above 2**level
     levels = {r["level"]: r["count"] for r in frequent.groupBy(level.alias("level")).count().collect()}  # at most 64 rows
-    floor = LEAST_FREQUENT.bit_length() - 1
-    while sum(n for k, n in levels.items() if k >= floor) > MOST_FREQUENT:
-        floor += 1
-    return 1 << floor
+    out = []
+    for start in least:
+        floor = start.bit_length() - 1
+        while sum(n for k, n in levels.items() if k >= floor) > MOST_FREQUENT:
+            floor += 1
+        out.append(1 << floor)
+    return out
 
 
 # ---- signatures
@@ -265,14 +272,13 @@ def combinations(values: np.ndarray, cells: np.ndarray, k: int, salt: int, index
 
 
 def signatures(values: np.ndarray, classes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of a set (sorted hashes with their classes 1 to 3) and whether each is in the indexing prefix."""
+    """Signatures of a set (sorted hashes with their classes 0 to 3) and whether each is in the indexing prefix."""
     n = len(values)
     probe, index = errors(n, percent)
-    rare = values[classes == 1]
-    if len(rare) > probe:
-        return rare[:probe + 1], np.arange(probe + 1) <= index
     order = np.argsort(classes, kind="stable")
-    v, c = values[order], classes[order].astype(np.int64)
+    if classes[order[probe]] <= 1:
+        return values[order[:probe + 1]], np.arange(probe + 1) <= index
+    v, c = values[order], np.maximum(classes[order].astype(np.int64), 1)
     bands = [band_of(n)]
     if band_of(n * 100 // percent) > bands[0]:
         bands.append(bands[0] + 1)
@@ -301,9 +307,9 @@ def signatures(values: np.ndarray, classes: np.ndarray, percent: int) -> tuple[n
     return sig[first], flag[first]
 
 
-def _signatures(text_col: str, width: int, percent: int, bits: int, often, very_often) -> Callable:
+def _signatures(text_col: str, width: int, percent: int, bits: int, bitmaps: list, unique: bool) -> Callable:
+    """Packed (signature, set, size, flag); `unique` says that class 0 shingles are in one set only."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        two, three = often.value, very_often.value
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
 
@@ -318,12 +324,15 @@ def _signatures(text_col: str, width: int, percent: int, bits: int, often, very_
             held.clear()
             return pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "data"])
         for values, bounds, nodes in _distinct_sets(batches, text_col, width):
-            classes = np.ones(len(values), np.int8)
-            classes[in_bitmap(two, values)] = 2
-            classes[in_bitmap(three, values)] = 3
+            classes = np.zeros(len(values), np.int8)
+            for k, bitmap in enumerate(bitmaps, 1):
+                classes[in_bitmap(bitmap.value, values)] = k
             for i, node in enumerate(nodes):
                 a, b = bounds[i], bounds[i + 1]
                 sig, flag = signatures(values[a:b], classes[a:b], percent)
+                if unique:
+                    alone = np.isin(sig, values[a:b][classes[a:b] == 0], assume_unique=True)
+                    sig, flag = sig[~alone], flag[~alone]
                 held.append((sig, np.full(len(sig), node), (np.uint32(b - a) << np.uint32(1)) | flag.astype(np.uint32)))
                 size += len(sig)
                 if size >= CHUNK:
@@ -543,11 +552,10 @@ class Join:
     def candidates(self) -> tuple[DataFrame, DataFrame]:
         """Pairs to verify (cell, data), and the large buckets (bucket, node, n, flag)."""
         frequent = frequent_shingles(self.texts, "text", self.width)
-        floor = frequency_floor(frequent)
-        often = hash_bitmap(frequent.where(F.col("n") > floor), "hash")
-        very_often = hash_bitmap(frequent.where(F.col("n") > 32 * floor), "hash")
+        rare, often = frequency_floors(frequent, 1, LEAST_FREQUENT)
+        bitmaps = [hash_bitmap(frequent.where(F.col("n") > floor), "hash") for floor in (rare, often, 32 * often)]
         bits = part_bits(tasks_of(self.spark))
-        entries = self.texts.select("text").mapInArrow(_signatures("text", self.width, self.percent, bits, often, very_often), "part int, data binary")
+        entries = self.texts.select("text").mapInArrow(_signatures("text", self.width, self.percent, bits, bitmaps, rare == 1), "part int, data binary")
         found = stored(dealt(entries).sortWithinPartitions("part").mapInArrow(_buckets(self.percent, self.grid(self.nodes.count())), "kind int, name long, data binary"))
         large = found.where("kind = 1").select(F.col("name").alias("bucket"), "data").dropDuplicates(["bucket"]).mapInArrow(_members, "bucket long, node long, n long, flag boolean")
         return found.where("kind = 0").select(F.col("name").alias("cell"), "data"), large
