@@ -74,28 +74,36 @@ def tested(value: Column) -> Column:
     """encoding (index or null), n and p of a string."""
     encoding = F.coalesce(*[F.when(value.rlike(f"^[{a.replace('-', '')}{'-' * ('-' in a)}]+$"), F.lit(i)) for i, (_, a, _) in enumerate(ENCODINGS)])
     alphabet = F.element_at(F.array(*[F.lit(a) for _, a, _ in ENCODINGS]), encoding + 1)
-    signs = F.split(value, "(?!^)(?!$)")
-    one = F.struct(encoding.alias("encoding"), F.length(value).alias("n"), F.length(alphabet).cast("double").alias("a"), signs.alias("signs"),
-                   F.transform(signs, lambda c: F.instr(alphabet, c) - 1).alias("places"))
+    one = F.struct(encoding.alias("encoding"), F.length(value).alias("n"), alphabet.alias("alphabet"), F.split(value, "(?!^)(?!$)").alias("signs"))
+
+    # each step binds its results, so that a lambda over the signs only reads them
+    def placed(s: Column) -> Column:
+        return F.struct(s["encoding"].alias("encoding"), s["n"].alias("n"), F.length(s["alphabet"]).cast("double").alias("a"), s["signs"].alias("signs"),
+                        F.transform(s["signs"], lambda c: F.instr(s["alphabet"], c) - 1).alias("places"))
+
+    def centred(s: Column) -> Column:
+        """With the mean place, which would otherwise be worked out anew for every sign."""
+        mean = F.aggregate(s["places"], F.lit(0.0), lambda acc, x: acc + x) / s["n"]
+        return F.struct(s["encoding"].alias("encoding"), s["n"].alias("n"), s["a"].alias("a"), s["signs"].alias("signs"), s["places"].alias("places"), mean.alias("mean"))
 
     def battery(s: Column) -> Column:
         n, a, df = s["n"].cast("double"), s["a"], s["a"] - 1.0
         squares = F.aggregate(F.array_distinct(s["signs"]), F.lit(0.0), lambda acc, c: acc + F.pow(F.size(F.filter(s["signs"], lambda x: x == c)).cast("double"), F.lit(2.0)))
         chi = a / n * squares - n
         z_chi = (F.pow(chi / df, F.lit(1 / 3)) - (1.0 - 2.0 / (9.0 * df))) / F.sqrt(2.0 / (9.0 * df))
-        nexts = F.slice(s["places"], 2, F.length(F.array_join(s["signs"], "")))
+        nexts = F.slice(s["places"], 2, s["n"])
         pairs = F.arrays_zip(F.slice(s["places"], 1, s["n"] - 1).alias("x"), nexts.alias("y"))
         high = F.size(F.filter(s["places"], lambda p: p * 2 >= a)).cast("double")
         low = n - high
         runs = 1.0 + F.size(F.filter(pairs, lambda p: (p["x"] * 2 >= a) != (p["y"] * 2 >= a))).cast("double")
         expected, spread = 1.0 + 2.0 * high * low / n, 2.0 * high * low * (2.0 * high * low - n) / (n * n * (n - 1.0))
         p_runs = F.when(spread > 0, 2.0 * _tail(F.abs(runs - expected) / F.sqrt(spread))).otherwise(0.0)
-        mean = F.aggregate(s["places"], F.lit(0.0), lambda acc, x: acc + x) / n
+        mean = s["mean"]
         total = F.aggregate(s["places"], F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean))
         serial = F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + (p["x"] - mean) * (p["y"] - mean))
         p_serial = F.when(total > 0, 2.0 * _tail(F.abs(serial / total + 1.0 / n) * F.sqrt(n))).otherwise(0.0)
         return F.struct(s["encoding"].alias("encoding"), s["n"].alias("n"), F.least(F.lit(1.0), 3.0 * F.least(_upper(z_chi), p_runs, p_serial)).alias("p"))
-    return F.transform(F.array(one), battery)[0]
+    return F.transform(F.transform(F.transform(F.array(one), placed), centred), battery)[0]
 
 
 def passing_chance(encoding: int, n: int) -> float:
