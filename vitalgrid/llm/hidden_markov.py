@@ -302,7 +302,7 @@ class Chain:
         alpha = np.tile(self.start, (len(size), 1))
         for t in range(n_steps):
             m = active[t]
-            alpha = (alpha if t == 0 else alpha[:m] @ self.move) * self.by_class[classes[begin[:m] + t]]
+            alpha = (alpha[:m] if t == 0 else alpha[:m] @ self.move) * self.by_class[classes[begin[:m] + t]]
             scale = alpha.sum(axis=1)
             alpha /= scale[:, None]
             out[:m] += np.log10(scale)
