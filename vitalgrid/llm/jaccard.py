@@ -50,7 +50,7 @@ SHINGLE, PERCENT = 5, 75
 LEAST_FREQUENT, MOST_FREQUENT = 32, 1 << 24
 SMALL_BUCKET, LEADERS = 8, 4
 CELL_NODES, CELL_PAIRS, BLOCK = 20_000, 50_000, 1024
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 LOW_BITS = 24
 ONE = np.uint64(1)
 

@@ -88,7 +88,7 @@ def field(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 6_000_000) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 3_000_000) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most `most` bytes of text, or one row."""
     for batch in batches:
         _, bounds = texts_of(field(batch, column))
