@@ -55,14 +55,21 @@ def query(name: str, sql: str | None = None, rounded: dict[str, int] | None = No
     return wrap
 
 
-_CATALOGS: dict[tuple[str, int, str], Catalog] = {}
+_CATALOGS: dict[tuple, Catalog] = {}
+
+
+def stamp(spark: SparkSession, folder: str) -> tuple:
+    """Names, sizes and times of what lies in a folder, on any file system Spark can reach."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(path)))
 
 
 def catalog(spark: SparkSession, folder: str, share: bool = True) -> Catalog:
-    """Catalog over the stay fixture of one folder; one per session, so shared tables are written once."""
+    """Catalog over the stay fixture of one folder; shared tables are written once while its files stay the same."""
     if not share:
         return Catalog(spark, StayFixture(spark, folder), BUILDERS)
-    key = (spark.sparkContext.applicationId, id(spark), folder)
+    key = (spark.sparkContext.applicationId, id(spark), folder, stamp(spark, folder))
     if key not in _CATALOGS:
         _CATALOGS[key] = Catalog(spark, StayFixture(spark, folder), BUILDERS, SHARED)
     return _CATALOGS[key]
