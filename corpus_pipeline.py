@@ -6,8 +6,6 @@ are overwritten in place, and what is left is packed. Every stage but the last r
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from vitalgrid.llm.decontaminate import contamination_rows
@@ -15,7 +13,7 @@ from vitalgrid.llm.jaccard import one_of_each
 from vitalgrid.llm.packing import pack
 from vitalgrid.llm.secret_scan import redacted
 from vitalgrid.llm.toxicity import fifth, toxicity_rows
-from vitalgrid.llm.work import shared_folder, ship, unpacked
+from vitalgrid.llm.work import ship, stored, unpacked
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,10 +62,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over `documents`; each result is written and read again before the next stage."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for number, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if number + 1 < len(STAGES):
-            docs.write.parquet(f"{folder}/{name}")
-            docs = spark.read.parquet(f"{folder}/{name}")
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
