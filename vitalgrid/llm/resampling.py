@@ -28,7 +28,7 @@ from .words import ALPHANUMERIC, Words, field, mixed, small_batches
 from .work import hash_bitmap, in_bitmap, stored
 
 BUCKETS, SHARE, TEMPERATURE, LENGTH_POWER, PRIOR = 10_000, 0.5, 0.05, 1.0, 10
-CUT_ROWS = 100_000
+CUT_ROWS = 10_000
 
 
 def buckets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
