@@ -262,6 +262,20 @@ def test_documents_as_streams_and_files(sent, prose, tmp_path):
     assert sorted(tuple(r)[1:] for r in got.collect()) == [(0, 2, True), (1, 0, True), (2, 1, True), (3, 1, False)]
 
 
+def test_texts_with_the_tokenizers_own_end_mark_stay_whole(sent, prose, tmp_path):
+    from vitalgrid.llm.queries import op7_token_counts
+    from vitalgrid.llm.separators import token_streams
+    from vitalgrid.llm.tokens import encoder
+    docs = [(0, prose(1, 5)), (1, f"{prose(2, 4)} <|endoftext|> {prose(3, 6)}"), (2, prose(4, 9)), (3, "<|endoftext|>"), (4, prose(5, 2))]
+    table = sent.createDataFrame(docs, KIND).coalesce(1)
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    e = encoder(None)
+    assert 49407 in np.frombuffer(e.encode(docs[1][1]), "<u4")
+    assert {r["doc_id"]: r["n_tokens"] for r in op7_token_counts(sent, str(tmp_path)).collect()} == {i: len(e.encode(t)) // 4 for i, t in docs}
+    with pytest.raises(Exception, match="end identifier 49407"):
+        token_streams(table, 49407)
+
+
 # ---- hidden Markov model
 
 def test_forward_is_the_sum_over_all_paths():

@@ -124,12 +124,18 @@ def _streams(id_col: str, text_col: str, end: int, block_bytes: int, path: str |
         context = TaskContext.get()
         stream, encode, stop = context.partitionId() if context else 0, encoder(path).encode, np.array([end], "<u2").tobytes()
         held, size, block, place = [], 0, 0, 0
+        ids = len(encoder(path).written)
+        if ids > 1 << 16:
+            raise ValueError(f"{ids} identifiers do not fit into 16 bits")
 
         def out(data: bytes) -> pa.RecordBatch:
             return pa.record_batch([pa.array([v], t) for v, t in ((0, pa.int32()), (stream, pa.int32()), (block, pa.int64()), (None, pa.int64()), (data, pa.binary()))], ["kind", "stream", "block", "id", "data"])
         for batch in small_batches(batches, text_col):
             for text in field(batch, text_col).to_pylist():
-                held += [np.frombuffer(encode(text or ""), "<u4").astype("<u2").tobytes(), stop]
+                tokens = np.frombuffer(encode(text or ""), "<u4").astype("<u2")
+                if end < ids and (tokens == end).any():
+                    raise ValueError(f"a text holds the end identifier {end}; take one outside the vocabulary")
+                held += [tokens.tobytes(), stop]
                 size += len(held[-2]) + 2
                 if size >= block_bytes:
                     data = b"".join(held)
@@ -148,6 +154,9 @@ def _streams(id_col: str, text_col: str, end: int, block_bytes: int, path: str |
 
 
 def token_streams(docs: DataFrame, end: int, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, vocabulary: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """The documents as flat streams of 16-bit identifiers: (blocks, documents in order: stream, place, id)."""
+    """The documents as flat streams of 16-bit identifiers: (blocks, documents in order: stream, place, id).
+
+    A text that yields `end` itself is an error, as its document would fall in two.
+    """
     rows = stored(docs.select(id_col, text_col).mapInArrow(_streams(id_col, text_col, end, block_bytes, vocabulary), "kind int, stream int, block long, id long, data binary"))
     return rows.where("kind = 0").select("stream", "block", "data"), rows.where("kind = 1").select("stream", F.col("block").alias("place"), "id")
