@@ -276,6 +276,28 @@ def test_texts_with_the_tokenizers_own_end_mark_stay_whole(sent, prose, tmp_path
         token_streams(table, 49407)
 
 
+def test_large_token_files_are_read_in_parts(sent, tmp_path):
+    from vitalgrid.llm.separators import count_tokens, read_streams
+    rng = np.random.default_rng(5)
+    want, sizes = set(), {"many divisors.bin": 5040, "tail.bin": 2 * 4999, "a,b [1] {x}.bin": 3 * 1681, "small.bin": 40, "empty.bin": 0}
+    for name, n in sizes.items():
+        tokens = np.where(rng.random(n) < 0.05, 9, 1 + rng.integers(0, 8, n)).astype("<u2")
+        (tmp_path / name).write_bytes(tokens.tobytes())
+        at = np.flatnonzero(tokens == 9)
+        lengths = [*(np.diff(at, prepend=-1) - 1).tolist(), *([n - 1 - int(at[-1])] if n and at[-1] < n - 1 else [])]
+        want |= {(name, i, k, i < len(at)) for i, k in enumerate(lengths)}
+    blocks = read_streams(sent, str(tmp_path), 101, part_bytes=1500)
+    assert {r["stream"].rsplit("/", 1)[1] for r in blocks.collect()} == {n for n, size in sizes.items() if size}
+    assert blocks.where("stream LIKE '%tail.bin'").rdd.glom().filter(len).count() > 5
+    got = [tuple(r) for r in count_tokens(blocks, 9).collect()]
+    tiny = [("t", i, bytearray([b])) for i, b in enumerate(np.array([5, 9, 9, 7, 6], "<u4").tobytes())]
+    few = sent.createDataFrame(tiny, "stream string, block long, data binary")
+    assert sorted(tuple(r)[1:] for r in count_tokens(few, 9, 4).collect()) == [(0, 1, True), (1, 0, True), (2, 2, False)]
+    with pytest.raises(Exception, match="do not fill an identifier"):
+        count_tokens(few.where("block < 19"), 9, 4)
+    assert {(s.rsplit("/", 1)[1], *x) for s, *x in got} == want and len(got) == len(want)
+
+
 # ---- hidden Markov model
 
 def test_forward_is_the_sum_over_all_paths():

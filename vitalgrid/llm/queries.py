@@ -43,7 +43,7 @@ def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     from .separators import count_tokens, token_streams
     end = 65535  # no text can hold it: the vocabulary ends at 49407, its own mark of an end
     blocks, order = token_streams(read(spark, folder, "documents").select("doc_id", "text"), end)
-    counts = count_tokens(blocks, end, aligned=True)
+    counts = count_tokens(blocks, end)
     return counts.join(order, ["stream", "place"]).select(F.col("id").alias("doc_id"), "stream", "place", "n_tokens", "closed")
 
 

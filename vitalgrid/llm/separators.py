@@ -2,7 +2,9 @@
 
 A stream is a sequence of unsigned little-endian identifiers in which every document ends with one end identifier.
 It comes as blocks (stream, block number, bytes), cut anywhere between two bytes: an identifier may lie across a
-border. Each block is searched by itself; what it tells is small: the tokens before each end and after the last. A prefix scan over these summaries (within groups of GROUP blocks, over the groups, and back)
+border. Each block is searched by itself, once for each byte at which its first identifier may begin; what it tells is
+small: the tokens before each end and after the last, and the bytes at its borders. The sizes of earlier blocks say which
+search holds, and bytes of an identifier that begins in an earlier block go back to it. A prefix scan over these summaries (within groups of GROUP blocks, over the groups, and back)
 gives each block the number of documents that ended before it and the tokens open at its start, which makes the
 document borders exact.
 
@@ -13,7 +15,9 @@ identifier are an error. Blocks must be numbered from 0; repeated blocks are an
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -27,20 +31,49 @@ from .words import field, small_batches
 from .work import stored
 
 GROUP, BLOCK_BYTES, WIDTH = 256, 1 << 20, 2
+PART_BYTES = 64 << 20
 
 
-def _summaries(width: int, end: int) -> Callable:
-    """Per block: tokens, ends, tokens after the last end, and those before each end (32 bits each)."""
+SUMMARY = "stream {}, block long, size long, shift int, n long, ends long, tail long, counts binary, head binary, rest binary"
+NUMBERS = ("n", "ends", "tail")
+
+
+def _summaries(width: int, end: int, shifts: int) -> Callable:
+    """Per block and number of leading bytes passed over: tokens, ends, tokens after the last end, and those before each
+    end (32 bits each), of the whole identifiers; the block's first bytes and those left over at its end."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = np.dtype(f"<u{width}")
         for batch in batches:
             rows = []
-            for data in field(batch, "data").to_pylist():
-                at = np.flatnonzero(np.frombuffer(data, kind) == end)
-                n = len(data) // width
-                rows.append((n, len(at), n - 1 - int(at[-1]) if len(at) else n, (np.diff(at, prepend=-1) - 1).astype(np.uint32).tobytes()))
-            yield pa.record_batch([field(batch, "stream"), field(batch, "block"), *(pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary())))],
-                                  ["stream", "block", "n", "ends", "tail", "counts"])
+            for i, data in enumerate(field(batch, "data").to_pylist()):
+                for shift in range(shifts):
+                    n = max(0, len(data) - shift) // width
+                    at = np.flatnonzero(np.frombuffer(data, kind, n, shift) == end) if n else np.zeros(0, np.int64)
+                    rows.append((i, len(data), shift, n, len(at), n - 1 - int(at[-1]) if len(at) else n, (np.diff(at, prepend=-1) - 1).astype(np.uint32).tobytes(), data[:width - 1], data[shift + n * width:]))
+            at, *rest = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 3, *[pa.binary()] * 3))]
+            yield pa.record_batch([field(batch, "stream").take(at), field(batch, "block").take(at), *rest], ["stream", "block", "size", "shift", *NUMBERS, "counts", "head", "rest"])
+    return run
+
+
+def _crossed(width: int, end: int) -> Callable:
+    """Summaries with the identifier that begins in the block's last bytes and ends in later blocks (`more`)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, ends, tail = (field(batch, c).to_numpy().copy() for c in NUMBERS)
+            counts = field(batch, "counts").to_pylist()
+            for i, (rest, more) in enumerate(zip(field(batch, "rest").to_pylist(), field(batch, "more").to_pylist(), strict=True)):
+                if not rest:
+                    continue
+                data = (rest + (more or b""))[:width]
+                if len(data) < width:
+                    raise ValueError(f"{len(data)} bytes at the end of a stream do not fill an identifier")
+                n[i] += 1
+                if int.from_bytes(data, "little") == end:
+                    counts[i] += int(tail[i]).to_bytes(4, "little")
+                    ends[i], tail[i] = ends[i] + 1, 0
+                else:
+                    tail[i] += 1
+            yield pa.record_batch([field(batch, "stream"), field(batch, "block"), pa.array(n), pa.array(ends), pa.array(tail), pa.array(counts, pa.binary())], ["stream", "block", *NUMBERS, "counts"])
     return run
 
 
@@ -57,17 +90,22 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                               ["stream", "place", "n_tokens", "closed"])
 
 
-def _aligned(blocks: DataFrame, width: int) -> DataFrame:
-    """Blocks of whole identifiers: bytes of one that begins in an earlier block go back to it."""
+def _whole(summaries: DataFrame, width: int) -> DataFrame:
+    """The summary of each block that begins with its first own identifier, and the bytes that follow the block (`more`).
+
+    Only summaries move, never the blocks: which shift is right follows from the sizes of all earlier blocks.
+    """
     if width == 1:
-        return blocks
+        return summaries.withColumn("more", F.lit(None).cast("binary"))
     line = Window.partitionBy("stream", "group").orderBy("block")
-    sized = blocks.select("stream", "block", "data", F.octet_length("data").cast("long").alias("size"), F.floor(F.col("block") / GROUP).alias("group"))
-    starts = _scan(sized.select("stream", "block", "group", "size"), lambda: F.coalesce(F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "size")
-    missing = F.pmod(-F.col("start"), F.lit(width)).cast("int")
-    placed = sized.join(starts, ["stream", "block"]).withColumn("lead", F.least(missing, F.col("size").cast("int")))
-    lead = placed.select("stream", (F.col("block") - 1).alias("block"), F.expr("substring(data, 1, lead)").alias("more"))
-    return placed.join(lead, ["stream", "block"], "left").select("stream", "block", F.concat(F.expr("substring(data, lead + 1, size)"), F.coalesce("more", F.lit(b""))).alias("data"))
+    sized = summaries.where("shift = 0").select("stream", "block", "size", F.floor(F.col("block") / GROUP).alias("group"))
+    starts = _scan(sized, lambda: F.coalesce(F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "size")
+    starts = starts.select("stream", "block", F.pmod(-F.col("start"), F.lit(width)).cast("int").alias("shift"))
+    # an identifier may reach over the next width - 1 blocks
+    after = F.explode(F.sequence(F.lit(1), F.lit(width - 1))).alias("step")
+    heads = summaries.where("shift = 0").select("stream", "block", "head", after).select("stream", (F.col("block") - F.col("step")).alias("block"), "step", "head")
+    follow = heads.groupBy("stream", "block").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("step", "head"))), F.lit(b""), lambda acc, x: F.concat(acc, x["head"])).alias("more"))
+    return summaries.join(starts, ["stream", "block", "shift"]).join(follow, ["stream", "block"], "left")
 
 
 def _scan(rows: DataFrame, within, size: str) -> DataFrame:
@@ -84,10 +122,10 @@ def count_tokens(blocks: DataFrame, end: int, width: int = WIDTH, aligned: bool
     `aligned` says that no identifier lies across two blocks.
     """
     blocks = blocks.select("stream", F.col("block").cast("long").alias("block"), "data")
-    if not aligned:
-        blocks = _aligned(blocks, width)
     kind = blocks.schema["stream"].dataType.simpleString()
-    marks = stored(blocks.mapInArrow(_summaries(width, end), f"stream {kind}, block long, n long, ends long, tail long, counts binary").withColumn("group", F.floor(F.col("block") / GROUP)))
+    summaries = stored(blocks.mapInArrow(_summaries(width, end, 1 if aligned else width), SUMMARY.format(kind)))
+    own = _whole(summaries, 1 if aligned else width).select("stream", "block", *NUMBERS, "counts", "rest", "more")
+    marks = stored(own.mapInArrow(_crossed(width, end), f"stream {kind}, block long, n long, ends long, tail long, counts binary").withColumn("group", F.floor(F.col("block") / GROUP)))
     # open tokens at the start of a block: all tokens since the last block with an end, and that block's tail
     since = F.struct("block", "tail", "sum")
     line = Window.partitionBy("stream", "group").orderBy("block")
@@ -111,11 +149,45 @@ def count_tokens(blocks: DataFrame, end: int, width: int = WIDTH, aligned: bool
     return closed.union(rest.where("n_tokens > 0"))
 
 
-def read_streams(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Flat token files (up to 2 GB each) as blocks: stream (file name), block, data."""
+def _record_length(size: int, most: int) -> int:
+    """The largest divisor of a file's length up to `most`: records of it leave no tail."""
+    return next(d for d in range(min(size, most), 0, -1) if size % d == 0)
+
+
+def _grouped(stream: str, per_block: int) -> Callable:
+    """Records (number, bytes) of a part of a file as blocks; parts begin at a block's first record."""
+    def run(records: Iterator[tuple[int, bytes]]) -> Iterator[tuple[str, int, bytearray]]:
+        for block, own in groupby(records, lambda r: r[0] // per_block):
+            yield stream, block, bytearray(b"".join([data for _, data in own]))
+    return run
+
+
+def _large_file(spark: SparkSession, path: str, size: int, block_bytes: int, part_bytes: int):
+    """One file as an RDD of blocks, read in parts of about `part_bytes` by different tasks."""
+    record = _record_length(size, block_bytes)
+    per_block = block_bytes // record
+    part = str(max(1, part_bytes // (record * per_block)) * record * per_block)
+    plain = re.sub(r"([\\*?{}\[\]])", r"\\\1", path)  # no pattern of names
+    conf = {"mapreduce.input.fileinputformat.inputdir": spark.sparkContext._jvm.org.apache.hadoop.util.StringUtils.escapeString(plain),
+            "mapreduce.input.fileinputformat.split.minsize": part, "mapreduce.input.fileinputformat.split.maxsize": part,
+            "org.apache.spark.input.FixedLengthBinaryInputFormat.recordLength": str(record)}
+    records = spark.sparkContext.newAPIHadoopRDD("org.apache.spark.input.FixedLengthBinaryInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable", conf=conf)
+    return records.mapPartitions(_grouped(path, per_block))
+
+
+def read_streams(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
+    """Flat token files of any size as blocks: stream (file name), block, data.
+
+    Files up to `part_bytes` are read whole, larger ones in parts of about that size by as many tasks. Their blocks
+    hold as many records as fit into `block_bytes`, a record being the largest divisor of the file's length up to
+    that, so no tail is left. Few and small divisors (twice a prime) only make records short and reading slow.
+    """
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("stream"), "length", "content")
-    cut = files.select("stream", "content", F.posexplode(F.sequence(F.lit(1), F.greatest(F.col("length"), F.lit(1)), F.lit(block_bytes))).alias("block", "start"))
-    return cut.select("stream", F.col("block").cast("long"), F.substring("content", F.col("start").cast("int"), F.lit(block_bytes)).alias("data"))
+    small = files.where(F.col("length") <= part_bytes)
+    cut = small.select("stream", "content", F.posexplode(F.sequence(F.lit(1), F.greatest(F.col("length"), F.lit(1)), F.lit(block_bytes))).alias("block", "start"))
+    blocks = cut.select("stream", F.col("block").cast("long"), F.substring("content", F.col("start").cast("int"), F.lit(block_bytes)).alias("data"))
+    large = [_large_file(spark, r["stream"], r["length"], block_bytes, part_bytes) for r in files.where(F.col("length") > part_bytes).select("stream", "length").collect()]  # names and lengths
+    return blocks.union(spark.createDataFrame(spark.sparkContext.union(large), "stream string, block long, data binary")) if large else blocks
 
 
 def _streams(id_col: str, text_col: str, end: int, block_bytes: int, path: str | None) -> Callable:
