@@ -205,6 +205,19 @@ def test_secrets(sent, prose):
     assert find_secrets(sent.createDataFrame([], KIND)).count() == 0
 
 
+def test_best_random_strings_of_a_band_with_many_ordinary_ones_are_found(sent, prose):
+    from vitalgrid.llm.secret_scan import ALPHA, ENCODINGS, FALSE_SHARE, find_secrets, passing_chance
+    rng = np.random.default_rng(6)
+    keys = ["".join(rng.choice(list(ENCODINGS[5][1]), 27)) for _ in range(40)]
+    plain = [prose(300 + i, 12).title().replace(" ", "")[:26] + "7" for i in range(160)]
+    chance = passing_chance(5, 24, ALPHA)
+    assert 140 * chance / (1 - chance) > FALSE_SHARE * len(keys)  # the band as a whole has too many ordinary strings
+    rows = list(enumerate([f"{prose(i, 5)} {x} end" for i, x in enumerate(keys + plain)]))
+    n = {r["doc_id"]: r["n_random"] for r in find_secrets(sent.createDataFrame(rows, KIND)).collect()}
+    found, false = sum(n[i] for i in range(40)), sum(n[i] for i in range(40, 200))
+    assert found >= 12 and false <= 2, (found, false)
+
+
 # ---- resampling
 
 def test_resampling(sent, prose):

@@ -11,10 +11,13 @@ Fixed patterns: `assign`, `access`, `hex`. Further spans (`random`) come from ru
 * three tests of "uniform over this alphabet": chi-squared of the sign counts (Wilson-Hilferty), runs above and
   below the middle of the alphabet, lag-1 serial correlation of the positions in it; the string passes when
   the smallest p value, times three, is at least ALPHA;
-* false discoveries are bounded by encoding and length: an ordinary string of length n passes the chi-squared test
-  with a chance b(n) that follows from the letter statistics of prose (decimal digits for hex). Strings that failed
-  are ordinary, so b / (1 - b) of their number are expected among those that passed. Strings of an encoding and
-  length band are reported only if that is at most FALSE_SHARE of those that passed there, over all texts.
+* false discoveries are bounded by encoding and length: an ordinary string of length n reaches the p value c in the
+  chi-squared test with a chance b(n, c) that follows from the letter statistics of prose (decimal digits for hex). The
+  share of strings failing that test that still reach c in the two others, r(c), completes the chance of the whole
+  battery, b * r. Strings that failed are ordinary, which gives the number of ordinary strings, failed / (1 - b * r) at
+  ALPHA, and so the expected false ones at each c of CUTS. In every encoding and length band the strings of
+  the best p values are reported, down to the least c at which the false ones are at most FALSE_SHARE of those that
+  reach it, over all texts. A band without such a c reports nothing.
 
 A reported string that overlaps a fixed-pattern span is left out. Null and empty texts have no spans. Repeated
 rows count as often as they occur. Equal starts are ordered by kind, in the order above.
@@ -24,6 +27,7 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,7 +45,8 @@ ENCODINGS = (("hex", DIGITS + "abcdef", 0.1), ("upper hex", DIGITS + "ABCDEF", 0
              ("base64url", UPPER + LOWER + DIGITS + "-_", 0.065))
 BANDS = (20, 24, 28, 32, 40, 48, 64, 96, 128)
 ALPHA, FALSE_SHARE = 0.01, 0.05
-UPPER_POINT = 2.713  # of the normal distribution, at ALPHA / 3
+#: P values down to which a band may be reported.
+CUTS = (ALPHA, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.7, 1.0)
 MARK = "[SECRET]"
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
@@ -71,7 +76,7 @@ def _upper(z: Column) -> Column:
 
 
 def tested(value: Column) -> Column:
-    """encoding (index or null), n and p of a string."""
+    """encoding (index or null), n, chi (the chi-squared test), rest (the two others) and p (all) of a string."""
     encoding = F.coalesce(*[F.when(value.rlike(f"^[{a.replace('-', '')}{'-' * ('-' in a)}]+$"), F.lit(i)) for i, (_, a, _) in enumerate(ENCODINGS)])
     alphabet = F.element_at(F.array(*[F.lit(a) for _, a, _ in ENCODINGS]), encoding + 1)
     one = F.struct(encoding.alias("encoding"), F.length(value).alias("n"), alphabet.alias("alphabet"), F.split(value, "(?!^)(?!$)").alias("signs"))
@@ -102,15 +107,18 @@ def tested(value: Column) -> Column:
         total = F.aggregate(s["places"], F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean))
         serial = F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + (p["x"] - mean) * (p["y"] - mean))
         p_serial = F.when(total > 0, 2.0 * _tail(F.abs(serial / total + 1.0 / n) * F.sqrt(n))).otherwise(0.0)
-        return F.struct(s["encoding"].alias("encoding"), s["n"].alias("n"), F.least(F.lit(1.0), 3.0 * F.least(_upper(z_chi), p_runs, p_serial)).alias("p"))
-    return F.transform(F.transform(F.transform(F.array(one), placed), centred), battery)[0]
+        return F.struct(s["encoding"].alias("encoding"), s["n"].alias("n"), F.least(F.lit(1.0), 3.0 * _upper(z_chi)).alias("chi"), F.least(F.lit(1.0), 3.0 * F.least(p_runs, p_serial)).alias("rest"))
 
+    def joined(s: Column) -> Column:
+        return F.struct(*[s[c].alias(c) for c in ("encoding", "n", "chi", "rest")], F.least(s["chi"], s["rest"]).alias("p"))
+    return F.transform(F.transform(F.transform(F.transform(F.array(one), placed), centred), battery), joined)[0]
 
-def passing_chance(encoding: int, n: int) -> float:
-    """Chance that an ordinary string of length n passes the chi-squared test."""
+
+def passing_chance(encoding: int, n: int, cut: float = ALPHA) -> float:
+    """Chance that an ordinary string of length n reaches the p value `cut` in the chi-squared test."""
     _, alphabet, squares = ENCODINGS[encoding]
     df, away = len(alphabet) - 1, n * (len(alphabet) * squares - 1)
-    z = UPPER_POINT
+    z = NormalDist().inv_cdf(1 - cut / 3)
     limit = df * (1 - 2 / (9 * df) + z * math.sqrt(2 / (9 * df))) ** 3
     return 0.5 * math.erfc((df + away - limit) / math.sqrt(2 * (df + 2 * away)) / math.sqrt(2))
 
@@ -119,15 +127,20 @@ def _band(n: Column) -> Column:
     return F.coalesce(*[F.when(n >= b, F.lit(b)) for b in reversed(BANDS)])
 
 
-def reported_bands(candidates: DataFrame) -> list[tuple[int, int]]:
-    """(encoding, band) whose expected false share is small enough; candidates: encoding, n, p."""
+def reported_cuts(candidates: DataFrame) -> list[tuple[int, int, float]]:
+    """(encoding, band, least p value reported) where the expected false share is small enough; candidates: encoding, n, chi, rest, p."""
+    clear = F.col("chi") < ALPHA
     counts = candidates.groupBy("encoding", _band(F.col("n")).alias("band")).agg(
-        F.count_if(F.col("p") >= ALPHA).alias("passed"), F.count_if(F.col("p") < ALPHA).alias("failed")).collect()  # encodings times bands
+        F.count_if(F.col("p") < ALPHA).alias("failed"), F.count_if(clear).alias("clear"),
+        F.array(*[F.count_if(F.col("p") >= c) for c in CUTS]).alias("reached"), F.array(*[F.count_if(clear & (F.col("rest") >= c)) for c in CUTS]).alias("others")).collect()  # encodings times bands
     out = []
     for r in counts:
-        chance = passing_chance(r["encoding"], r["band"])
-        if r["passed"] and r["failed"] * chance / (1 - chance) <= FALSE_SHARE * r["passed"]:
-            out.append((r["encoding"], r["band"]))
+        # one more of each, so that few strings promise little
+        chance = [passing_chance(r["encoding"], r["band"], c) * (k + 1) / (r["clear"] + 1) for c, k in zip(CUTS, r["others"], strict=True)]
+        ordinary = r["failed"] / (1 - chance[0])
+        cut = next((c for c, b, n in zip(CUTS, chance, r["reached"], strict=True) if n and ordinary * b <= FALSE_SHARE * n), None)
+        if cut is not None:
+            out.append((r["encoding"], r["band"], cut))
     return sorted(out)
 
 
@@ -142,9 +155,9 @@ def secret_rows(docs: DataFrame, text_col: str = "text") -> DataFrame:
     plain = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))
     rows = rows.withColumn("base", F.array_sort(F.transform(F.concat(assign, access, hexes), plain)))
     rows = rows.withColumn("strings", F.transform(strings, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), tested(s["value"]).alias("test"))))
-    seen = rows.select(F.explode("strings.test").alias("test")).where("test.encoding IS NOT NULL").select("test.encoding", "test.n", "test.p")
-    bands = reported_bands(seen)
-    is_reported = lambda t: reduce(lambda acc, b: acc | ((t["encoding"] == b[0]) & (_band(t["n"]) == b[1])), bands, F.lit(False)) & (t["p"] >= ALPHA)
+    seen = rows.select(F.explode("strings.test").alias("test")).where("test.encoding IS NOT NULL").select("test.encoding", "test.n", "test.chi", "test.rest", "test.p")
+    cuts = reported_cuts(seen)
+    is_reported = lambda t: reduce(lambda acc, b: acc | ((t["encoding"] == b[0]) & (_band(t["n"]) == b[1]) & (t["p"] >= b[2])), cuts, F.lit(False))
     free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     more = F.transform(F.filter("strings", lambda s: F.coalesce(is_reported(s["test"]), F.lit(False)) & free(s)), plain)
     return rows.select(ROW, "body", "base", F.array_sort(F.concat("base", more)).alias("spans"))
