@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .words import ALPHANUMERIC, Words, field, ranges, small_batches
-from .work import ROW, flat, row_schema, rows_of
+from .work import KEY, ROW, flat, row_key, row_schema, rows_of, rows_without, stored
 
 WIDTH = 10
 #: Benchmark text held by a task at once.
@@ -148,7 +148,7 @@ def _hits(block: Block, words: Words, hashes: np.ndarray) -> tuple[np.ndarray, n
     return start[same], window[same]
 
 
-def _found(text_col: str, blocks: list) -> Callable:
+def _found(text_col: str, blocks: list, carried: str = ROW) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, text_col):
             words = Words(field(batch, text_col), ALPHANUMERIC)
@@ -169,10 +169,10 @@ def _found(text_col: str, blocks: list) -> Callable:
             n_hit = hit[words.first[1:]] - hit[words.first[:-1]]
             names = [sorted(items[i]) if i in items else [] for i in range(batch.num_rows)]
             yield pa.record_batch([
-                batch.column(batch.schema.get_field_index(ROW)), pa.array(words.counts, pa.int64()), pa.array(n_hit, pa.int64()),
+                batch.column(batch.schema.get_field_index(carried)), pa.array(words.counts, pa.int64()), pa.array(n_hit, pa.int64()),
                 pa.array([len(x) for x in names], pa.int64()), pa.array(names, pa.list_(pa.string())),
                 pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names], pa.string()), pa.array(n_hit > 0, pa.bool_())],
-                [ROW, "n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated"])
+                [carried, "n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated"])
     return run
 
 
@@ -190,9 +190,8 @@ class _Local:
         self.shared.__dict__.pop("_value", None)
 
 
-def contamination_rows(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
-                       width: int = WIDTH) -> DataFrame:
-    """The documents as `row` with the result columns beside it."""
+def _blocks(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text: str, width: int) -> list:
+    """The benchmark's windows in blocks of about BLOCK_BYTES, indexed by the rarest word of each."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text")).where("item IS NOT NULL")
     pieces = items.mapInArrow(_pieces("item", "text", width), "item string, words string")
@@ -210,10 +209,25 @@ def contamination_rows(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
             counts[r["word"]] = r["n"]
         block.index(counts)
         blocks.append(_Local(spark.sparkContext.broadcast(block)))
-    rows = rows_of(docs)
+    return blocks
+
+
+def contamination_rows(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
+                       width: int = WIDTH) -> DataFrame:
+    """The documents as `row` with the result columns beside it."""
+    blocks, rows = _blocks(docs, benchmark, text_col, item_col, item_text, width), rows_of(docs)
     return rows.mapInArrow(_found(text_col, blocks), row_schema(rows, RESULTS))
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+                         item_text: str = "text", width: int = WIDTH) -> DataFrame:
+    """The documents without a benchmark window, with all their columns. Only keys come back from the scan."""
+    blocks = _blocks(docs, benchmark, text_col, item_col, item_text, width)
+    texts = docs.select(row_key(id_col, text_col).alias("key"), F.col(f"`{text_col}`").alias("text"))
+    found = texts.mapInArrow(_found("text", blocks, "key"), f"{KEY}, {RESULTS}")
+    return rows_without(docs, stored(found.where("contaminated").select("key").distinct()), id_col, text_col)
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
                        width: int = WIDTH) -> DataFrame:
     """Per document: n_words, n_hit (words inside occurring windows), n_items, items, items_sha256, contaminated."""

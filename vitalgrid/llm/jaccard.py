@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .words import SPACED, Words, field, mixed, ranges, small_batches, windows
-from .work import ROW, dealt, hash_bitmap, in_bitmap, row_schema, rows_of, stored, tasks_of, unpacked
+from .work import ROW, dealt, hash_bitmap, in_bitmap, marked, row_key, rows_of, stored, tasks_of, unpacked
 
 SHINGLE, PERCENT = 5, 75
 LEAST_FREQUENT, MOST_FREQUENT = 32, 1 << 24
@@ -544,9 +544,9 @@ class Join:
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> None:
         self.spark, self.width, self.percent = docs.sparkSession, width, percent
-        self.texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("key"))
+        self.texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("key"))
         self.kind = docs.schema[id_col].dataType.simpleString()
-        self.sets = stored(self.texts.mapInArrow(_sets("id", "text", width), f"id {self.kind}, key long, node long, n long"))
+        self.sets = stored(self.texts.mapInArrow(_sets("id", "text", width), f"id {self.kind}, key struct<a:bigint,b:bigint>, node long, n long"))
         self.nodes = self.sets.where("n > 0").groupBy("node").agg(F.min("id").alias("id"))
 
     def candidates(self) -> tuple[DataFrame, DataFrame]:
@@ -629,26 +629,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return Join(docs, id_col, text_col, width, percent).classes().withColumnRenamed("id", id_col)
 
 
-def _marked(bitmap, wanted: bool) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(in_bitmap(bitmap.value, batch.column(batch.schema.get_field_index("key_hash")).to_numpy().view(np.uint64)) == wanted))
-    return run
-
-
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The documents with one row of each link class: that of the smallest id, a null id last.
 
-    Rows with an empty set all stay. Rows that certainly stay are passed on where they are read; the others, told by
-    a bitmap of fixed size, are joined with the keys to leave out.
+    Rows with an empty set all stay. Texts never leave the JVM here: rows that certainly stay are passed on where they
+    are read; the others, told by a bitmap of fixed size, are joined with the keys to leave out.
     """
     out, once = Join(docs, id_col, text_col, width, percent).surplus()
     out, once = stored(out.select("key").distinct()), stored(once.select("key").distinct())
-    bitmap = hash_bitmap(out.union(once).select(F.xxhash64("key").alias("h")), "h")
-    rows = rows_of(docs).withColumn("key", F.xxhash64(F.col(f"{ROW}.`{id_col}`"), F.col(f"{ROW}.`{text_col}`"))).withColumn("key_hash", F.xxhash64("key"))
-    schema = row_schema(rows.select(ROW), "key long, key_hash long")
-    sure = rows.mapInArrow(_marked(bitmap, False), schema)
-    unsure = rows.mapInArrow(_marked(bitmap, True), schema).join(out, "key", "left_anti").select(ROW, "key", "key_hash")
+    rows = marked(rows_of(docs).withColumn("key", row_key(id_col, text_col, ROW)), out.union(once))
+    unsure = rows.where("maybe").join(out, "key", "left_anti").select(ROW, "key")
     single = unsure.join(once, "key", "left_anti").select(ROW)
     repeated = unsure.join(once, "key", "left_semi").dropDuplicates(["key"]).select(ROW)
-    return unpacked(sure.select(ROW).union(single).union(repeated))
+    return unpacked(rows.where("NOT maybe").select(ROW).union(single).union(repeated))
