@@ -8,19 +8,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitalgrid.llm.decontaminate import contamination_rows
+from vitalgrid.llm.decontaminate import without_contaminated
 from vitalgrid.llm.jaccard import one_of_each
 from vitalgrid.llm.packing import pack
 from vitalgrid.llm.secret_scan import redacted
-from vitalgrid.llm.toxicity import fifth, toxicity_rows
-from vitalgrid.llm.work import ship, stored, unpacked
+from vitalgrid.llm.toxicity import fifth, without_toxic
+from vitalgrid.llm.work import ship, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the nearest labelled examples call toxic go."""
     ship(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~fifth())
-    return unpacked(toxicity_rows(docs, labels).where("predicted = 0"))
+    return without_toxic(docs, labels)
 
 
 def one_per_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def one_per_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     ship(spark)
-    return unpacked(contamination_rows(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("NOT contaminated"))
+    return without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def overwrite_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
