@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check import TABLES, rows_of
+from vitalgrid.plans.registry import all_queries, all_sql
 
 FOLDER = "/root/testdata/sf0.001"
 SAMPLE = (
@@ -28,7 +29,7 @@ def test_entry_runs(spark):
 
 
 def test_every_query_but_the_test_table_has_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"group_tests"}
+    assert set(all_queries()) - set(all_sql()) == {"group_tests"}
 
 
 @pytest.mark.parametrize("name", SAMPLE)
