@@ -17,6 +17,7 @@ from ..functions.scalars import age_by_year, shift
 from .joins import null_safe_join
 from .predicates import KEYS, Condition
 from .quantiles import exact_median
+from .shared_scan import MOST_BROADCAST, SharedScan
 
 TWO_KEYS = ("subject_id", "hadm_id")
 
@@ -89,10 +90,13 @@ def leaves(expr: CohortExpr) -> list[Condition]:
     return leaves(expr.left) + leaves(expr.right)
 
 
-def evaluate_expr(expr: CohortExpr, matcher: Callable[[Condition], DataFrame]) -> DataFrame:
-    """Distinct keys for which the expression holds; `matcher` gives the keys of one condition."""
+def evaluate_expr(expr: CohortExpr, matcher: Callable[[Condition], DataFrame] | SharedScan) -> DataFrame:
+    """Distinct keys for which the expression holds.
+
+    `matcher` gives the keys of one condition; a `SharedScan` gives those of all leaves from one reading of each table.
+    """
     conds = list(dict.fromkeys(leaves(expr)))
-    tagged = reduce(DataFrame.unionByName, [matcher(c).select(*KEYS).withColumn("__leaf", F.lit(i)) for i, c in enumerate(conds)])
+    tagged = matcher.many(conds) if isinstance(matcher, SharedScan) else reduce(DataFrame.unionByName, [matcher(c).select(*KEYS).withColumn("__leaf", F.lit(i)) for i, c in enumerate(conds)])
     flags = [F.max(F.when(F.col("__leaf") == i, True).otherwise(False)).alias(f"__f{i}") for i in range(len(conds))]
 
     def test(e: CohortExpr) -> Column:
@@ -103,26 +107,34 @@ def evaluate_expr(expr: CohortExpr, matcher: Callable[[Condition], DataFrame]) -
 
 
 # --- diagnoses ----------------------------------------------------------------------------------------
+def code_hits(dx: DataFrame, codes: Sequence[tuple[str, int]]) -> DataFrame:
+    """(subject_id, hadm_id, __i): one row per diagnosis and requested code (by its position) that it starts with, in the same version.
+
+    A diagnosis is exploded to its prefixes of the requested lengths, and these meet the requested codes by equality: one
+    reading of the diagnoses and no chain of tests, whatever the number of codes.
+    """
+    asked = dx.sparkSession.createDataFrame([(code, int(version), i) for i, (code, version) in enumerate(codes)], "__code string, __version long, __i int")
+    code = F.col("icd_code")
+    prefixes = F.array_compact(F.array(*[F.when(F.length(code) >= n, F.substring(code, 1, n)) for n in sorted({len(c) for c, _ in codes})]))
+    d = dx.filter(F.col("icd_version").isin(sorted({v for _, v in codes})))
+    d = d.select(*TWO_KEYS, F.col("icd_version").cast("long").alias("__version"), F.explode(prefixes).alias("__code"))
+    return d.join(F.broadcast(asked) if len(codes) <= MOST_BROADCAST else asked, ["__code", "__version"]).select(*TWO_KEYS, "__i")
+
+
 def code_matches(dx: DataFrame, codes: Sequence[tuple[str, int]], mode: str = "OR", strict: bool = False, distinct: bool = True) -> DataFrame:
     """Admissions whose codes start with the requested ones in the same version.
 
     OR: any (without `distinct` one row per matching diagnosis and code). AND: as many matching rows as
     requested codes; `strict` wants every requested code instead.
     """
-    hits = [F.col("icd_code").startswith(code) & (F.col("icd_version") == version) for code, version in codes]
-    any_hit = reduce(lambda x, y: x | y, hits)
-    d = dx.filter(any_hit)
-    if mode == "OR":
-        if distinct:
-            return d.select(*TWO_KEYS).distinct()
-        return reduce(DataFrame.union, [dx.filter(h).select(*TWO_KEYS) for h in hits])
-    if mode != "AND":
+    if mode not in ("OR", "AND"):
         raise ValueError("mode is OR or AND")
+    hits = code_hits(dx, codes)
+    if mode == "OR":
+        return hits.select(*TWO_KEYS).distinct() if distinct else hits.select(*TWO_KEYS)
     if strict:
-        flags = d.groupBy(*TWO_KEYS).agg(*[F.max(h).alias(f"h{i}") for i, h in enumerate(hits)])
-        return flags.filter(reduce(lambda x, y: x & y, [F.col(f"h{i}") for i in range(len(hits))])).select(*TWO_KEYS)
-    n = reduce(lambda x, y: x + y, [h.cast("int") for h in hits])
-    return d.groupBy(*TWO_KEYS).agg(F.sum(n).alias("n")).filter(F.col("n") == len(codes)).select(*TWO_KEYS)
+        hits = hits.distinct()
+    return hits.groupBy(*TWO_KEYS).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(codes)).select(*TWO_KEYS)
 
 
 def icd_filter(df: DataFrame, dx: DataFrame, allow: Sequence[tuple[str, int]] = (), deny: Sequence[tuple[str, int]] = (),
@@ -139,7 +151,7 @@ def icd_filter(df: DataFrame, dx: DataFrame, allow: Sequence[tuple[str, int]] =
     return df
 
 
-def evaluate_cohort(expr: CohortExpr | None, matcher: Callable[[Condition], DataFrame], universe: DataFrame, dx: DataFrame, patients: DataFrame,
+def evaluate_cohort(expr: CohortExpr | None, matcher: Callable[[Condition], DataFrame] | SharedScan, universe: DataFrame, dx: DataFrame, patients: DataFrame,
                     adm: DataFrame, **icd) -> DataFrame:
     """Expression, then diagnosis filter, then only known patients and admissions.
 

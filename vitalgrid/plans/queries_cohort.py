@@ -8,6 +8,7 @@ from ..operators import cohort as C
 from ..operators import predicates as P
 from ..operators.cohort import Leaf
 from ..operators.predicates import Condition
+from ..operators.shared_scan import SharedScan
 from .registry import admissions, catalog, query, read
 
 KEYS = "subject_id, hadm_id, stay_id"
@@ -19,6 +20,11 @@ def match(cat, cond: Condition, cohort=None, table=None):
     return P.match_events(events, cat.table("icustays"), cat.concept("icustay_times"), cond, cohort)
 
 
+def scan(cat, cohort=None) -> SharedScan:
+    """Conditions of one cohort expression, with one reading of each event table."""
+    return SharedScan(cat.table, cat.table("icustays"), cat.concept("icustay_times"), cohort)
+
+
 def _leaf(name: str, cond: Condition, sql: str) -> None:
     @query(name, sql)
     def build(spark, d):
@@ -152,13 +158,48 @@ def cohort_or_two(spark, d):
 def cohort_expr(spark, d):
     cat = catalog(spark, d)
     expr = C.fold_right([Leaf(HIGH_HR), "&", Leaf(LOW_SAT), "|", Leaf(LACTATE)])
-    return C.evaluate_expr(expr, lambda c: match(cat, c))
+    return C.evaluate_expr(expr, scan(cat))
 
 
 @query("cohort_expression_parentheses", f"(SELECT * FROM (({_COHORT_SQL}) INTERSECT ({_LOW_SAT_SQL}))) UNION ({_LACTATE_SQL})")
 def cohort_expr_paren(spark, d):
     cat = catalog(spark, d)
-    return C.evaluate_expr((Leaf(HIGH_HR) & Leaf(LOW_SAT)) | Leaf(LACTATE), lambda c: match(cat, c))
+    return C.evaluate_expr((Leaf(HIGH_HR) & Leaf(LOW_SAT)) | Leaf(LACTATE), scan(cat))
+
+
+#: One condition of every sort, over four tables.
+RULES = [
+    (HIGH_HR, _COHORT_SQL),
+    (LACTATE, _LACTATE_SQL),
+    (Condition("chartevents", RHYTHM, "value", "Contains", "Sinus T"), _chart(f"itemid = {RHYTHM} AND value LIKE '%Sinus T%'")),
+    (Condition("chartevents", RHYTHM, "value", "Is Not", "af (atrial fibrillation)"), _chart(f"itemid = {RHYTHM} AND upper(trim(value)) <> 'AF (ATRIAL FIBRILLATION)'")),
+    (Condition("chartevents", 220739, "valuenum", "Is True"), _chart("itemid = 220739 AND valuenum = 1")),
+    (Condition("chartevents", HR, "value", "<", 12), _chart(f"itemid = {HR} AND {_NUM} < 12")),
+    (Condition("chartevents", HR, "valuenum", ">", 100, "mean"), _chart(f"itemid = {HR}", "avg(valuenum) > 100")),
+    (Condition("chartevents", HR, "valuenum", ">", 102.5, "median"), _chart(f"itemid = {HR}", "quantile_cont(valuenum, 0.5) > 102.5")),
+    (Condition("chartevents", HR, "valuenum", ">", 140, None, (0, 24)),
+     f"SELECT DISTINCT {', '.join('c.' + k for k in KEYS.split(', '))} FROM v_chartevents c JOIN {_GRID.format('c', 'c')} WHERE itemid = {HR} AND hr BETWEEN 0 AND 24 AND valuenum > 140"),
+    (Condition("chartevents", HR, "valuenum", ">", 405.05, "sum", (-5, 20)),
+     f"SELECT c.subject_id, c.hadm_id, c.stay_id FROM v_chartevents c JOIN {_GRID.format('c', 'c')} WHERE itemid = {HR} AND hr BETWEEN -5 AND 20 GROUP BY ALL HAVING sum(valuenum) > 405.05"),
+    (Condition("labevents", 50813, "valuenum", ">", 9, "mean", (0, 48)),
+     f"SELECT i.subject_id, i.hadm_id, i.stay_id FROM v_labevents t JOIN {_STAY.format('charttime')} JOIN {_GRID.format('i', 't')} WHERE itemid = 50813 AND hr BETWEEN 0 AND 48 "
+     "GROUP BY ALL HAVING avg(valuenum) > 9"),
+    (Condition("inputevents", 221906, "rate", ">", 0.3), f"SELECT DISTINCT {KEYS} FROM v_inputevents WHERE itemid = 221906 AND rate > 0.3"),
+    (Condition("datetimeevents", 224280, "value", "<", _AT, "max"), f"SELECT {KEYS} FROM v_datetimeevents WHERE itemid = 224280 GROUP BY ALL HAVING max(value) < TIMESTAMP '{_AT}'"),
+    (Condition("datetimeevents", 224280, "value", ">=", _AT), _DATES.format(">=")),
+]
+
+
+@query("filter_many_conditions", " UNION ALL ".join(f"SELECT {i} AS leaf, {KEYS} FROM ({sql})" for i, (_, sql) in enumerate(RULES)))
+def many_conditions(spark, d):
+    return scan(catalog(spark, d)).many([c for c, _ in RULES]).withColumnRenamed("__leaf", "leaf")
+
+
+@query("filter_many_conditions_cohort", f"""SELECT 0 AS leaf, c.subject_id, c.hadm_id, c.stay_id FROM v_chartevents c JOIN ({_COHORT_SQL}) k USING ({KEYS}) WHERE itemid = 220277 GROUP BY ALL HAVING avg(valuenum) < 88
+    UNION ALL SELECT 1, {KEYS} FROM (({_LOW_SAT_SQL}) INTERSECT ({_COHORT_SQL}))""")
+def many_conditions_cohort(spark, d):
+    cat = catalog(spark, d)
+    return scan(cat, match(cat, HIGH_HR)).many([Condition("chartevents", 220277, "valuenum", "<", 88, "mean"), LOW_SAT]).withColumnRenamed("__leaf", "leaf")
 
 
 def _dx(codes) -> str:
@@ -181,6 +222,17 @@ def code_repeated(spark, d):
     return C.icd_filter(dx.select("subject_id", "hadm_id").distinct(), dx, _ALLOW, duplicates=True)
 
 
+#: Every two-letter prefix of either version, most of which no diagnosis has.
+_LIST = [(f"Brand#{a}{b}", v) for v in (9, 10) for a in range(10) for b in range(10)] + [(chr(97 + a) + chr(97 + b), 10) for a in range(26) for b in range(26)] + [("Brand", 9)]
+
+
+@query("code_list_hits", f"SELECT subject_id, hadm_id, count(*) AS n FROM v_hosp_diagnoses JOIN (VALUES {', '.join(f'({c!r}, {v})' for c, v in _LIST)}) AS t(code, version) "
+                         "ON starts_with(icd_code, code) AND icd_version = version GROUP BY ALL")
+def code_list(spark, d):
+    dx = admissions(spark, d).diagnoses_icd()
+    return C.code_matches(dx, _LIST, distinct=False).groupBy("subject_id", "hadm_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("code_filter_all", f"SELECT subject_id, hadm_id FROM v_hosp_diagnoses WHERE {_dx(_ALLOW)} GROUP BY ALL HAVING count(*) = 2")
 def code_all(spark, d):
     dx = admissions(spark, d).diagnoses_icd()
@@ -206,7 +258,7 @@ _COHORT_EVAL = (f"SELECT * FROM (({_COHORT_SQL}) UNION ({_LACTATE_SQL})) WHERE h
 
 def _cohort(spark, d):
     cat = catalog(spark, d)
-    return C.evaluate_cohort(Leaf(HIGH_HR) | Leaf(LACTATE), lambda c: match(cat, c), cat.table("icustays"), cat.table("diagnoses_icd"), cat.table("patients"),
+    return C.evaluate_cohort(Leaf(HIGH_HR) | Leaf(LACTATE), scan(cat), cat.table("icustays"), cat.table("diagnoses_icd"), cat.table("patients"),
                              cat.table("admissions"), allow=_COH_DX, deny=[("B20", 10)])
 
 
@@ -218,7 +270,7 @@ def evaluate(spark, d):
 @query("evaluate_cohort_codes_only", f"SELECT {KEYS} FROM v_icustays WHERE hadm_id IN (SELECT hadm_id FROM v_diagnoses_icd WHERE {_dx([('C', 10)])})")
 def evaluate_codes(spark, d):
     cat = catalog(spark, d)
-    return C.evaluate_cohort(None, lambda c: match(cat, c), cat.table("icustays"), cat.table("diagnoses_icd"), cat.table("patients"), cat.table("admissions"), allow=[("C", 10)])
+    return C.evaluate_cohort(None, scan(cat), cat.table("icustays"), cat.table("diagnoses_icd"), cat.table("patients"), cat.table("admissions"), allow=[("C", 10)])
 
 
 @query("cohort_summary", f"""SELECT count(DISTINCT subject_id) AS subjects, count(DISTINCT hadm_id) AS admissions, count(DISTINCT stay_id) AS stays, CAST(100 AS DOUBLE) AS subjects_with_stay_pct,
