@@ -144,3 +144,10 @@ def ship(spark: SparkSession) -> None:
             out.write(os.path.join(top, name), f"vitalgrid/{name}")
     context.addPyFile(path)
     context._vitalgrid_llm_sent = True
+
+
+def lean(spark: SparkSession, size: str = "4m") -> None:
+    """Arrow batches of at most `size`, where the session still has the default of 64 MB: whole texts pass in fewer MB a task."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) in ("64m", "67108864", "67108864b"):
+        spark.conf.set(name, size)
