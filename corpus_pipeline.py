@@ -13,37 +13,43 @@ from vitalgrid.llm.jaccard import one_of_each
 from vitalgrid.llm.packing import pack
 from vitalgrid.llm.secret_scan import redacted
 from vitalgrid.llm.toxicity import fifth, without_toxic
-from vitalgrid.llm.work import ship, stored
+from vitalgrid.llm.work import lean, ship, stored
+
+
+def prepare(spark: SparkSession) -> None:
+    """The package on the executors, and small batches, since the stages follow each other in the same executors."""
+    ship(spark)
+    lean(spark)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the nearest labelled examples call toxic go."""
-    ship(spark)
+    prepare(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~fifth())
     return without_toxic(docs, labels)
 
 
 def one_per_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates stays."""
-    ship(spark)
+    prepare(spark)
     return one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    ship(spark)
+    prepare(spark)
     return without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def overwrite_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets give way to a mark; every document stays."""
-    ship(spark)
+    prepare(spark)
     return redacted(docs)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the tokenised documents with their places in sequences."""
-    ship(spark)
+    prepare(spark)
     return pack(docs)
 
 
