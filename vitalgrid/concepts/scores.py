@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import DAY, HOUR, datetime_diff, logistic, micros, round_dec, shift, trunc_to
-from ..operators.joins import anchored, interval_join, overlaps, star_join
+from ..operators.joins import Alternative, anchored, interval_join, match_first, overlaps, star_join
 from ..operators.reshape import grid_bounds, hour_index
 from ..operators.scoring import RuleScore, add_scores, bands, code_flags, total, worst_of
 from ..operators.windows import Agg, Order, neighbours, range_window, row_numbers, top1
@@ -325,8 +325,7 @@ def apsiii(cat: Catalog) -> DataFrame:
 def suspicion_of_infection(cat: Catalog) -> DataFrame:
     """Each antibiotic with the first culture up to 72 h before and up to 24 h after it.
 
-    Cultures with a time are matched by time, cultures with a date only by day: two interval joins,
-    then one aggregate that keeps the first culture per side.
+    Cultures with a time are matched by time, cultures with a date only by day; the first culture counts on either side.
     """
     ab = cat.concept("antibiotic").select("subject_id", "hadm_id", "stay_id", "antibiotic", F.col("starttime").alias("antibiotic_time"), "stoptime")
     ab = row_numbers(ab, ["subject_id"], "antibiotic_time", "ab_id", tie=["stoptime", "antibiotic", "stay_id"])
@@ -338,21 +337,11 @@ def suspicion_of_infection(cat: Catalog) -> DataFrame:
     me = me.withColumn("at", F.coalesce("culturetime", "chartdate"))
     timed, dated = me.filter(F.col("culturetime").isNotNull()), me.filter(F.col("culturetime").isNull())
     c, d = F.col("culturetime"), F.col("chartdate")
-
-    def sides(cultures: DataFrame, before: tuple[Column, Column], after: tuple[Column, Column]) -> DataFrame:
-        return cultures.withColumn("side", F.lit("before")).withColumn("w_lo", before[0]).withColumn("w_hi", before[1]).unionByName(
-            cultures.withColumn("side", F.lit("after")).withColumn("w_lo", after[0]).withColumn("w_hi", after[1]))
-    points = ab.select("subject_id", "ab_id", "antibiotic_time", "antibiotic_date")
-    t = F.col("antibiotic_time")
-    by_time = interval_join(points, sides(timed, (c, shift(c, 72, "hour")), (shift(c, -24, "hour"), c)), ["subject_id"], "antibiotic_time", "w_lo", "w_hi")
-    by_time = by_time.filter(F.when(F.col("side") == "before", t > c).otherwise(t < c))
-    by_date = interval_join(points, sides(dated, (d, shift(d, 3, "day")), (shift(d, -1, "day"), d)), ["subject_id"], "antibiotic_date", "w_lo", "w_hi")
-    hits = by_time.unionByName(by_date).select("subject_id", "ab_id", "side", "micro_specimen_id", "chartdate", "culturetime", "at", "specimen", "positive")
-    first = top1(hits, ["subject_id", "ab_id", "side"], [Order("chartdate", nulls_first=True), Order("culturetime"), Order("micro_specimen_id")])
-
-    def pick(side: str) -> DataFrame:
-        return first.filter(F.col("side") == side).select("subject_id", "ab_id", *[F.col(x).alias(f"{side}_{x}") for x in ("at", "specimen", "positive")])
-    out = ab.join(pick("before"), ["subject_id", "ab_id"], "left").join(pick("after"), ["subject_id", "ab_id"], "left")
+    windows = [
+        Alternative(timed, "antibiotic_time", c, shift(c, 72, "hour"), "(]", "before"), Alternative(dated, "antibiotic_date", d, shift(d, 3, "day"), "[]", "before"),
+        Alternative(timed, "antibiotic_time", shift(c, -24, "hour"), c, "[)", "after"), Alternative(dated, "antibiotic_date", shift(d, -1, "day"), d, "[]", "after")]
+    order = [Order("chartdate", nulls_first=True), Order("culturetime"), Order("micro_specimen_id")]
+    out = match_first(ab, ["subject_id", "ab_id"], ["subject_id"], windows, order, {x: x for x in ("at", "specimen", "positive")})
     none = F.col("before_specimen").isNull() & F.col("after_specimen").isNull()
     return out.select(
         "subject_id", "stay_id", "hadm_id", "ab_id", "antibiotic", "antibiotic_time", F.when(none, 0).otherwise(1).alias("suspected_infection"),

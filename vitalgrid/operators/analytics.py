@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
@@ -13,7 +14,7 @@ from ..functions.scalars import NUMBER_PATTERN, age_by_year, cut, guarded_number
 from ..sources.schemas import EVENTS
 from .joins import attach_stay
 from .predicates import compare, in_hours
-from .quantiles import exact_quantiles
+from .quantiles import exact_quantiles, ranked_values
 from .windows import Order, top_k
 
 
@@ -55,10 +56,7 @@ _FN: dict[str, Callable] = {"mean": F.avg, "min": F.min, "max": F.max, "sum": F.
 def aggregate_bins(df: DataFrame, by: Sequence[str], fn: str, value: str = "value") -> DataFrame:
     """One aggregate per (bin, stay); NULL for a group without values."""
     if fn == "median":
-        middle = exact_quantiles(df, by, value, {"aggr": 0.5})
-        groups = df.select(*by).distinct()
-        same = reduce(lambda x, y: x & y, [groups[b].eqNullSafe(middle[b]) for b in by])
-        return groups.join(middle, same, "left").select(*[groups[b] for b in by], "aggr")
+        return exact_quantiles(df, by, value, {"aggr": 0.5}, keep_empty=True)
     return df.groupBy(*by).agg(_FN[fn](value).alias("aggr"))
 
 
@@ -71,15 +69,14 @@ def bin_aggregate(series: DataFrame, start: int, end: int, step: int, fn: str, p
 
 def trajectory(df: DataFrame, by: Sequence[str] = ("interval", "strat"), value: str = "aggr") -> DataFrame:
     """Quartiles and number of observations per bin and stratum."""
-    q = exact_quantiles(df, by, value, {"ymin": 0.25, "median_aggr": 0.5, "ymax": 0.75})
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).join(q, list(by), "left").select(*by, "n", "ymin", "median_aggr", "ymax")
+    q = exact_quantiles(df, by, value, {"ymin": 0.25, "median_aggr": 0.5, "ymax": 0.75}, stats={"n": "rows"}, keep_empty=True)
+    return q.select(*by, "n", "ymin", "median_aggr", "ymax")
 
 
 def box_stats(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Five-number summary and count per group."""
-    q = exact_quantiles(df, by, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    s = df.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"))
-    return s.join(q, list(by), "left").select(*by, "n", "low", "q1", "median", "q3", "high")
+    q = exact_quantiles(df, by, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, stats={"n": "count", "low": "min", "high": "max"}, keep_empty=True)
+    return q.select(*by, "n", "low", "q1", "median", "q3", "high")
 
 
 def histogram(df: DataFrame, by: Sequence[str], value: str, lo: float, hi: float, bins: int) -> DataFrame:
@@ -105,8 +102,7 @@ def item_preview(events: DataFrame, itemid: int | None, field: str) -> DataFrame
     d = events if itemid is None else events.filter(F.col("itemid") == itemid)
     v = guarded_number(field) if isinstance(events.schema[field].dataType, StringType) else F.col(field).cast("double")
     d = d.select("itemid", v.alias("v"))
-    s = d.groupBy("itemid").agg(F.min("v").alias("min"), F.avg("v").alias("mean"), F.max("v").alias("max"))
-    return s.join(exact_quantiles(d, ["itemid"], "v", {"q25": 0.25, "median": 0.5, "q75": 0.75}), "itemid", "left").select(
+    return exact_quantiles(d, ["itemid"], "v", {"q25": 0.25, "median": 0.5, "q75": 0.75}, stats={"min": "min", "mean": "mean", "max": "max"}, keep_empty=True).select(
         "itemid", "min", "q25", "median", "mean", "q75", "max")
 
 
@@ -246,31 +242,20 @@ def variable_summary(long: DataFrame, by_stratum: bool = True) -> DataFrame:
     """Distribution of every numeric variable, by stratum on request: count, mean, spread, five numbers."""
     by = ["variable", "strat"] if by_stratum else ["variable"]
     d = long.filter(F.col("number").isNotNull())
-    s = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("number").alias("mean"), F.stddev("number").alias("sd"), F.min("number").alias("min"), F.max("number").alias("max"))
-    return s.join(exact_quantiles(d, by, "number", {"q1": 0.25, "median": 0.5, "q3": 0.75}), by).select(*by, "n", "mean", "sd", "min", "q1", "median", "q3", "max")
+    stats = {"n": "count", "mean": "mean", "sd": "sd", "min": "min", "max": "max"}
+    return exact_quantiles(d, by, "number", {"q1": 0.25, "median": 0.5, "q3": 0.75}, stats=stats).select(*by, "n", "mean", "sd", "min", "q1", "median", "q3", "max")
 
 
 # --- tests -------------------------------------------------------------------------------------------
 def rank_sums(long: DataFrame) -> DataFrame:
     """Kruskal-Wallis statistic per numeric variable.
 
-    Ranks are needed per distinct value only: values are counted, the running count gives the average rank of a
-    value, and rank sums are weighted by counts. The running count is taken per value range and shifted by the
-    counts of the ranges below, so a variable with many values is never ordered in one task.
+    Ranks are needed per distinct value only: the number of smaller values gives the average rank of a value, and rank
+    sums are weighted by counts.
     """
     d = long.filter(F.col("number").isNotNull())
     cells = d.groupBy("variable", "number", "strat").agg(F.count(F.lit(1)).alias("n"))
-    values = cells.groupBy("variable", "number").agg(F.sum("n").alias("t"))
-    seen = F.when(F.col("t") > 0, F.col("number"))
-    limits = values.groupBy("variable").agg(F.percentile_approx(seen, F.array(*[F.lit(i / 32) for i in range(1, 32)]), F.lit(1000)).alias("__cuts"))
-    cut_of = reduce(lambda a, b: a + b, [F.when(F.col("__cuts")[i] < F.col("number"), 1).otherwise(0) for i in range(31)])
-    v = values.join(limits, "variable").withColumn("__cut", cut_of).drop("__cuts")
-    sizes = v.groupBy("variable", "__cut").agg(F.sum("t").alias("__n"))
-    below = Window.partitionBy("variable").orderBy("__cut").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("variable", "__cut", F.coalesce(F.sum("__n").over(below), F.lit(0)).alias("__below"))
-    local = Window.partitionBy("variable", "__cut").orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
-    v = v.withColumn("__upto", F.sum("t").over(local)).join(sizes, ["variable", "__cut"])
-    v = v.select("variable", "number", "t", (F.col("__below") + F.col("__upto") - (F.col("t") - 1) / 2.0).alias("rank"))
+    v = ranked_values(d, ["variable"], "number").select("variable", "number", F.col("n").alias("t"), (F.col("below") + (F.col("n") + 1) / 2.0).alias("rank"))
     groups = cells.join(v.select("variable", "number", "rank"), ["variable", "number"]).groupBy("variable", "strat").agg(
         F.sum("n").alias("n"), F.sum(F.col("n") * F.col("rank")).alias("r"))
     h = groups.groupBy("variable").agg(F.sum("n").alias("total"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("q"), F.count(F.lit(1)).alias("groups"))
@@ -294,52 +279,46 @@ def contingency(long: DataFrame) -> DataFrame:
                                                ((F.col("k") - 1) * (F.col("m") - 1)).cast("int").alias("df"))
 
 
-def upper_gamma(a: float, x: float) -> float:
-    """Regularised upper incomplete gamma function, by series or continued fraction."""
-    import math
-    if x <= 0:
-        return 1.0
-    scale = math.exp(-x + a * math.log(x) - math.lgamma(a))
-    if x < a + 1:
-        term = total = 1.0 / a
-        n = a
-        while abs(term) > abs(total) * 1e-16:
-            n += 1
-            term *= x / n
-            total += term
-        return 1.0 - total * scale
-    b = x + 1 - a
-    c, d = 1e300, 1.0 / b
-    h = d
-    for i in range(1, 10000):
-        an = -i * (i - a)
-        b += 2
-        d = 1.0 / (an * d + b)
-        c = b + an / c
-        step = d * c
-        h *= step
-        if abs(step - 1) < 1e-16:
-            break
-    return h * scale
-
-
-def chi_square_tail(statistic: float | None, df: int) -> float | None:
-    return None if statistic is None or df < 1 else upper_gamma(df / 2.0, max(statistic, 0.0) / 2.0)
+TERMS = 400
+
+
+def half_tail(x: Column) -> Column:
+    """Regularised upper incomplete gamma function of 1/2: a series below 2, a continued fraction from there on."""
+    root = F.sqrt(x)
+    # P(1/2, x) = sqrt(x / pi) e^-x sum of x^n / (1/2 * 3/2 * ... * (n + 1/2))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(60)), F.struct(F.lit(2.0).alias("sum"), F.lit(2.0).alias("term")),
+                         lambda s, n: F.struct((s["sum"] + s["term"] * x / (n + 0.5)).alias("sum"), (s["term"] * x / (n + 0.5)).alias("term")), lambda s: s["sum"])
+    low = 1 - series * root * F.exp(-x) / F.lit(math.sqrt(math.pi))
+    # Q(1/2, x) = e^-x sqrt(x / pi) / (x + 1/2 - (1/2 * 1) / (x + 5/2 - (3/2 * 2) / (x + 9/2 - ...))), from the innermost fraction outwards
+    fraction = F.aggregate(F.sequence(F.lit(TERMS), F.lit(1), F.lit(-1)), x + 2.0 * TERMS + 0.5, lambda f, n: x + 2.0 * (n - 1) + 0.5 - n * (n - 0.5) / f)
+    high = F.exp(-x) * root / F.lit(math.sqrt(math.pi)) / fraction
+    return F.when(x < 2, low).otherwise(high)
+
+
+def chi_square_tail(statistic: Column, df: Column) -> Column:
+    """Upper tail of the chi-square distribution: a finite sum for whole and half arguments of the gamma function."""
+    x, odd = statistic / 2, (df % 2) == 1
+    half = F.when(odd, 0.5).otherwise(0.0)
+    # terms x^(i - 1 + half) e^-x / gamma(i + half); logarithms keep the first ones when e^-x is too small for a double
+    start = half * F.log(x) - x - F.when(odd, math.lgamma(1.5)).otherwise(0.0)
+    steps = F.floor(df / 2).cast("int")
+    terms = F.when(steps > 0, F.sequence(F.lit(1), steps)).otherwise(F.array().cast("array<int>"))
+    total = F.aggregate(terms, F.struct(F.lit(0.0).alias("sum"), start.alias("log")),
+                        lambda s, i: F.struct((s["sum"] + F.exp(s["log"])).alias("sum"), (s["log"] + F.log(x) - F.log(i + half)).alias("log")), lambda s: s["sum"])
+    tail = F.when(odd, half_tail(x) + total).otherwise(total)
+    return F.when(statistic.isNull() | (df < 1), None).when(statistic <= 0, 1.0).otherwise(F.least(tail, F.lit(1.0)))
 
 
 def group_tests(long: DataFrame) -> DataFrame:
     """p value per variable and its false-discovery-rate adjusted q value.
 
-    The statistics are distributed aggregates; only one row per variable reaches the driver for the tail
-    probabilities. q: p times tests over rank, made monotone from the largest rank down.
+    q: p times tests over rank, made monotone from the largest rank down, by windows over one row per variable.
     """
-    stats = rank_sums(long).unionByName(contingency(long)).collect()
-    rows = [(r["variable"], r["test"], r["statistic"], r["df"], chi_square_tail(r["statistic"], r["df"])) for r in stats]
-    tested = sorted((r for r in rows if r[4] is not None), key=lambda r: (r[4], r[0]))
-    q: dict[str, float] = {}
-    low = 1.0
-    for i in range(len(tested), 0, -1):
-        low = min(low, tested[i - 1][4] * len(tested) / i)
-        q[tested[i - 1][0]] = low
-    schema = "variable string, test string, statistic double, df int, p_value double, q_value double"
-    return long.sparkSession.createDataFrame([(*r, q.get(r[0])) for r in rows], schema)
+    stats = rank_sums(long).unionByName(contingency(long))
+    p = stats.withColumn("p_value", chi_square_tail(F.col("statistic"), F.col("df")))
+    order = Window.orderBy(F.col("p_value").asc_nulls_last(), "variable")
+    ranked = p.withColumns({"__rank": F.row_number().over(order), "__tests": F.count("p_value").over(Window.partitionBy())})
+    raised = F.col("p_value") * F.col("__tests") / F.col("__rank")
+    up = Window.orderBy(F.desc("__rank")).rowsBetween(Window.unboundedPreceding, 0)
+    q = F.when(F.col("p_value").isNotNull(), F.least(F.lit(1.0), F.min(raised).over(up)))
+    return ranked.select("variable", "test", "statistic", "df", "p_value", q.alias("q_value"))

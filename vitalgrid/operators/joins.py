@@ -8,12 +8,14 @@ because a point lies in one bucket only.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import DAY, micros
+from .windows import Order
 
 _BUCKET = "__bucket"
 
@@ -49,6 +51,100 @@ def interval_join(points: DataFrame, ivals: DataFrame, key: Sequence[str], ts: s
     return joined.drop(_BUCKET, "__i_bucket", *right_names.values())
 
 
+def _dyadic_cells(low: Column, high: Column, levels: int) -> Column:
+    """Aligned cells (level, number) of 2**level buckets that together are exactly the buckets low..high: at most two a level."""
+    start = F.struct(low.alias("a"), high.alias("z"), F.array().cast("array<struct<level:int,number:bigint>>").alias("cells"))
+
+    def step(s: Column, level: Column) -> Column:
+        a, z = s["a"], s["z"]
+        cell = lambda n: F.struct(level.alias("level"), n.alias("number"))
+        left, right = (a <= z) & (F.pmod(a, F.lit(2)) == 1), (a <= z) & (F.pmod(z, F.lit(2)) == 0)
+        more = F.when(left & right, F.array(cell(a), cell(z))).when(left, F.array(cell(a))).when(right, F.array(cell(z)))
+        return F.struct(F.when(left, a + 1).otherwise(a).alias("a"), F.when(right, z - 1).otherwise(z).alias("z"), F.concat(s["cells"], F.coalesce(more, F.array().cast("array<struct<level:int,number:bigint>>"))).alias("cells"))
+
+    def climb(s: Column, level: Column) -> Column:
+        t = step(s, level)
+        open_ = t["a"] <= t["z"]
+        return F.struct(F.when(open_, F.shiftright(t["a"], 1)).otherwise(1).alias("a"), F.when(open_, F.shiftright(t["z"], 1)).otherwise(0).alias("z"), t["cells"].alias("cells"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(levels - 1)), start, climb, lambda s: s["cells"])
+
+
+def dyadic_join(points: DataFrame, ivals: DataFrame, key: Sequence[str], ts: str, start: str, end: str,
+                bounds: str = "[]", how: str = "inner", span: int = DAY) -> DataFrame:
+    """`interval_join` for intervals of any length: one of n buckets costs at most 2 log2(n) rows instead of n.
+
+    An interval becomes aligned cells of 1, 2, 4, … buckets of `span` microseconds; a point looks up one cell on each level
+    that some interval has (known from one aggregate over the intervals, at most 64 numbers). A pair meets in
+    exactly one cell. For the joins that keep or test points, matched points are told by a 128-bit hash of the whole row, so
+    repeated rows share their fate, as they must.
+    """
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError(f"unknown join {how}")
+    bucket = lambda c: F.floor(micros(c) / F.lit(span)).cast("long")
+    levels = (2 ** 63 // span).bit_length() + 1
+    names = {k: f"__i_{k}" for k in key}
+    i = ivals.filter(F.col(start) <= F.col(end))
+    i = i.select("*", F.explode(_dyadic_cells(bucket(start), bucket(end), levels)).alias("__c"))
+    i = i.select(*[c for c in i.columns if c != "__c"], F.col("__c.level").alias("__level"), F.col("__c.number").alias("__number")).withColumnsRenamed(names)
+    present = i.agg(F.collect_set("__level").alias("__levels")).select(F.lit(1).alias("__one"), "__levels")  # one row
+    content = F.struct(*[F.col(c) for c in points.columns])
+    p = points.withColumn("__row", F.struct(F.xxhash64(content).alias("a"), F.xxhash64(F.lit(7), content).alias("b")))
+    seeking = p.withColumn("__one", F.lit(1)).join(F.broadcast(present), "__one").drop("__one").withColumn("__at", F.explode("__levels")).drop("__levels")
+    seeking = seeking.withColumn("__cell", F.floor(bucket(ts) / F.pow(F.lit(2.0), F.col("__at"))).cast("long"))
+    cond = (F.col("__at") == F.col("__level")) & (F.col("__cell") == F.col("__number")) & _bounds(F.col(ts), F.col(start), F.col(end), bounds)
+    for k in key:
+        cond = cond & (F.col(k) == F.col(names[k]))
+    hits = seeking.join(i, cond).drop("__at", "__cell", "__level", "__number", *names.values())
+    if how == "inner":
+        return hits.drop("__row")
+    matched = hits.select(F.col("__row").alias("__hit")).distinct()
+    if how in ("left_semi", "left_anti"):
+        return p.join(matched, F.col("__row") == F.col("__hit"), how).drop("__row")
+    rest = p.join(matched, F.col("__row") == F.col("__hit"), "left_anti")
+    return hits.unionByName(rest, allowMissingColumns=True).drop("__row")
+
+
+@dataclass(frozen=True)
+class Alternative:
+    """A window from `low` to `high` around each right row, held against the left time `ts`; `name` is the side it belongs to."""
+
+    rows: DataFrame
+    ts: str
+    low: Column
+    high: Column
+    bounds: str = "[]"
+    name: str = ""
+
+
+def match_first(left: DataFrame, ident: Sequence[str], key: Sequence[str], alternatives: Sequence[Alternative], order: Sequence[Order],
+                take: Mapping[str, str], span: int = DAY) -> DataFrame:
+    """Left rows with columns of the first right row that any of several windows gives them, NULL without one.
+
+    The windows are stacked into one interval table and the left times they ask for into one point table, so there is one
+    interval join whatever their number. The first hit (by `order` over right columns, then by the position of the alternative) is
+    an aggregate, which keeps one row per left row in every task. `ident` names left columns that tell left rows apart, `take`
+    maps output names to right columns. Alternatives with a name give a first hit of their own each name, its columns
+    prefixed with the name.
+    """
+    if clash := {o.col for o in order} & set(ident):
+        raise ValueError(f"order columns {sorted(clash)} are columns of the left side")
+    lines = list(dict.fromkeys(w.ts for w in alternatives))
+    names = list(dict.fromkeys(w.name for w in alternatives))
+    points = reduce(DataFrame.unionByName, [left.select(*dict.fromkeys([*ident, *key]), F.col(t).alias("__ts"), F.lit(i).alias("__line")) for i, t in enumerate(lines)])
+    needed = list(dict.fromkeys([*take.values(), *[o.col for o in order]]))
+    windows = [w.rows.select(*key, F.struct(*[F.col(c) for c in needed]).alias("__right"), w.low.alias("__low"), w.high.alias("__high"), F.lit(lines.index(w.ts)).alias("__line"),
+                             F.lit(n).alias("__place"), F.lit(w.bounds).alias("__bounds"), F.lit(w.name).alias("__name")) for n, w in enumerate(alternatives)]
+    t, low, high, bounds = (F.col(c) for c in ("__ts", "__low", "__high", "__bounds"))
+    inside = ((t > low) | bounds.startswith("[")) & ((t < high) | bounds.endswith("]"))
+    hits = interval_join(points, reduce(DataFrame.unionByName, windows), [*key, "__line"], "__ts", "__low", "__high", "[]", "inner", span, inside)
+    hits = hits.select(*ident, "__name", "__place", "__right", *[F.col("__right").getField(o.col).alias(o.col) for o in order])
+    rank = F.struct(*[c.alias(f"r{i}") for i, c in enumerate([*[part for o in order for part in o.rank_parts(hits)], F.col("__place")])])
+    first = lambda n: F.min_by("__right", F.when(F.col("__name") == n, rank))
+    best = hits.groupBy(*ident).agg(*[first(n).alias(f"__first{i}") for i, n in enumerate(names)])
+    best = best.select(*ident, *[F.col(f"__first{i}").getField(src).alias(f"{n}_{out}" if n else out) for i, n in enumerate(names) for out, src in take.items()])
+    return null_safe_join(left, best, list(ident), "left")
+
+
 def contained_join(segs: DataFrame, ivals: DataFrame, key: Sequence[str], seg: tuple[str, str], ival: tuple[str, str],
                    how: str = "left", span: int = DAY) -> DataFrame:
     """Segments that lie fully inside an interval of the same key (bucketed by the segment's start)."""

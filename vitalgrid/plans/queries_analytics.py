@@ -171,25 +171,36 @@ def var_summary(spark, d):
     return A.variable_summary(long_table(spark, d))
 
 
-@query("rank_test_statistic", """WITH r AS (SELECT variable, strat, rank() OVER w + (count(*) OVER (PARTITION BY variable, number) - 1) / 2 AS rk, number FROM v_an_long WHERE number IS NOT NULL
+_RANK_SQL = """WITH r AS (SELECT variable, strat, rank() OVER w + (count(*) OVER (PARTITION BY variable, number) - 1) / 2 AS rk, number FROM v_an_long WHERE number IS NOT NULL
         WINDOW w AS (PARTITION BY variable ORDER BY number)),
     g AS (SELECT variable, strat, count(*) AS n, sum(rk) AS r FROM r GROUP BY 1, 2), t AS (SELECT variable, sum(c * c * c - c) AS ties FROM (SELECT variable, number, CAST(count(*) AS DOUBLE) AS c FROM r GROUP BY 1, 2) GROUP BY 1),
     h AS (SELECT variable, CAST(sum(n) AS DOUBLE) AS n, sum(r * r / n) AS q, count(*) AS k FROM g GROUP BY 1)
-    SELECT h.variable, 'rank' AS test, (12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - ties / (n * n * n - n)) AS statistic, CAST(k - 1 AS INTEGER) AS df FROM h JOIN t ON t.variable = h.variable""", {"statistic": 6})
+    SELECT h.variable, 'rank' AS test, (12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - ties / (n * n * n - n)) AS statistic, CAST(k - 1 AS INTEGER) AS df FROM h JOIN t ON t.variable = h.variable"""
+_CHI_SQL = """WITH c AS (SELECT variable, text, strat, CAST(count(*) AS DOUBLE) AS n FROM v_an_long WHERE number IS NULL AND text IS NOT NULL GROUP BY ALL),
+    a AS (SELECT v.variable, v.text, x.strat FROM (SELECT DISTINCT variable, text FROM c) v JOIN (SELECT DISTINCT variable, strat FROM c) x ON x.variable = v.variable),
+    f AS (SELECT a.*, coalesce(n, 0) AS n FROM a LEFT JOIN c USING (variable, text, strat)),
+    e AS (SELECT *, sum(n) OVER (PARTITION BY variable, text) * sum(n) OVER (PARTITION BY variable, strat) / sum(n) OVER (PARTITION BY variable) AS exp FROM f)
+    SELECT variable, 'chi-square' AS test, sum((n - exp) * (n - exp) / exp) AS statistic, CAST((count(DISTINCT text) - 1) * (count(DISTINCT strat) - 1) AS INTEGER) AS df FROM e GROUP BY variable"""
+
+
+@query("rank_test_statistic", _RANK_SQL, {"statistic": 6})
 def rank_test(spark, d):
     return A.rank_sums(long_table(spark, d))
 
 
-@query("chi_square_statistic", """WITH c AS (SELECT variable, text, strat, CAST(count(*) AS DOUBLE) AS n FROM v_an_long WHERE number IS NULL AND text IS NOT NULL GROUP BY ALL),
-    a AS (SELECT v.variable, v.text, x.strat FROM (SELECT DISTINCT variable, text FROM c) v JOIN (SELECT DISTINCT variable, strat FROM c) x ON x.variable = v.variable),
-    f AS (SELECT a.*, coalesce(n, 0) AS n FROM a LEFT JOIN c USING (variable, text, strat)),
-    e AS (SELECT *, sum(n) OVER (PARTITION BY variable, text) * sum(n) OVER (PARTITION BY variable, strat) / sum(n) OVER (PARTITION BY variable) AS exp FROM f)
-    SELECT variable, 'chi-square' AS test, sum((n - exp) * (n - exp) / exp) AS statistic, CAST((count(DISTINCT text) - 1) * (count(DISTINCT strat) - 1) AS INTEGER) AS df FROM e GROUP BY variable""", {"statistic": 6})
+@query("chi_square_statistic", _CHI_SQL, {"statistic": 6})
 def chi_square(spark, d):
     return A.contingency(long_table(spark, d))
 
 
-@query("group_tests", None)
+# the lower tail as a series, with the gamma function of the engine
+_TESTS_SQL = f"""WITH s AS (SELECT * FROM ({_RANK_SQL}) UNION ALL SELECT * FROM ({_CHI_SQL})),
+    p AS (SELECT *, CASE WHEN df < 1 OR statistic IS NULL THEN NULL WHEN statistic <= 0 THEN 1.0 ELSE greatest(0.0, 1 - (SELECT sum(exp((df / 2.0 + i) * ln(statistic / 2) - statistic / 2 - lgamma(df / 2.0 + i + 1))) FROM range(3000) t(i))) END AS p_value FROM s),
+    r AS (SELECT *, row_number() OVER (ORDER BY p_value NULLS LAST, variable) AS k, count(p_value) OVER () AS m FROM p)
+    SELECT variable, test, statistic, df, p_value, CASE WHEN p_value IS NOT NULL THEN least(1.0, min(p_value * m / k) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING)) END AS q_value FROM r"""
+
+
+@query("group_tests", _TESTS_SQL, {"statistic": 6, "p_value": 9, "q_value": 9})
 def group_tests(spark, d):
     return A.group_tests(long_table(spark, d))
 

@@ -74,6 +74,27 @@ for _name, _bounds in (("join_interval_closed", "[]"), ("join_interval_open_star
     _make(_name, _bounds)
 
 
+# intervals of a day to six hundred years
+_LONG = """SELECT c.user_id, c.event_id AS run_id, c.ts - to_days(CAST(200 * (c.event_id % 700) AS INTEGER)) AS run_start, c.ts + to_days(CAST(100 * (c.event_id % 900) AS INTEGER)) AS run_end FROM events c WHERE c.event_type = 'purchase'"""
+_LONG_ON = "q.user_id = p.user_id AND p.ts >= q.run_start AND p.ts < q.run_end"
+for _name, _how, _sql in (
+        ("join_dyadic_inner", "inner", f"SELECT p.user_id, p.event_id, q.run_id FROM events p JOIN ({_LONG}) q ON {_LONG_ON} WHERE p.event_type = 'error'"),
+        ("join_dyadic_left", "left", f"SELECT p.user_id, p.event_id, q.run_id FROM events p LEFT JOIN ({_LONG}) q ON {_LONG_ON} WHERE p.event_type = 'error'"),
+        ("join_dyadic_semi", "left_semi", f"SELECT p.user_id, p.event_id FROM events p WHERE p.event_type = 'error' AND EXISTS (FROM ({_LONG}) q WHERE {_LONG_ON})"),
+        ("join_dyadic_anti", "left_anti", f"SELECT p.user_id, p.event_id FROM events p WHERE p.event_type = 'error' AND NOT EXISTS (FROM ({_LONG}) q WHERE {_LONG_ON})")):
+    def _dyadic(name, how, sql):
+        @query(name, sql)
+        def build(spark, d):
+            ev = read(spark, d, "events")
+            points = ev.filter(F.col("event_type") == "error").select("user_id", "event_id", "ts")
+            part = F.col("event_id").cast("int")
+            runs = ev.filter(F.col("event_type") == "purchase").select(
+                "user_id", F.col("event_id").alias("run_id"), (F.col("ts") - F.make_dt_interval(200 * (part % 700))).alias("run_start"), (F.col("ts") + F.make_dt_interval(100 * (part % 900))).alias("run_end"))
+            out = J.dyadic_join(points, runs, ["user_id"], "ts", "run_start", "run_end", "[)", how)
+            return out.select("user_id", "event_id", *(["run_id"] if how in ("inner", "left") else []))
+    _dyadic(_name, _how, _sql)
+
+
 @query("join_anchored", """SELECT user_id, count(*) AS n, max(value) AS top FROM (SELECT e.*, min(ts) OVER (PARTITION BY user_id) AS first_ts FROM events e)
     WHERE ts BETWEEN first_ts - INTERVAL 6 HOUR AND first_ts + INTERVAL 7 DAY GROUP BY user_id""")
 def join_anchored(spark, d):
@@ -150,11 +171,10 @@ def join_two_windows(spark, d):
     left = _user_events(spark, d, "purchase", "event_id").withColumn("l_day", S.trunc_to("ts", "DAY"))
     right = _user_events(spark, d, "click", F.col("event_id").alias("r_id"))
     right = right.select("user_id", "r_id", S.trunc_to("ts", "DAY").alias("day"), F.when(F.col("r_id") % 2 == 0, F.col("ts")).alias("at"))
-    timed = right.filter(F.col("at").isNotNull()).withColumn("lim", S.shift("at", 72, "hour"))
-    dated = right.filter(F.col("at").isNull()).withColumn("lim", S.shift("day", 3, "day"))
-    hits = J.interval_join(left, timed, ["user_id"], "ts", "at", "lim", "(]").unionByName(J.interval_join(left, dated, ["user_id"], "l_day", "day", "lim", "[]"))
-    first = W.top1(hits.select("event_id", "r_id", "day", "at"), ["event_id"], [Order("day", nulls_first=True), Order("at"), Order("r_id")])
-    return left.join(first.select("event_id", F.col("r_id").alias("first_id")), "event_id", "left").select("user_id", "event_id", "first_id")
+    timed, dated = right.filter(F.col("at").isNotNull()), right.filter(F.col("at").isNull())
+    windows = [J.Alternative(timed, "ts", F.col("at"), S.shift("at", 72, "hour"), "(]"), J.Alternative(dated, "l_day", F.col("day"), S.shift("day", 3, "day"))]
+    order = [Order("day", nulls_first=True), Order("at"), Order("r_id")]
+    return J.match_first(left, ["event_id"], ["user_id"], windows, order, {"first_id": "r_id"}).select("user_id", "event_id", "first_id")
 
 
 @query("join_outside_interval", """SELECT p.user_id, p.event_id FROM events p WHERE event_type = 'error' AND NOT EXISTS (FROM events q WHERE q.user_id = p.user_id
