@@ -155,3 +155,33 @@ def test_exact_quantiles_null_group_and_heavy_value(spark):
     d = spark.createDataFrame([(None, 1.0)] * 50 + [(None, 2.0)] + [("g", float(i)) for i in range(2001)], "g string, v double")
     got = {r.g: r.m for r in exact_quantiles(d, ["g"], "v", {"m": 0.5}).collect()}
     assert got == {None: 1.0, "g": 1000.0}
+
+
+@pytest.fixture(scope="module")
+def sparse(spark):
+    """One key with a single row in most of its spans, over all of the number range, and some small ones."""
+    rng = random.Random(8)
+    rows = [(1, i, rng.choice((-1, 1)) * rng.randrange(2 ** rng.randrange(1, 62)), rng.choice((None, 1, 2, 7))) for i in range(1500)] + [(k, 5000 + k, 5 * k, 3) for k in (2, 3)]
+    return spark.createDataFrame(rows + [(1, 9000, None, 1), (4, 9001, None, 1)], "key int, id int, pos long, v int")
+
+
+def test_sparse_numbers_in_levels(sparse):
+    assert W._levels(sparse, "pos", None) == 2 and W._levels(sparse.withColumn("t", F.current_timestamp()), "t", None) == 0
+    w = Window.partitionBy("key").orderBy("pos", "id")
+    want = sparse.withColumn("before", F.lag("id").over(w)).withColumn("after", F.lead("id").over(w))
+    same(W.neighbours(sparse, ["key"], "pos", lag={"before": "id"}, lead={"after": "id"}, tie=["id"]), want)
+    same(W.row_numbers(sparse, ["key"], "pos", "n", tie=["id"]), sparse.withColumn("n", F.row_number().over(w).cast("long")))
+    known = sparse.filter("pos is not null")
+    running = Window.partitionBy("key").orderBy("pos").rangeBetween(Window.unboundedPreceding, 0)
+    same(W.running_sum(known, ["key"], "pos", "v", "s"), known.withColumn("s", F.sum("v").over(running)))
+
+
+@pytest.mark.parametrize("bits", [1, 3])
+def test_times_in_many_levels(events, monkeypatch, bits):
+    monkeypatch.setattr(W, "MOST_SPANS", 1 << 14)
+    monkeypatch.setattr(W, "STEP_BITS", bits)
+    assert W._levels(events, "ts", 3 * HOUR) > 3
+    w = Window.partitionBy("key").orderBy("ts", "id")
+    want = events.withColumn("before", F.lag("id").over(w)).withColumn("after", F.lead("id").over(w))
+    same(W.neighbours(events, ["key"], "ts", lag={"before": "id"}, lead={"after": "id"}, tie=["id"], span=3 * HOUR), want)
+    same(W.row_numbers(events, ["key"], "ts", "n", tie=["id"], span=3 * HOUR), events.withColumn("n", F.row_number().over(w).cast("long")))

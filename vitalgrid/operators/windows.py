@@ -5,7 +5,9 @@ each key is cut into spans and windows run per (key, span):
 
 * bounded frames copy the last `width` of a span into the next one, so every frame is complete;
 * neighbours are found inside a span first; only the first and last row of each span look across spans;
-* running sums and row numbers work inside a span and add one summary row per (key, span).
+* running sums and row numbers work inside a span and add one summary row per (key, span);
+* where a key may have more than MOST_SPANS spans (numbers, or spans of seconds), edges and summaries go through a
+  hierarchy of coarser spans, 2**STEP_BITS finer ones each, so a sparse key is never ordered in one task either.
 
 Results equal the plain window; only the partitioning differs.
 """
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,10 +82,40 @@ def rolling_rows(df: DataFrame, key: Sequence[str], order: str, n: int, aggs: Ma
     return range_window(numbered, key, "__row", frames, span=max(8 * n, 256)).drop("__row")
 
 
+#: Spans of one key that are ordered at once, and bits between the levels above.
+MOST_SPANS, STEP_BITS = 1 << 22, 20
+_TIME_RANGE = 9999 * 366 * DAY
+
+
+def _width(df: DataFrame, ts: str, span: int | None) -> int:
+    return span or (4096 if isinstance(df.schema[ts].dataType, NumericType) else DAY)
+
+
 def _spanned(df: DataFrame, ts: str, span: int | None) -> DataFrame:
-    numeric = isinstance(df.schema[ts].dataType, NumericType)
-    width = span or (4096 if numeric else DAY)
-    return df.withColumn(CHUNK, F.floor(position(df, ts) / F.lit(width)).cast("long"))
+    return df.withColumn(CHUNK, F.floor(position(df, ts) / F.lit(_width(df, ts, span))).cast("long"))
+
+
+def _levels(df: DataFrame, ts: str, span: int | None) -> int:
+    """Coarser levels needed until a key has at most MOST_SPANS spans, from the range of the position's type."""
+    spans = (2 ** 64 if isinstance(df.schema[ts].dataType, NumericType) else _TIME_RANGE) // _width(df, ts, span)
+    n = 0
+    while spans > MOST_SPANS:
+        spans, n = spans >> STEP_BITS, n + 1
+    return n
+
+
+def _offsets(spans: DataFrame, key: Sequence[str], value: str, levels: int) -> DataFrame:
+    """`spans` (key, span, value) with __offset, the sum of the values of the key's earlier spans (NULL if there are none)."""
+    if not levels:
+        before = Window.partitionBy(*key).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+        return spans.withColumn("__offset", F.sum(value).over(before))
+    coarse = F.shiftright(CHUNK, STEP_BITS)
+    d = spans.withColumnRenamed(CHUNK, "__fine").withColumn(CHUNK, F.shiftright("__fine", STEP_BITS))
+    above = _offsets(spans.groupBy(*key, coarse.alias(CHUNK)).agg(F.sum(value).alias(value)), key, value, levels - 1).drop(value).withColumnRenamed("__offset", "__above")
+    inside = Window.partitionBy(*key, CHUNK).orderBy("__fine").rowsBetween(Window.unboundedPreceding, -1)
+    d = _join_edges(d.withColumn("__inside", F.sum(value).over(inside)), above, key)
+    total = F.when(F.col("__inside").isNotNull() | F.col("__above").isNotNull(), F.coalesce("__inside", F.lit(0)) + F.coalesce("__above", F.lit(0)))
+    return d.withColumn("__offset", total).drop("__inside", "__above", CHUNK).withColumnRenamed("__fine", CHUNK)
 
 
 def _join_edges(d: DataFrame, edges: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -113,20 +146,25 @@ def neighbours(df: DataFrame, key: Sequence[str], ts: str, *, lag: Mapping[str,
     def output(before: Column, after: Column) -> list[Column]:
         return [*[F.col(c) for c in df.columns], *[before.getField(c).alias(n) for n, c in lag.items()],
                 *[after.getField(c).alias(n) for n, c in lead.items()]]
-    inner = d.filter(~(first | last)).select(*output(F.col("__lag"), F.col("__lead")))
-    across = Window.partitionBy(*key).orderBy(ts, *tie)
+    done = [d.filter(~(first | last))]
     edge = d.filter(first | last)
-    edge = edge.withColumn("__before", F.lag("__payload").over(across)).withColumn("__after", F.lead("__payload").over(across))
-    edge = edge.select(*output(F.coalesce("__lag", "__before"), F.coalesce("__lead", "__after")))
-    return inner.unionByName(edge)
+
+    def looked_up(rows: DataFrame, window: Window) -> DataFrame:
+        return rows.withColumns({"__lag": F.coalesce("__lag", F.lag("__payload").over(window)), "__lead": F.coalesce("__lead", F.lead("__payload").over(window))})
+    for level in range(1, _levels(df, ts, span) + 1):
+        # the first and last rows of 2**STEP_BITS spans; only theirs are open afterwards
+        edge = looked_up(edge, Window.partitionBy(*key, F.shiftright(CHUNK, level * STEP_BITS)).orderBy(ts, *tie))
+        done.append(edge.filter(~(first | last)))
+        edge = edge.filter(first | last)
+    done.append(looked_up(edge, Window.partitionBy(*key).orderBy(ts, *tie)))
+    return reduce(DataFrame.unionByName, [part.select(*output(F.col("__lag"), F.col("__lead"))) for part in done])
 
 
 def running_sum(df: DataFrame, key: Sequence[str], ts: str, col: str, out: str, span: int | None = None) -> DataFrame:
     """Running sum in time order; rows at the same instant share one value."""
     d = _spanned(df, ts, span)
     edges = d.groupBy(*key, CHUNK).agg(F.sum(col).alias("__sum"))
-    before = Window.partitionBy(*key).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    edges = edges.withColumn("__offset", F.sum("__sum").over(before)).drop("__sum")
+    edges = _offsets(edges, key, "__sum", _levels(df, ts, span)).drop("__sum")
     local = Window.partitionBy(*key, CHUNK).orderBy(ts).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     d = d.withColumn("__local", F.sum(col).over(local))
     d = _join_edges(d, edges, key)
@@ -140,8 +178,7 @@ def row_numbers(df: DataFrame, key: Sequence[str], ts: str, out: str, tie: Seque
     """1, 2, 3 … per key in time order, `tie` orders rows of one instant."""
     d = _spanned(df, ts, span)
     edges = d.groupBy(*key, CHUNK).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*key).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    edges = edges.withColumn("__offset", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    edges = _offsets(edges, key, "__n", _levels(df, ts, span)).withColumn("__offset", F.coalesce("__offset", F.lit(0))).drop("__n")
     local = Window.partitionBy(*key, CHUNK).orderBy(ts, *tie)
     d = d.withColumn("__local", F.row_number().over(local))
     d = _join_edges(d, edges, key)

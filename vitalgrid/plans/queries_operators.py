@@ -75,7 +75,8 @@ for _name, _bounds in (("join_interval_closed", "[]"), ("join_interval_open_star
 
 
 # intervals of a day to six hundred years
-_LONG = """SELECT c.user_id, c.event_id AS run_id, c.ts - to_days(CAST(200 * (c.event_id % 700) AS INTEGER)) AS run_start, c.ts + to_days(CAST(100 * (c.event_id % 900) AS INTEGER)) AS run_end FROM events c WHERE c.event_type = 'purchase'"""
+_LONG = """SELECT c.user_id, c.event_id AS run_id, c.ts + to_days(CAST(c.event_id % 5 AS INTEGER)) AS run_start,
+    c.ts + to_days(CAST(c.event_id % 5 + CASE WHEN c.event_id % 11 = 0 THEN 300 * (c.event_id % 700) ELSE c.event_id % 3 END AS INTEGER)) AS run_end FROM events c WHERE c.event_type = 'purchase'"""
 _LONG_ON = "q.user_id = p.user_id AND p.ts >= q.run_start AND p.ts < q.run_end"
 for _name, _how, _sql in (
         ("join_dyadic_inner", "inner", f"SELECT p.user_id, p.event_id, q.run_id FROM events p JOIN ({_LONG}) q ON {_LONG_ON} WHERE p.event_type = 'error'"),
@@ -89,7 +90,8 @@ for _name, _how, _sql in (
             points = ev.filter(F.col("event_type") == "error").select("user_id", "event_id", "ts")
             part = F.col("event_id").cast("int")
             runs = ev.filter(F.col("event_type") == "purchase").select(
-                "user_id", F.col("event_id").alias("run_id"), (F.col("ts") - F.make_dt_interval(200 * (part % 700))).alias("run_start"), (F.col("ts") + F.make_dt_interval(100 * (part % 900))).alias("run_end"))
+                "user_id", F.col("event_id").alias("run_id"), (F.col("ts") + F.make_dt_interval(part % 5)).alias("run_start"),
+                (F.col("ts") + F.make_dt_interval(part % 5 + F.when(part % 11 == 0, 300 * (part % 700)).otherwise(part % 3))).alias("run_end"))
             out = J.dyadic_join(points, runs, ["user_id"], "ts", "run_start", "run_end", "[)", how)
             return out.select("user_id", "event_id", *(["run_id"] if how in ("inner", "left") else []))
     _dyadic(_name, _how, _sql)
