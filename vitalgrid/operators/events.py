@@ -327,6 +327,32 @@ def patient_overview(t: Tables, concept: Tables, subject: int | None = None, had
         "charlson_comorbidity_index", "sofa", "gcs_min")
 
 
+NO_NOTE = "No discharge note is associated with this hospital admission."
+
+
+def discharge_notes(adm: DataFrame, notes: DataFrame, subject: int | None = None, hadm: int | None = None) -> DataFrame:
+    """Discharge notes of admissions as one line of facts and the whole text, numbered in the order they were charted.
+
+    An admission without a note has one row that says so, with note 0.
+    """
+    who = scope(adm, subject, hadm).select("subject_id", "hadm_id")
+    n = scope(notes, subject, hadm).select("hadm_id", "note_id", "charttime", "storetime", "text")
+    # an admission has few notes
+    order = Window.partitionBy("hadm_id").orderBy(F.col("charttime").asc_nulls_last(), "note_id")
+    n = n.withColumn("note", F.row_number().over(order))
+    shown = lambda name, c: F.concat(F.lit(f"{name} : "), F.coalesce(F.col(c).cast("string"), F.lit("NA")))
+    facts = F.concat_ws(" | ", shown("Note ID", "note_id"), shown("Chart time", "charttime"), shown("Store time", "storetime"))
+    has = F.col("note").isNotNull()
+    return who.join(n, "hadm_id", "left").select(
+        "subject_id", "hadm_id", F.coalesce("note", F.lit(0)).alias("note"), "note_id", "charttime", "storetime", F.when(has, facts).otherwise(NO_NOTE).alias("facts"), "text")
+
+
+def overview_notes(overview: DataFrame, notes: DataFrame) -> DataFrame:
+    """The patient overview with the number of discharge notes, the time of the last one and the number of characters in them."""
+    per = notes.groupBy("hadm_id").agg(F.count(F.lit(1)).alias("notes"), F.max("charttime").alias("last_note"), F.sum(F.length("text")).alias("note_characters"))
+    return overview.join(per, "hadm_id", "left").fillna(0, ["notes"])
+
+
 def patient_transfers(transfers: DataFrame, subject: int | None = None, triage: DataFrame | None = None) -> DataFrame:
     """Transfers in time order, with emergency triage where that table is loaded."""
     d = scope(transfers, subject)

@@ -243,6 +243,28 @@ def transfers(spark, d):
     return E.patient_transfers(catalog(spark, d).table("transfers"), subject=4)
 
 
+@query("patient_transfers_triage", """SELECT t.*, temperature, heartrate, resprate, o2sat, sbp, dbp, pain, acuity, chiefcomplaint FROM v_transfers t LEFT JOIN v_triage g ON g.stay_id = t.transfer_id""")
+def transfers_triage(spark, d):
+    cat = catalog(spark, d)
+    return E.patient_transfers(cat.table("transfers"), triage=cat.table("triage"))
+
+
+@query("discharge_notes", f"""SELECT a.subject_id, a.hadm_id, coalesce(note, 0) AS note, note_id, charttime, storetime, CASE WHEN note IS NULL THEN '{E.NO_NOTE}' ELSE
+    'Note ID : ' || note_id || ' | Chart time : ' || strftime(charttime, '%Y-%m-%d %H:%M:%S') || ' | Store time : ' || strftime(storetime, '%Y-%m-%d %H:%M:%S') END AS facts, text
+    FROM v_admissions a LEFT JOIN (SELECT hadm_id, note_id, charttime, storetime, text, row_number() OVER (PARTITION BY hadm_id ORDER BY charttime, note_id) AS note FROM v_discharge) n ON n.hadm_id = a.hadm_id""")
+def discharge(spark, d):
+    cat = catalog(spark, d)
+    return E.discharge_notes(cat.table("admissions"), cat.table("discharge"))
+
+
+@query("patient_overview_notes", f"""SELECT o.*, coalesce(notes, 0) AS notes, last_note, note_characters FROM ({_OVERVIEW}) o
+    LEFT JOIN (SELECT hadm_id, count(*) AS notes, max(charttime) AS last_note, CAST(sum(length(text)) AS BIGINT) AS note_characters FROM v_discharge GROUP BY hadm_id) n ON n.hadm_id = o.hadm_id""",
+       {"hadm_days": 6, "stay_days": 6, "days_to_death": 6})
+def overview_notes(spark, d):
+    cat = catalog(spark, d)
+    return E.overview_notes(E.patient_overview(cat.table, cat.concept), cat.table("discharge"))
+
+
 @query("patient_index", """SELECT p.subject_id, gender, (SELECT count(*) FROM v_admissions a WHERE a.subject_id = p.subject_id) AS total_hadm,
     (SELECT count(*) FROM v_icustays s WHERE s.subject_id = p.subject_id) AS total_stay,
     anchor_age + (SELECT min(year(admittime)) FROM v_admissions a WHERE a.subject_id = p.subject_id) - anchor_year AS age FROM v_patients p""")

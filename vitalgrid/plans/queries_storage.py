@@ -30,6 +30,27 @@ def csv_quoted(spark: SparkSession, d: str) -> DataFrame:
     return io.load_csv_dir(spark, root, {"part": _PARTS}, ("hosp",))["part"]
 
 
+# quotes, commas, line breaks, blanks at the ends, empty and missing text in turn
+_HARD = """CASE CAST(p_partkey % 8 AS INTEGER) WHEN 0 THEN 'a "b, c" ' || p_name WHEN 1 THEN p_name || chr(10) || '"' WHEN 2 THEN p_name || ',' WHEN 3 THEN '  ' || p_name || '  ' WHEN 4 THEN ''
+    WHEN 5 THEN '"' WHEN 6 THEN chr(92) || '"' || p_name ELSE NULL END"""
+
+
+@query("csv_export_hard", f"SELECT p_partkey, nullif({_HARD}, '') AS p_comment, p_retailprice FROM part")
+def csv_export_hard(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{_folder(spark)}/part.csv"
+    rows = read(spark, d, "part").select(F.col("p_partkey").cast("long"), F.expr(_HARD.replace("chr(10)", "char(10)").replace("chr(92)", "char(92)")).alias("p_comment"), F.col("p_retailprice").cast("double"))
+    io.export_csv(rows, path)
+    return io.read_csv_table(spark, path, rows.schema)
+
+
+@query("csv_split_load", "SELECT event_id, user_id, ts, event_type, value FROM events")
+def csv_split(spark: SparkSession, d: str) -> DataFrame:
+    root = _folder(spark)
+    rows = read(spark, d, "events").select("event_id", "user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_type", "value")
+    io.export_csv(rows, f"{root}/hosp/events.csv")
+    return io.load_csv_dir(spark, root, {"events": rows.schema}, ("hosp",))["events"]
+
+
 @query("csv_export", "SELECT s_suppkey, s_name, s_acctbal FROM supplier")
 def csv_export(spark: SparkSession, d: str) -> DataFrame:
     path = f"{_folder(spark)}/supplier.csv"

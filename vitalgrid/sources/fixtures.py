@@ -154,7 +154,7 @@ class StayFixture:
     NAMES = ("patients", "admissions", "icustays", "chartevents", "labevents", "outputevents", "inputevents",
              "procedureevents", "microbiologyevents", "prescriptions", "diagnoses_icd", "services", "d_items",
              "d_labitems", "transfers", "datetimeevents", "ingredientevents", "d_icd_diagnoses", "customevents",
-             "d_customevents", "infection_type")
+             "d_customevents", "infection_type", "discharge", "triage")
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -295,6 +295,24 @@ class StayFixture:
             _pick(("MICU", "SICU", "Emergency Department"), F.col("event_id")).alias("careunit"), F.col("t").alias("intime"),
             (F.col("t") + F.make_dt_interval(F.lit(0), F.lit(5))).alias("outtime"))
 
+    def discharge(self) -> DataFrame:
+        """Texts of `documents` as notes of about two thirds of the admissions, some with several."""
+        d = self.spark.read.parquet(f"{self.folder}/documents.parquet").select("doc_id", "text")
+        a = self.admissions().select("subject_id", "hadm_id", "dischtime")
+        named = d.select(F.concat(F.lit("N-"), F.col("doc_id").cast("string")).alias("note_id"), ((F.col("doc_id") * 7) % 83).alias("hadm_id"), F.lit("DS").alias("note_type"),
+                         (F.col("doc_id") % 5).cast("int").alias("note_seq"), "text", (F.col("doc_id") % 50).cast("int").alias("late"))
+        at = F.col("dischtime") + F.make_dt_interval(F.lit(0), F.col("late"))
+        return named.filter((F.col("hadm_id") % 3 != 0) & (F.col("doc_id") % 10 == F.col("hadm_id") % 10)).join(a, "hadm_id").select(
+            "note_id", "subject_id", "hadm_id", "note_type", "note_seq", at.alias("charttime"), (at + F.make_dt_interval(F.lit(1))).alias("storetime"), "text")
+
+    def triage(self) -> DataFrame:
+        """Measurements at the door for transfers of the emergency department."""
+        n = F.col("transfer_id")
+        return self.transfers().filter(F.col("careunit") == "Emergency Department").select(
+            "subject_id", n.alias("stay_id"), (96 + n % 8).cast("double").alias("temperature"), (50 + n % 90).cast("double").alias("heartrate"), (10 + n % 25).cast("double").alias("resprate"),
+            (80 + n % 21).cast("double").alias("o2sat"), (80 + n % 120).cast("double").alias("sbp"), (40 + n % 70).cast("double").alias("dbp"), (n % 11).cast("string").alias("pain"),
+            (1 + n % 5).cast("double").alias("acuity"), _pick(("Chest pain", "Fall", "Dyspnea"), n).alias("chiefcomplaint"))
+
     def _dictionary(self, tables: dict[str, str]) -> DataFrame:
         known = sorted({(item, tables[tbl]) for _, tbl, item, *_ in PANEL if tbl in tables})
         return inline(self.spark, known, "itemid bigint, linksto string")
@@ -445,6 +463,13 @@ def fixture_sql() -> dict[str, str]:
         "v_transfers": f"""SELECT subject_id, hadm_id, event_id AS transfer_id, {_sql_pick(('admit', 'transfer', 'discharge'), 'k')} AS eventtype,
             {_sql_pick(('MICU', 'SICU', 'Emergency Department'), 'event_id')} AS careunit, t AS intime, t + INTERVAL 5 HOUR AS outtime
             FROM v_ev WHERE slot = 2""",
+        "v_discharge": """SELECT 'N-' || CAST(doc_id AS VARCHAR) AS note_id, a.subject_id, a.hadm_id, 'DS' AS note_type, CAST(doc_id % 5 AS INTEGER) AS note_seq,
+            dischtime + to_hours(CAST(doc_id % 50 AS INTEGER)) AS charttime, dischtime + to_hours(CAST(doc_id % 50 AS INTEGER)) + INTERVAL 1 DAY AS storetime, text
+            FROM documents JOIN v_admissions a ON a.hadm_id = (doc_id * 7) % 83 WHERE a.hadm_id % 3 <> 0 AND doc_id % 10 = a.hadm_id % 10""",
+        "v_triage": f"""SELECT subject_id, transfer_id AS stay_id, CAST(96 + transfer_id % 8 AS DOUBLE) AS temperature, CAST(50 + transfer_id % 90 AS DOUBLE) AS heartrate,
+            CAST(10 + transfer_id % 25 AS DOUBLE) AS resprate, CAST(80 + transfer_id % 21 AS DOUBLE) AS o2sat, CAST(80 + transfer_id % 120 AS DOUBLE) AS sbp, CAST(40 + transfer_id % 70 AS DOUBLE) AS dbp,
+            CAST(transfer_id % 11 AS VARCHAR) AS pain, CAST(1 + transfer_id % 5 AS DOUBLE) AS acuity, {_sql_pick(('Chest pain', 'Fall', 'Dyspnea'), 'transfer_id')} AS chiefcomplaint
+            FROM v_transfers WHERE careunit = 'Emergency Department'""",
         "v_d_items": f"""SELECT itemid, CASE itemid WHEN 225752 THEN 'Arterial Line' WHEN 224263 THEN 'Multi Lumen' WHEN 224264 THEN 'PICC Line'
             WHEN 225204 THEN 'Midline' WHEN 224270 THEN 'Dialysis Catheter' WHEN 224280 THEN 'Date of line' ELSE 'Item ' || CAST(itemid AS VARCHAR) END AS label,
             'I' || CAST(itemid AS VARCHAR) AS abbreviation, linksto, {_sql_pick(('Routine', 'Labs', 'Respiratory'), 'itemid')} AS category,

@@ -35,15 +35,22 @@ def table_name(path: str) -> str | None:
 _BROKEN = "__broken_record"
 
 
+def _quotes_close(spark: SparkSession, path: str) -> bool:
+    """Whether all lines have an even number of quotes: a text that goes on in the next line leaves its first line odd."""
+    odd = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2
+    return spark.read.text(path).filter(odd == 1).isEmpty()
+
+
 def read_csv_table(spark: SparkSession, path: str, schema: T.StructType, on_error: str = "raise") -> DataFrame:
     """A CSV with header: columns are taken by name, absent ones become NULL; padded text is trimmed.
 
     Quotes inside quoted text are doubled, and quoted text may hold line breaks. A record with the wrong number of
     fields or an unreadable value is broken: `on_error` "raise" counts such records and raises if there are any,
-    "null" keeps what can be read. A file is read by one task (quoted line breaks rule out splitting), so its
-    rows are dealt out right after.
+    "null" keeps what can be read. Where every line has an even number of quotes no text holds a line break, and the file
+    is read in splits; otherwise it is read by one task and its rows are dealt out right after.
     """
-    options = {"header": True, "escape": '"', "multiLine": True}
+    whole_lines = _quotes_close(spark, path)
+    options = {"header": True, "escape": '"', "multiLine": not whole_lines, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     reader = spark.read.options(**options)
     header = reader.csv(path).columns
     known = {f.name.lower(): f for f in schema.fields}
@@ -55,7 +62,9 @@ def read_csv_table(spark: SparkSession, path: str, schema: T.StructType, on_erro
         broken = df.agg(F.sum(F.when(F.col(_BROKEN).isNotNull(), F.pmod(F.hash(*header), F.lit(1)) + 1))).first()[0]
         if broken:
             raise ValueError(f"{broken} broken records in {path}")
-    df = df.drop(_BROKEN).repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    df = df.drop(_BROKEN)
+    if not whole_lines or path.endswith(".gz"):
+        df = df.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     have = {h.lower(): h for h in header}
     cols = []
     for f in schema.fields:
@@ -223,8 +232,12 @@ def read_cohort(spark: SparkSession, root: str, cohort_id: int) -> DataFrame:
 
 
 def export_csv(df: DataFrame, path: str) -> None:
-    """CSV with header, written in parallel (one file per partition)."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """CSV with header, written in parallel (one file per partition); what `read_csv_table` reads back is what was given.
+
+    Quotes are doubled, blanks at either end and microseconds stay. Empty text reads back as NULL, like any empty field.
+    """
+    times = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]"}
+    df.write.mode("overwrite").options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, **times).csv(path)
 
 
 def load_infection_types(spark: SparkSession, path: str) -> DataFrame:

@@ -81,6 +81,12 @@ ICU = {
                        "string: valueuom location locationcategory; long: orderid linkorderid; string: ordercategoryname ordercategorydescription; "
                        "double: patientweight; short: isopenbag continueinnextdept; string: statusdescription; double: ORIGINALAMOUNT ORIGINALRATE",
 }
+ED = {
+    "triage": "long: subject_id stay_id; double: temperature heartrate resprate o2sat sbp dbp; string: pain; double: acuity; string: chiefcomplaint",
+}
+NOTE = {
+    "discharge": "string: note_id; long: subject_id hadm_id; string: note_type; int: note_seq; ts: charttime storetime; string: text",
+}
 APP = {
     "cohort": "long: cohort_id subject_id hadm_id stay_id",
     "d_cohorts": "long: cohort_id; string: cohort_name cohort_description",
@@ -88,7 +94,7 @@ APP = {
     "d_customevents": "long: itemid; string: label abbreviation author; long: total_row",
     "infection_type": "string: label value; long: count; string: infection_type",
 }
-SCHEMAS: dict[str, T.StructType] = {name: _schema(text) for group in (HOSP, ICU, APP) for name, text in group.items()}
+SCHEMAS: dict[str, T.StructType] = {name: _schema(text) for group in (HOSP, ICU, ED, NOTE, APP) for name, text in group.items()}
 
 
 @dataclass(frozen=True)
