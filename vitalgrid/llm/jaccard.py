@@ -50,7 +50,8 @@ SHINGLE, PERCENT = 5, 75
 LEAST_FREQUENT, MOST_FREQUENT = 32, 1 << 24
 SMALL_BUCKET, LEADERS = 8, 4
 CELL_NODES, CELL_PAIRS, BLOCK = 20_000, 50_000, 1024
-CHUNK = 1_000_000
+CHUNK = 400_000
+BATCH = 1_500_000  # bytes of text at once
 LOW_BITS = 24
 ONE = np.uint64(1)
 
@@ -131,7 +132,7 @@ def _slices(parts: np.ndarray) -> Iterator[tuple[int, int, int]]:
 
 def _sets(id_col: str, text_col: str, width: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, text_col):
+        for batch in small_batches(batches, text_col, BATCH):
             values, bounds = shingle_sets(field(batch, text_col), width)
             yield pa.record_batch([field(batch, id_col), field(batch, "key"), pa.array(fingerprints(values, bounds).view(np.int64)), pa.array(np.diff(bounds))], ["id", "key", "node", "n"])
     return run
@@ -155,7 +156,7 @@ class _Seen:
 def _distinct_sets(batches: Iterator[pa.RecordBatch], text_col: str, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(values, bounds, nodes) of sets that this task has not had yet."""
     seen = _Seen()
-    for batch in small_batches(batches, text_col):
+    for batch in small_batches(batches, text_col, BATCH):
         values, bounds = shingle_sets(field(batch, text_col), width)
         nodes = fingerprints(values, bounds)
         new = seen.new(nodes)
@@ -491,7 +492,7 @@ def _wanted(text_col: str, width: int, bitmap) -> Callable:
     """Texts whose (set, id) the bitmap has, each set once per task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, table = _Seen(), bitmap.value
-        for batch in small_batches(batches, text_col):
+        for batch in small_batches(batches, text_col, BATCH):
             values, bounds = shingle_sets(field(batch, text_col), width)
             nodes = fingerprints(values, bounds)
             keys = nodes ^ field(batch, "id_hash").to_numpy().view(np.uint64)
@@ -507,7 +508,7 @@ def _linked(width: int, percent: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, sets = None, {}
         for whole in batches:
-            for batch in small_batches(iter([whole]), "text"):
+            for batch in small_batches(iter([whole]), "text", BATCH):
                 cells, kinds, nodes, data = (field(batch, c) for c in ("cell", "kind", "node", "data"))
                 values, bounds = shingle_sets(field(batch, "text"), width)
                 for i, (cell, kind) in enumerate(zip(cells.to_pylist(), kinds.to_pylist(), strict=True)):

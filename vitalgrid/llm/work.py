@@ -88,7 +88,7 @@ def row_key(id_col: str, text_col: str, of: str = "") -> Column:
     return F.struct(F.xxhash64(*both).alias("a"), F.xxhash64(F.lit(7), *both).alias("b"))
 
 
-def marked(rows: DataFrame, keys: DataFrame, bits: int = BITMAP_BITS) -> DataFrame:
+def marked(rows: DataFrame, keys: DataFrame, bits: int = 24) -> DataFrame:
     """The rows with `maybe`: false only where the struct column `key` is surely none of those in `keys`.
 
     The test is one bit of a bitmap of 2**bits bits, joined as a broadcast table of at most 2**bits / 32768 rows of
