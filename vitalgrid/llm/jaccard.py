@@ -50,7 +50,7 @@ SHINGLE, PERCENT = 5, 75
 LEAST_FREQUENT, MOST_FREQUENT = 32, 1 << 24
 SMALL_BUCKET, LEADERS = 8, 4
 CELL_NODES, CELL_PAIRS, BLOCK = 20_000, 50_000, 1024
-CHUNK = 400_000
+CHUNK, MOST_PAIRS = 400_000, 1_000_000
 BATCH = 1_500_000  # bytes of text at once
 LOW_BITS = 24
 ONE = np.uint64(1)
@@ -358,7 +358,7 @@ def cells_of(both: np.ndarray, grid: int) -> np.ndarray:
 
 
 class _Pairs:
-    """Distinct pairs, sorted in each pair, gathered for their cells; memory is bounded by CHUNK pairs."""
+    """Distinct pairs, sorted in each pair, gathered for their cells; memory is bounded by MOST_PAIRS pairs."""
 
     def __init__(self, grid: int) -> None:
         self.grid, self.held, self.size = grid, [], 0
@@ -367,7 +367,7 @@ class _Pairs:
         if len(a):
             self.held.append(np.sort(np.stack((a, b), axis=1), axis=1))
             self.size += len(a)
-            if self.size > CHUNK:
+            if self.size > MOST_PAIRS:
                 self.held = [np.unique(np.concatenate(self.held), axis=0)]
                 self.size = len(self.held[0])
 
@@ -422,7 +422,7 @@ def _buckets(percent: int, grid: int) -> Callable:
                     known.add(name)
                     yield pa.record_batch([pa.array([1], pa.int32()), pa.array([name], pa.int64()), pa.array([own.tobytes() + (sizes.astype(np.uint32) << np.uint32(1) | flags).astype(np.uint32).tobytes()], pa.binary())],
                                           ["kind", "name", "data"])
-            if pairs.size > CHUNK // 2:
+            if pairs.size > MOST_PAIRS // 2:
                 yield out()
         yield out()
     return run
@@ -462,7 +462,7 @@ def _open_pairs(percent: int, grid: int) -> Callable:
                     held = []
                 current = key
                 held.append([c[a:b] for c in columns])
-            if pairs.size > CHUNK // 2:
+            if pairs.size > MOST_PAIRS // 2:
                 rows = pairs.rows()
                 yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["cell", "data"])
         if held:
