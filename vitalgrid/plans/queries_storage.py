@@ -8,8 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.predicates import Condition
+from ..operators.shared_scan import SharedScan
 from ..sources import io
 from ..sources.catalog import shared_folder
+from ..sources.schemas import SCHEMAS
+from .dag import build_concepts
+from .refresh import read_refreshed, refresh_concepts
 from .registry import catalog, query, read
 
 
@@ -69,6 +74,62 @@ def custom_import(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{root}/customevents").join(spark.read.parquet(f"{root}/d_customevents"), "itemid")
 
 
+def _without_some(base):
+    """The base tables as they were before some patients had events and others had been charted at all."""
+    def table(name: str) -> DataFrame:
+        df = base(name)
+        if name == "chartevents":
+            return df.filter((F.col("subject_id") % 5 != 0) | (F.col("itemid") % 2 == 0))
+        return df.filter(F.col("subject_id") % 7 != 3) if name in ("icustays", "admissions") else df
+    return table
+
+
+for _name in ("icustay_hourly", "gcs", "charlson", "vitalsign"):
+    def _refreshed(name):
+        @query(f"refresh_{name}", f"SELECT * FROM v_{name}", {} if name != "vitalsign" else {c: 6 for c in ("heart_rate", "sbp", "dbp", "mbp", "sbp_ni", "dbp_ni", "mbp_ni", "resp_rate", "temperature", "spo2", "glucose")})
+        def build(spark: SparkSession, d: str) -> DataFrame:
+            out, base = _folder(spark), catalog(spark, d).table
+            refresh_concepts(spark, _without_some(base), out, [name])
+            refresh_concepts(spark, base, out, [name])
+            return read_refreshed(spark, out, name)
+    _refreshed(_name)
+
+
+@query("build_concepts_store", "SELECT stay_id, hadm_id, icu_intime, icu_outtime FROM v_icustay_detail")
+def concepts_store(spark: SparkSession, d: str) -> DataFrame:
+    out = _folder(spark)
+    paths = build_concepts(spark, catalog(spark, d).table, out, ["icustay_detail"])
+    return spark.read.parquet(paths["icustay_detail"]).select("stay_id", "hadm_id", "icu_intime", "icu_outtime")
+
+
+@query("schema_conform", """SELECT 'outputevents' AS name, count(*) AS n, count(value) AS n_value, 9 AS n_columns FROM v_outputevents
+    UNION ALL SELECT 'labevents', count(*), count(value), 16 FROM v_labevents UNION ALL SELECT 'triage', count(*), count(acuity), 11 FROM v_triage""")
+def schema_conform(spark: SparkSession, d: str) -> DataFrame:
+    cat, parts = catalog(spark, d), []
+    for name, value in (("outputevents", "value"), ("labevents", "value"), ("triage", "acuity")):
+        df = io.conform(cat.table(name), SCHEMAS[name])
+        parts.append(df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"), F.count(value).alias("n_value"), F.lit(len(df.columns)).alias("n_columns")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("filter_validation", f"""SELECT 0 AS condition, true AS valid, (SELECT count(*) FROM (SELECT DISTINCT subject_id, hadm_id, stay_id FROM v_chartevents WHERE itemid = 220045 AND valuenum >= 150)) AS stays
+    UNION ALL SELECT unnest([1, 2, 3, 4, 5]), false, 0""")
+def filter_validation(spark: SparkSession, d: str) -> DataFrame:
+    cat, rows, good = catalog(spark, d), [], []
+    asked = [Condition("chartevents", 220045, "valuenum", ">=", 150), Condition("nothing", 1, "value", "Exist"), Condition("chartevents", "1 OR 1=1", "value", "Exist"),
+             Condition("chartevents", 1, "stay_id", "Exist"), Condition("chartevents", 1, "value", "Near"), Condition("chartevents", 1, "value", "=", 1, "mode")]
+    for i, c in enumerate(asked):
+        try:
+            c.check()
+            good.append(c)
+            rows.append((i, True))
+        except ValueError:
+            rows.append((i, False))
+    found = SharedScan(cat.table, cat.table("icustays"), cat.concept("icustay_times")).many(good).groupBy("__leaf").agg(F.count(F.lit(1)).alias("stays"))
+    tried = spark.createDataFrame(rows, "condition int, valid boolean")
+    return tried.join(found, tried["condition"] == found["__leaf"], "left").select("condition", "valid", F.when(F.col("valid"), F.coalesce("stays", F.lit(0))).otherwise(0).alias("stays"))
+
+
 @query("cohort_store", "SELECT subject_id, hadm_id, stay_id FROM v_icustays")
 def cohort_store(spark: SparkSession, d: str) -> DataFrame:
     root = _folder(spark)

@@ -146,7 +146,8 @@ def _read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> Data
     return spark.read.schema(schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)
 
 
-def _conform(df: DataFrame, schema: T.StructType) -> DataFrame:
+def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """The schema's columns in its types and order; absent ones are NULL."""
     return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
@@ -171,7 +172,7 @@ def import_custom_events(spark: SparkSession, root: str, df: DataFrame, label: s
         raise ValueError(f"label {label!r} exists")
     itemid = next_id(dictionary, "itemid", FIRST_CUSTOM_ITEM)
     # events first: a label is only taken once its rows are there
-    _conform(df.withColumn("itemid", F.lit(itemid)), SCHEMAS["customevents"]).write.mode("append").parquet(e_path)
+    conform(df.withColumn("itemid", F.lit(itemid)), SCHEMAS["customevents"]).write.mode("append").parquet(e_path)
     rows = spark.read.parquet(e_path).filter(F.col("itemid") == itemid).count()
     entry = spark.createDataFrame([(itemid, label, abbreviation, author, rows)], SCHEMAS["d_customevents"])
     entry.write.mode("append").parquet(d_path)
