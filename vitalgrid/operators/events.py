@@ -58,25 +58,26 @@ def around_admission(points: DataFrame, adm: DataFrame) -> DataFrame:
                     F.col("admittime") - two, F.col("dischtime") + two, "()", stay_cols=["hadm_id"])
 
 
-def unify_events(t: Tables, subject: int | None = None, hadm: int | None = None, stay: int | None = None, ordered: bool = True) -> DataFrame:
+def unify_events(t: Tables, subject: int | None = None, hadm: int | None = None, stay: int | None = None, ordered: bool = False) -> DataFrame:
     """Ten event tables and the pseudo-items as one list of 16-column records.
 
     Numbers become text. Laboratory and culture rows belong to an admission by time, whatever admission they
-    name. The text sources are free of duplicates. `ordered` sorts by start time.
+    name. The text sources are free of duplicates. The six ICU tables are united before they meet their dictionary, once.
+    `ordered` sorts all rows by start time.
     """
-    items = t("d_items")
-
     def charted(table: str, value: str, uom: str, start: str, end: str | None) -> DataFrame:
-        d = scope(t(table), subject, hadm, stay).join(items, "itemid")
-        v = None if value == "" else F.col(value)
-        return _record(d, **_KEYS, **_ITEM, value=v, valueuom=uom, starttime=start, endtime=end)
+        nothing = F.lit(None)
+        return scope(t(table), subject, hadm, stay).select(
+            *_KEYS, "itemid", (F.col(value) if value else nothing).cast("string").alias("value"), F.col(uom).alias("valueuom"), F.col(start).cast("timestamp_ntz").alias("starttime"),
+            (F.col(end) if end else nothing).cast("timestamp_ntz").alias("endtime"))
+    icu = reduce(DataFrame.unionByName, [
+        charted("procedureevents", "value", "valueuom", "starttime", "endtime"), charted("ingredientevents", "amount", "amountuom", "starttime", "endtime"),
+        charted("inputevents", "amount", "amountuom", "starttime", "endtime"), charted("outputevents", "value", "valueuom", "charttime", None),
+        charted("datetimeevents", "", "valueuom", "charttime", None), charted("chartevents", "valuenum", "valueuom", "charttime", None)])
     adm = scope(t("admissions"), subject, hadm)
     labs = around_admission(scope(t("labevents"), subject), adm).join(t("d_labitems"), "itemid")
     numeric = [
-        charted("procedureevents", "value", "valueuom", "starttime", "endtime"),
-        charted("ingredientevents", "amount", "amountuom", "starttime", "endtime"),
-        charted("inputevents", "amount", "amountuom", "starttime", "endtime"), charted("outputevents", "value", "valueuom", "charttime", None),
-        charted("datetimeevents", "", "valueuom", "charttime", None), charted("chartevents", "valuenum", "valueuom", "charttime", None),
+        _record(icu.join(t("d_items"), "itemid"), **_KEYS, **_ITEM, **_same("value", "valueuom", "starttime", "endtime")),
         _record(labs, **_same("subject_id", "hadm_id", "itemid", "label", "category", "valueuom"), linksto=F.lit("labevents"), param_type="fluid",
                 value="valuenum", starttime="charttime")]
     micro = around_admission(scope(t("microbiologyevents"), subject).filter(F.col("charttime").isNotNull()), adm)
@@ -97,13 +98,17 @@ def unify_events(t: Tables, subject: int | None = None, hadm: int | None = None,
 
 
 # --- dictionaries -----------------------------------------------------------------------------------
-def number_texts(texts: DataFrame, col: str, out: str, first: int = 1, prefix: int = 2) -> DataFrame:
-    """Consecutive numbers for distinct texts in binary order.
+def number_texts(texts: DataFrame, col: str, out: str, first: int = 1, cuts: int = 256) -> DataFrame:
+    """Consecutive numbers for distinct texts in binary order; NULL has none.
 
-    Numbers are given per leading characters and shifted by the size of the earlier groups, so the texts
-    are never sorted in one task.
+    The `cuts` texts with the smallest hashes, a chance sample that is the same in every run, cut the order into ranges.
+    Numbers are given per range and shifted by the sizes of the ranges before, so the texts are never sorted in one task,
+    whatever prefixes they share.
     """
-    d = texts.select(col).distinct().withColumn("__p", F.substring(col, 1, prefix))
+    d = texts.select(col).filter(F.col(col).isNotNull()).distinct()
+    limits = d.orderBy(F.xxhash64(col), col).limit(cuts).agg(F.collect_list(col).alias("__limits")).withColumn("__one", F.lit(1))  # one row
+    d = d.withColumn("__one", F.lit(1)).join(F.broadcast(limits), "__one")
+    d = d.select(col, F.size(F.filter("__limits", lambda x: x < F.col(col))).alias("__p"))
     sizes = d.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("__offset", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
