@@ -171,7 +171,7 @@ def _gathered(text_col: str, lang_col: str, bits: int, bitmap) -> Callable:
                 for p, a, b in _slices((pair >> np.uint64(64 - bits)).astype(np.int64)):
                     first = np.flatnonzero(np.concatenate(([True], pair[a + 1:b] != pair[a:b - 1])))
                     members = np.diff(np.append(first, b - a)).astype(np.uint32)
-                    blob = b"".join(x.tobytes() for x in (pair[a:b][first], words[0][a:b][first], words[1][a:b][first], members, words[2][a:b], words[3][a:b], n[a:b].astype(np.uint32)))
+                    blob = b"".join(x.tobytes() for x in (words[0][a:b][first], words[1][a:b][first], members, words[2][a:b], words[3][a:b], n[a:b].astype(np.uint32)))
                     rows.append((GRAMS, p, len(first).to_bytes(4, "little") + blob, None, None, None))
             if alone:
                 word, n = np.unique(np.concatenate(alone), return_counts=True)
@@ -251,13 +251,13 @@ def _flows(least: int) -> Callable:
             parts = []
             for d in data:
                 m = int.from_bytes(d[:4], "little")
-                heads = np.frombuffer(d, np.uint8)[4:4 + 24 * m].copy().view(np.uint64).reshape(3, m)
-                members = np.frombuffer(d, np.uint8)[4 + 24 * m:4 + 28 * m].copy().view(np.uint32)
-                rest, e = d[4 + 28 * m:], int(members.sum())
+                heads = np.frombuffer(d, np.uint8)[4:4 + 16 * m].copy().view(np.uint64).reshape(2, m)
+                members = np.frombuffer(d, np.uint8)[4 + 16 * m:4 + 20 * m].copy().view(np.uint32)
+                rest, e = d[4 + 20 * m:], int(members.sum())
                 tails = np.frombuffer(rest, np.uint8)[:16 * e].copy().view(np.uint64).reshape(2, e)
                 parts.append((*(np.repeat(x, members) for x in heads), *tails, np.frombuffer(rest, np.uint8)[16 * e:].copy().view(np.uint32).astype(np.int64)))
-            pair, w1, w2, w3, w4, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((w4, w3, w2, w1, pair))
+            w1, w2, w3, w4, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((w4, w3, w2, w1))
             w, n = [x[order] for x in (w1, w2, w3, w4)], n[order]
             starts = [_runs(*w[:k]) for k in (2, 3, 4)]
             flow = [np.add.reduceat(n, s) for s in starts]
