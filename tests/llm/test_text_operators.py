@@ -364,3 +364,15 @@ def test_language_model_scores(sent, prose):
     nothing = score_texts(docs, F.lit(True)).collect()
     assert len(nothing) == len(rows) and {r["train_tokens"] for r in nothing} == {0} and all(r["n_known"] == 0 for r in nothing)
     assert score_texts(docs.where("false"), held).count() == 0
+
+
+def test_look_ahead_does_not_follow_the_batches():
+    import pyarrow as pa
+
+    from vitalgrid.llm.packing import _looked_ahead
+    rows = list(range(57))
+    for cut in (1, 7, 57):
+        batches = [pa.record_batch([pa.array(rows[i:i + cut])], ["x"]) for i in range(0, len(rows), cut)]
+        out = [b.column(0).to_pylist() for b in _looked_ahead(iter(batches), 10)]
+        assert [len(x) for x in out] == [10] * 5 + [7] and sum(out, []) == rows
+    assert list(_looked_ahead(iter([]), 10)) == []

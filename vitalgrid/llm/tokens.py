@@ -89,6 +89,12 @@ class ChunkEncoder:
         return b"".join(map(self.chunks.__getitem__, text.split()))
 
 
+    def forget(self) -> None:
+        """Let go of the known chunks, which may be a hundred MB, when a task is done."""
+        self.chunks.clear()
+        self.parts.clear()
+
+
 _encoders: dict[str, ChunkEncoder] = {}
 
 
