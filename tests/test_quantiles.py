@@ -88,7 +88,8 @@ TAILS = [(3.841458820694124, 1, 0.05), (6.634896601021213, 1, 0.01), (5.99146454
 
 def test_chi_square_tail(spark):
     df = spark.createDataFrame([(i, float(s), d) for i, (s, d, _) in enumerate(TAILS)] + [(99, None, 3), (98, 5.0, 0), (97, 2000.0, 2000), (96, 2001.0, 2001)], "i int, s double, d int")
-    got = {r["i"]: r["p"] for r in df.select("i", A.chi_square_tail(F.col("s"), F.col("d")).alias("p")).collect()}
+    got = {r["i"]: r["p"] for r in df.select("i", A.chi_square_tails(F.col("s"), F.col("d")).alias("p")).collect()}
     for i, (_, _, p) in enumerate(TAILS):
         assert math.isclose(got[i], p, rel_tol=1e-9, abs_tol=1e-300), TAILS[i]
+        assert math.isclose(A.chi_square_tail(*TAILS[i][:2]), p, rel_tol=1e-9, abs_tol=1e-300)
     assert got[99] is None and got[98] is None and 0.49 < got[97] < 0.5 and 0.49 < got[96] < 0.5

@@ -295,8 +295,19 @@ def half_tail(x: Column) -> Column:
     return F.when(x < 2, low).otherwise(high)
 
 
-def chi_square_tail(statistic: Column, df: Column) -> Column:
-    """Upper tail of the chi-square distribution: a finite sum for whole and half arguments of the gamma function."""
+def chi_square_tail(statistic: float | None, df: int) -> float | None:
+    """Upper tail of the chi-square distribution for plain numbers."""
+    if statistic is None or df < 1:
+        return None
+    x, half = max(statistic, 0.0) / 2, df % 2 / 2
+    if x == 0:
+        return 1.0
+    total = sum(math.exp((i + half) * math.log(x) - x - math.lgamma(i + half + 1)) for i in range(df // 2))
+    return min(1.0, total + (math.erfc(math.sqrt(x)) if half else 0.0))
+
+
+def chi_square_tails(statistic: Column, df: Column) -> Column:
+    """The same for columns: a finite sum for whole and half arguments of the gamma function."""
     x, odd = statistic / 2, (df % 2) == 1
     half = F.when(odd, 0.5).otherwise(0.0)
     # terms x^(i - 1 + half) e^-x / gamma(i + half); logarithms keep the first ones when e^-x is too small for a double
@@ -315,7 +326,7 @@ def group_tests(long: DataFrame) -> DataFrame:
     q: p times tests over rank, made monotone from the largest rank down, by windows over one row per variable.
     """
     stats = rank_sums(long).unionByName(contingency(long))
-    p = stats.withColumn("p_value", chi_square_tail(F.col("statistic"), F.col("df")))
+    p = stats.withColumn("p_value", chi_square_tails(F.col("statistic"), F.col("df")))
     order = Window.orderBy(F.col("p_value").asc_nulls_last(), "variable")
     ranked = p.withColumns({"__rank": F.row_number().over(order), "__tests": F.count("p_value").over(Window.partitionBy())})
     raised = F.col("p_value") * F.col("__tests") / F.col("__rank")

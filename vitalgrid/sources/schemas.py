@@ -93,8 +93,10 @@ APP = {
     "customevents": "long: subject_id hadm_id stay_id itemid; ts: charttime; string: value valueuom",
     "d_customevents": "long: itemid; string: label abbreviation author; long: total_row",
     "infection_type": "string: label value; long: count; string: infection_type",
+    # optional modules of the database
+    **ED, **NOTE,
 }
-SCHEMAS: dict[str, T.StructType] = {name: _schema(text) for group in (HOSP, ICU, ED, NOTE, APP) for name, text in group.items()}
+SCHEMAS: dict[str, T.StructType] = {name: _schema(text) for group in (HOSP, ICU, APP) for name, text in group.items()}
 
 
 @dataclass(frozen=True)
