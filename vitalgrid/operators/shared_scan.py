@@ -4,7 +4,7 @@ Conditions are compiled to a rule table (item, field, test, operand, aggregate,
 wanted items, meets the rules by item, and one expression over the rule's columns decides each (event, rule); its size
 does not depend on the number of rules. Events outside ICU tables find their stay and hour windows are arithmetic on one grid
 row per stay, both once for all rules. One aggregate per (rule, stay) then holds everything any rule needs (a flag, extremes,
-weighted sum and count), so a table costs one scan and one shuffle. Medians are the exception: if a table has rules
+weighted sum and count), so a table costs one scan and one shuffle of its rows (sums and means a second one of their parts). Medians are the exception: if a table has rules
 with one, their rows go through the exact quantiles in a second reading, again once for all of them.
 
 The results are those of `match_events` for each condition, tagged with the condition's number.
@@ -26,6 +26,7 @@ from .joins import attach_stay
 from .predicates import KEYS, TEXT_TESTS, TIMES, Condition, number_test, row_test, stay_hours
 from .quantiles import exact_median
 from .reshape import hours_touching
+from .sums import BINADE, binade, exact_count, exact_sum, partial_sums
 
 #: Above this many rules the rule table is joined without a broadcast, and items are no longer listed in the scan's filter.
 MOST_BROADCAST, MOST_LISTED = 50_000, 1_000
@@ -136,11 +137,17 @@ def match_table(events: DataFrame, spec: EventSpec, conds: Sequence[tuple[int, C
         # a key listed several times counts as often in sums, as in a plain join
         d = d.join(cohort.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("__listed")), list(KEYS)).withColumn("__weight", F.col("__weight") * F.col("__listed"))
     group = ["__leaf", *KEYS]
-    n = F.when(F.col("__num").isNotNull(), F.col("__weight"))
     plain = d.filter(F.coalesce(F.col("__agg"), F.lit("")) != "median") if any(r[8] == "median" for r in rules) else d
-    per_stay = plain.groupBy(*group).agg(
-        F.min("__num").alias("__min"), F.max("__num").alias("__max"), F.sum(F.col("__num") * F.col("__weight")).alias("__sum"), F.sum(n).alias("__n"),
-        F.min("__at").alias("__first"), F.max("__at").alias("__last"))
+    extremes = [F.min("__num").alias("__min"), F.max("__num").alias("__max"), F.min("__at").alias("__first"), F.max("__at").alias("__last")]
+    if any(r[8] in ("sum", "mean") for r in rules):
+        # only sums and means are cut by binade
+        parts = plain.withColumn(BINADE, F.when(F.col("__agg").isin("sum", "mean"), binade("__num")))
+        parts = parts.groupBy(*group, BINADE).agg(*extremes, *partial_sums("__num", F.col("__weight")))
+        per_stay = parts.groupBy(*group).agg(F.min("__min").alias("__min"), F.max("__max").alias("__max"), F.min("__first").alias("__first"), F.max("__last").alias("__last"),
+                                             exact_sum().alias("__sum"), exact_count().alias("__n"))
+    else:
+        none = F.lit(None).cast("double")
+        per_stay = plain.groupBy(*group).agg(*extremes).withColumns({"__sum": none, "__n": none})
     grouped = [r for r in rules if r[8] is not None]
     if not grouped:
         return per_stay.select(*group)
