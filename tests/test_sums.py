@@ -5,9 +5,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from vitalgrid.concepts import firstday
 from vitalgrid.operators.predicates import Condition, match_events
 from vitalgrid.operators.shared_scan import SharedScan
 from vitalgrid.operators.sums import BINADE, binade, exact_count, exact_sum, partial_sums
+from vitalgrid.sources.catalog import Catalog
 
 T0 = dt.datetime(2024, 1, 1)
 at = lambda **k: T0 + dt.timedelta(**k)
@@ -15,6 +17,10 @@ CHART = "subject_id long, hadm_id long, stay_id long, itemid long, charttime tim
 STAYS = "subject_id long, hadm_id long, stay_id long, intime timestamp_ntz, outtime timestamp_ntz"
 
 
+def catalog(spark, builders, **tables):
+    return Catalog(spark, tables.__getitem__, builders)
+
+
 def test_sums_are_those_of_fsum(spark):
     chance = random.Random(5)
     groups = [[chance.uniform(-1, 1) * 10.0 ** chance.randint(-20, 20) for _ in range(200)] for _ in range(5)] + [[0.0, 0.0], [1e16, 1.0, -1e16], [0.1] * 10, [5e-324, 1.0]]
@@ -33,3 +39,15 @@ def test_aggregates_do_not_depend_on_row_order(spark, agg, limit):
     cond = Condition("chartevents", 7, "valuenum", ">", limit, agg)
     assert {r["stay_id"] for r in match_events(chart, stays, None, cond).collect()} == {0, 1, 2}
     assert {r["stay_id"] for r in SharedScan({"chartevents": chart}.__getitem__, stays)(cond).collect()} == {0, 1, 2}
+
+
+def test_weight_means_do_not_depend_on_row_order(spark):
+    weights = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7]
+    stays = spark.createDataFrame([(1, 1, s, T0, at(days=2)) for s in range(12)], STAYS)
+    chance, rows = random.Random(1), []
+    for s in range(12):
+        chance.shuffle(weights)
+        rows += [(s, T0, w, "daily") for w in weights]
+    w = spark.createDataFrame(rows, "stay_id long, starttime timestamp_ntz, weight double, weight_type string").coalesce(1)
+    got = firstday.first_day_weight(catalog(spark, {"weight_durations": lambda cat: w}, icustays=stays)).collect()
+    assert {(r["weight_admit"], r["weight"], r["weight_min"], r["weight_max"]) for r in got} == {(None, math.fsum(weights) / 7, 0.1, 0.7)}
