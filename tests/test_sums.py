@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from vitalgrid.concepts import firstday
+from vitalgrid.concepts import definitions as D
+from vitalgrid.concepts import firstday, measurements, scores
 from vitalgrid.operators.predicates import Condition, match_events
 from vitalgrid.operators.shared_scan import SharedScan
 from vitalgrid.operators.sums import BINADE, binade, exact_count, exact_sum, partial_sums
@@ -51,3 +52,32 @@ def test_weight_means_do_not_depend_on_row_order(spark):
     w = spark.createDataFrame(rows, "stay_id long, starttime timestamp_ntz, weight double, weight_type string").coalesce(1)
     got = firstday.first_day_weight(catalog(spark, {"weight_durations": lambda cat: w}, icustays=stays)).collect()
     assert {(r["weight_admit"], r["weight"], r["weight_min"], r["weight_max"]) for r in got} == {(None, math.fsum(weights) / 7, 0.1, 0.7)}
+
+
+def uneven(total: int) -> list[int]:
+    """Gaps in seconds of exactly `total`, whose lengths in minutes and in hours (after one hour), added as doubles, fall short of it."""
+    chance = random.Random(3)
+    while True:
+        cuts = sorted(chance.sample(range(3601, total), 9))
+        gaps = [b - a for a, b in zip([0, *cuts], [*cuts, total])]
+        minutes, hours = 0.0, 1.0
+        for g in gaps:
+            minutes, hours = minutes + g / 60, hours + g / 3600
+        if minutes < total / 60 and hours < total / 3600 + 1:
+            return gaps
+
+
+def test_documented_time_that_just_suffices(spark):
+    gaps = uneven(24 * 3600)
+    ends = [at(seconds=sum(gaps[:i + 1])) for i in range(len(gaps))]
+    stays = spark.createDataFrame([(1, 1, 1, T0, at(days=3))], STAYS)
+    hr = spark.createDataFrame([(1, 1, 1, D.HEART_RATE, T0, T0, None, 80.0, None)], CHART)
+    weight = spark.createDataFrame([(1, at(days=-1), at(days=9), 50.0)], "stay_id long, starttime timestamp_ntz, endtime timestamp_ntz, weight double")
+    outputs = lambda times: spark.createDataFrame([(1, t, 100.0) for t in times], "stay_id long, charttime timestamp_ntz, urineoutput double")
+    built = lambda times: catalog(spark, {"urine_output": lambda c: outputs(times), "weight_durations": lambda c: weight}, icustays=stays, chartevents=hr)
+    # the first gap starts at the first heart rate, the 23 h before the last output hold all ten outputs
+    last = measurements.urine_output_rate(built(ends)).orderBy(F.desc("charttime")).first()
+    assert (last["uo_tm_24hr"], last["uo_mlkghr_24hr"]) == (24.0, round(1000 / 50 / 24, 4))
+    # the first output counts for one hour
+    last = scores.kdigo_uo(built([T0, *ends])).orderBy(F.desc("charttime")).first()
+    assert last["uo_tm_24hr"] == 25.0
