@@ -81,3 +81,11 @@ def test_documented_time_that_just_suffices(spark):
     # the first output counts for one hour
     last = scores.kdigo_uo(built([T0, *ends])).orderBy(F.desc("charttime")).first()
     assert last["uo_tm_24hr"] == 25.0
+
+
+def test_flows_stored_at_one_time(spark):
+    rows = [(1, 1, stay, D.O2_FLOW, T0, T0, str(v), v, None) for stay, v in ((4, 2.0), (5, 3.0), (5, 1.0))]
+    for order in (rows, rows[::-1], rows[1:] + rows[:1]):
+        chart = spark.createDataFrame(order, CHART).coalesce(1)
+        got = measurements.oxygen_delivery(catalog(spark, {}, chartevents=chart)).collect()
+        assert [(r["stay_id"], r["o2_flow"]) for r in got] == [(5, 3.0)]
