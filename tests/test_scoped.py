@@ -41,3 +41,16 @@ def test_one_admission_builds_one_patient(spark, folder):
     assert not cat.built("demographics") and not cat.built("sofa")
     want = E.unify_events(event_source(cat), subject=2, hadm=5, stay=10).filter(F.col("linksto") == "demographics").collect()
     assert sorted(map(str, got)) == sorted(map(str, want)) and got
+
+
+def test_merged_partitions_stay_small(spark, folder):
+    """Registered queries merge shuffled partitions to 16 MB at most, also in sessions built elsewhere."""
+    from vitalgrid.plans.registry import all_queries
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "64MB")
+        all_queries()["icustay_times"](spark, folder)
+        assert spark.conf.get(key) == "16MB"
+    finally:
+        spark.conf.set(key, before)
