@@ -48,3 +48,12 @@ def test_first_day_labs_are_reduced_by_narrow_aggregates(spark, folder):
     want = {r["stay_id"]: r["most"] for r in want.collect()}
     got = {r["stay_id"]: r["creatinine_max"] for r in df.filter("stay_id IS NOT NULL").collect()}
     assert len(got) == 9 and any(want.values()) and got == {s: want.get(s) for s in got}
+
+
+def test_tables_above_a_small_bound_are_not_sent_through_the_driver(spark, folder):
+    all_queries()["uid_list"](spark, folder)
+    # 400,000 points are about 3 MB stored: by the default threshold they are broadcast
+    spark.range(400_000).select("id", F.xxhash64("id").alias("x")).write.mode("overwrite").parquet(f"{folder}/points")
+    spark.range(4_000_000).select("id").write.mode("overwrite").parquet(f"{folder}/others")
+    joined = spark.read.parquet(f"{folder}/others").join(spark.read.parquet(f"{folder}/points"), "id")
+    assert joined.count() == 400_000 and "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
