@@ -167,6 +167,101 @@ def test_toxicity(sent, prose):
     assert score_toxicity(docs.where("false"), sent.createDataFrame(labels, "doc_id long, toxic int")).count() == 0
 
 
+def plain_toxicity(docs, labels, k=15):
+    """Terms, vectors, neighbours, leave-one-out votes and curve over all examples; ids are unique."""
+    bags = {d: Counter(re.findall(r"[a-z0-9]+", t.translate(AZ))) for d, t in docs}
+    n = [sum(y == v for v in labels.values()) for y in (0, 1)]
+    held = [Counter(w for d, v in labels.items() if v == y for w in bags[d]) for y in (0, 1)]
+    terms = []
+    for w in held[1]:
+        c = [held[0][w], held[1][w]]
+        cells = [(seen, there, n[y]) for y in (0, 1) for seen, there in ((c[y], sum(c)), (n[y] - c[y], sum(n) - sum(c)))]
+        gain = sum(2 * seen * math.log(seen * sum(n) / (there * total)) for seen, there, total in cells if seen)
+        if sum(c) >= 3 and c[1] * n[0] >= 3 * c[0] * n[1] and gain >= 10.83:
+            terms.append(w)
+    place = {w: i for i, w in enumerate(terms)}
+    df = Counter(w for b in bags.values() for w in b)
+    vectors = np.zeros((len(docs), len(terms)))
+    for i, (d, _) in enumerate(docs):
+        for w in bags[d].keys() & place.keys():
+            vectors[i, place[w]] = (1 + math.log(bags[d][w])) * (math.log((1 + len(docs)) / (1 + df[w])) + 1)
+    norm = np.linalg.norm(vectors, axis=1, keepdims=True)
+    vectors = np.divide(vectors, norm, out=np.zeros_like(vectors), where=norm > 0)
+    ids = np.array([d for d, _ in docs])
+    rows = np.array([i for i, d in enumerate(ids.tolist()) if d in labels])
+    marks = np.array([labels[d] for d in ids[rows].tolist()], float)
+
+    def nearest(cosines, leave):
+        at = np.flatnonzero((cosines > 0) & (ids[rows] != leave))
+        best = at[np.lexsort((ids[rows][at], -np.round(cosines[at], 12)))[:k]]
+        return best, cosines[best]
+
+    def vote(best, cosines):
+        weight = 1 / (0.05 + np.maximum(0, 1 - cosines))
+        return float(np.sum(weight * marks[best]) / np.sum(weight))
+
+    near, votes, alone = {}, [], []
+    examples = vectors[rows].T
+    for i, d in enumerate(ids.tolist()):
+        if i % 500 == 0:
+            block = vectors[i:i + 500] @ examples
+        cosines = block[i % 500]
+        near[d] = nearest(cosines, None)
+        if d in labels:
+            other = nearest(cosines, d)
+            if len(other[0]):
+                votes.append((vote(*other), labels[d]))
+            else:
+                alone.append(labels[d])
+    pools = []
+    for v, y in sorted(votes):
+        pools.append([1, y, v])
+        while len(pools) > 1 and pools[-2][1] * pools[-1][0] >= pools[-1][1] * pools[-2][0]:
+            last = pools.pop()
+            pools[-1] = [x + z for x, z in zip(pools[-1], last, strict=True)]
+    curve = [p[2] / p[0] for p in pools], [p[1] / p[0] for p in pools]
+    score = {d: float(np.interp(vote(*x), *curve)) if len(x[0]) else float(np.mean(alone)) for d, x in near.items()}
+    return terms, {d: (ids[rows][x[0]].tolist(), x[1]) for d, x in near.items()}, score
+
+
+def test_toxicity_learns_from_all_examples_and_all_terms(sent, monkeypatch):
+    """More examples of a label and more terms than were once taken, in several shards, with crowds of one bag."""
+    from vitalgrid.llm import toxicity
+    monkeypatch.setattr(toxicity, "SHARD", 1500)
+    monkeypatch.setattr(toxicity, "CHUNK", 2000)
+    rng = np.random.default_rng(11)
+    docs, labels = [], {}
+    for i in range(8600):
+        bad = i % 2 == 0
+        words = [f"m{x}" for x in rng.integers(0, 1200, 5)] if bad else [f"m{rng.integers(0, 1200)}"] if i % 15 == 0 else []
+        words = [f"m{x}" for x in (1, 2, 3)] * (1 + i % 3) if i % 70 == 0 else words * int(rng.integers(1, 3)) + words[:2]
+        docs.append((i, " ".join([*words, *(f"w{x}" for x in rng.integers(0, 500, 5))])))
+        if i < 8500:
+            labels[i] = int(bad != (i % 97 == 0))
+    terms, near, score = plain_toxicity(docs, labels)
+    assert sum(labels.values()) > 4096 and len(terms) > 1024
+    found = toxicity.score_toxicity(sent.createDataFrame(docs, KIND).repartition(4), sent.createDataFrame([*labels.items()], "doc_id long, toxic int"))
+    got = {r["doc_id"]: r for r in found.select("doc_id", "score", "predicted", "neighbours").collect()}
+    assert len(got) == len(docs) and sum(len(x[0]) > 0 for x in near.values()) > 4096
+    for d, (ids, cosines) in near.items():
+        row = got[d]
+        assert len(row["neighbours"]) == len(ids) and np.allclose([x["cosine"] for x in row["neighbours"]], cosines)
+        assert all(x["label"] == labels[x["doc_id"]] for x in row["neighbours"])
+        assert abs(row["score"] - score[d]) < 1e-6 and row["predicted"] == int(row["score"] >= 0.5)
+    same = sum([x["doc_id"] for x in got[d]["neighbours"]] == ids for d, (ids, _) in near.items())
+    assert same > 0.99 * len(docs)  # cosines may be equal but for rounding
+
+
+def test_pools_of_ranges_are_those_of_all_votes():
+    from vitalgrid.llm.toxicity import pooled
+    rng = np.random.default_rng(5)
+    votes = sorted((float(v), int(rng.random() < v)) for v in np.round(rng.random(3000), 2))
+    one = lambda rows: pooled([v, v, 1.0, float(y), v] for v, y in rows)
+    parts = [one([x for x in votes if int(5 * x[0]) == a]) for a in range(6)]
+    whole, merged = one(votes), pooled(p for part in parts for p in part)
+    assert np.allclose(whole, merged) and all(a[3] / a[2] < b[3] / b[2] for a, b in zip(whole, whole[1:], strict=False))
+
+
 # ---- secrets
 
 def plain_spans(text):
