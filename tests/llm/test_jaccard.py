@@ -116,3 +116,39 @@ def test_components(sent, links):
             root[high] = low
     got = {r["node"]: r["root"] for r in components(sent.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: find(x) for x in list(root)}
+
+
+def test_shingles_travel_as_three_bytes():
+    from vitalgrid.llm.jaccard import short_slices, short_values
+    hashes = np.random.default_rng(2).integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2)
+    hashes = np.concatenate((hashes, hashes[:9], np.array([0, (1 << 64) - 1], np.uint64)))
+    parts, data = short_slices(hashes, 12)
+    got = sorted((p << 24) | v for p, d in zip(parts.tolist(), data.to_pylist(), strict=True) for v in short_values(d).tolist())
+    assert got == sorted((hashes >> np.uint64(28)).tolist()) and sum(len(d) for d in data.to_pylist()) == 3 * len(hashes)
+    assert short_slices(hashes[:0], 12)[0].tolist() == [] and len(short_slices(hashes[:0], 12)[1]) == 0
+
+
+def test_rare_shingles_sign_nothing_however_many_are_shared(sent):
+    """The bitmap of shared shingles grows before the floor rises."""
+    from vitalgrid.llm import jaccard
+    frequent = sent.range(100).selectExpr("id AS hash", "CASE WHEN id < 80 THEN 2 WHEN id < 95 THEN 40 ELSE 5000 END AS n")
+    assert jaccard.frequency_floors(frequent, (1, 100), (32, 5)) == [(1, 100), (64, 5)]
+    assert jaccard.frequency_floors(frequent, (1, 99)) == [(2, 20)]
+    assert jaccard.bits_for(0) == jaccard.bits_for(1 << 24) == 26 and jaccard.bits_for((1 << 24) + 1) == 27 and jaccard.bits_for(jaccard.MOST_SHARED) == 28
+    assert jaccard.MOST_SHARED > 140_000_000  # what 6 GB of documents share, carried on from 0.51 GB
+
+
+def test_classes_with_another_size_of_bitmap_and_with_all_texts_told_by_the_bitmap(sent, prose, near, monkeypatch):
+    from vitalgrid.llm import jaccard
+    monkeypatch.setattr(jaccard, "bits_for", lambda n: 20)
+    marked = jaccard.marked
+    monkeypatch.setattr(jaccard, "marked", lambda rows, keys: marked(rows, keys, 15))
+    rows = [(i, near(prose(i // 4, 20 + i % 50), i, i % 4)) for i in range(300)] + [(None, prose(3, 23)), (4, prose(1, 24)), (4, prose(1, 24))]
+    got = near_duplicates(sent.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows)
+
+
+def test_distinct_pairs():
+    from vitalgrid.llm.jaccard import distinct_pairs
+    both = np.random.default_rng(1).integers(0, 6, (200, 2)).astype(np.uint64)
+    assert (distinct_pairs(both) == np.unique(both, axis=0)).all() and len(distinct_pairs(both[:0])) == 0

@@ -5,9 +5,11 @@ itself if it has fewer words) as 64-bit hashes; equal sets are one node, named b
 
 Order and classes. All shingles are counted over all sets. Those in more than F sets are class 2, those in more
 than 32 F class 3; of the rest, those in more than R sets are class 1 and the others class 0. R is the smallest
-power of two from 1 on, F from LEAST_FREQUENT on, above which at most MOST_FREQUENT shingles lie, so that the
-bitmaps that tell map tasks the class (8 MB each, see `hash_bitmap`) stay sparse. Any two sets order their
-shingles alike: by class, then by hash. With R = 1 class 0 holds shingles of one set only, which sign nothing.
+power of two from 1 on above which at most MOST_SHARED shingles lie, F that from LEAST_FREQUENT on with at most
+MOST_FREQUENT, so that the bitmaps that tell map tasks the class (8 MB each, that of R up to 32 MB as shingles
+grow in number, see `hash_bitmap`) leave bits clear. Any two sets order their shingles alike: by class, then by
+hash. With R = 1 class 0 holds shingles of one set only, which sign nothing: a set whose prefix lies in class 0
+is done without a signature. This is what keeps signatures few, so R stays 1 as long as the bitmap allows.
 
 Prefixes. With at most e of a set's shingles missing in the partner, a prefix is long enough once the sum over its
 cells of (shingles in the cell - k + 1) exceeds e: then some cell keeps k common shingles, and their combination
@@ -23,10 +25,11 @@ meet in a bucket are all their candidates verified, the members outside the buck
 all. Two sets that share a signature are thus either verified or already connected, so no link class is lost and
 no bucket is expanded into all pairs.
 
-Verification compares whole sets. Pairs are gathered in the cells of a grid of node hashes, so that a pair found
+Verification compares whole sets, of texts that the JVM picks by their row keys. Pairs are gathered in the cells of a grid of node hashes, so that a pair found
 in many buckets is verified once and a text goes once to each cell that needs it; no pair is ever a row.
 
-Traffic is packed: sorted hashes as 16-bit differences, one row per (task, slice of the hash space).
+Traffic is packed, one row per (task, slice of the hash space): shingles as the three bytes that the slice leaves open,
+sorted signatures as 16-bit differences.
 
 Null and empty texts, and texts without words, have an empty set, no links and their own id as component. A null
 id takes part but never names a component unless all of them are null. Repeated rows fall into one class.
@@ -44,10 +47,11 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .words import SPACED, Words, field, mixed, ranges, small_batches, windows
-from .work import ROW, dealt, hash_bitmap, in_bitmap, marked, row_key, rows_of, stored, tasks_of, unpacked
+from .work import BITMAP_BITS, ROW, dealt, hash_bitmap, in_bitmap, marked, row_key, rows_of, stored, tasks_of, unpacked
 
 SHINGLE, PERCENT = 5, 75
 LEAST_FREQUENT, MOST_FREQUENT = 32, 1 << 24
+MOST_SHARED, MOST_BITS = 1 << 28, 28
 SMALL_BUCKET, LEADERS = 8, 4
 CELL_NODES, CELL_PAIRS, BLOCK = 20_000, 50_000, 1024
 CHUNK, MOST_PAIRS = 400_000, 1_000_000
@@ -72,9 +76,11 @@ def shingle_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(text, kind="stable")
         values, text = values[order], text[order]
     edges = np.searchsorted(text, np.arange(len(counts) + 1))
-    parts = [np.unique(values[a:b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-    sizes = np.array([len(p) for p in parts], np.int64)
-    return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), np.concatenate(([0], np.cumsum(sizes)))
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        values[a:b].sort()
+    new = np.ones(len(values), bool)
+    new[1:] = (values[1:] != values[:-1]) | (text[1:] != text[:-1])
+    return values[new], np.concatenate(([0], np.cumsum(np.bincount(text[new], minlength=len(counts)))))
 
 
 def fingerprints(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -115,7 +121,7 @@ def part_bits(tasks: int) -> int:
 def _cut(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted order, slice and value in it, of 64-bit hashes."""
     short = (hashes >> np.uint64(64 - bits - LOW_BITS)).astype(np.int64)
-    order = np.argsort(short, kind="stable")
+    order = np.argsort(short)
     short = short[order]
     return order, short >> LOW_BITS, short & ((1 << LOW_BITS) - 1)
 
@@ -128,6 +134,23 @@ def _slices(parts: np.ndarray) -> Iterator[tuple[int, int, int]]:
         yield int(parts[a]), a, b
 
 
+def short_slices(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, pa.Array]:
+    """Slices of the hash space that have some of the hashes, and these: the three bytes that follow the slice's bits."""
+    short = np.sort(hashes >> np.uint64(64 - bits - LOW_BITS))
+    parts = (short >> np.uint64(LOW_BITS)).astype(np.int64)
+    edge = np.flatnonzero(np.diff(parts, prepend=-1))
+    data = np.ascontiguousarray(short.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3])
+    bounds = 3 * np.append(edge, len(short)).astype(np.int32)
+    return parts[edge], pa.Array.from_buffers(pa.binary(), len(edge), [None, pa.py_buffer(bounds), pa.py_buffer(data)])
+
+
+def short_values(data: bytes) -> np.ndarray:
+    """The sorted values of three bytes each."""
+    out = np.zeros((len(data) // 3, 4), np.uint8)
+    out[:, :3] = np.frombuffer(data, np.uint8).reshape(-1, 3)
+    return np.sort(out.view("<u4")[:, 0])
+
+
 # ---- sets and counts
 
 def _sets(id_col: str, text_col: str, width: int) -> Callable:
@@ -170,10 +193,9 @@ def _shingles(text_col: str, width: int, bits: int) -> Callable:
         size = 0
 
         def out() -> pa.RecordBatch:
-            _, parts, low = _cut(np.concatenate(held), bits)
-            rows = [(p, packed(low[a:b])) for p, a, b in _slices(parts)]
+            parts, data = short_slices(np.concatenate(held), bits)
             held.clear()
-            return pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "data"])
+            return pa.record_batch([pa.array(parts, pa.int32()), data], ["part", "data"])
         for values, _, _ in _distinct_sets(batches, text_col, width):
             held.append(values)
             size += len(values)
@@ -202,7 +224,9 @@ def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[byte
 def _frequent(bits: int, least: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data in _by_part(batches):
-            low, n = np.unique(np.concatenate([unpacked_values(d) for d in data]), return_counts=True)
+            low = short_values(b"".join(data))
+            edge = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
+            low, n = low[edge].astype(np.int64), np.diff(np.append(edge, len(low)))
             often = n > least
             if often.any():
                 short = (np.int64(part) << LOW_BITS | low[often]).astype(np.uint64)
@@ -217,19 +241,25 @@ def frequent_shingles(texts: DataFrame, text_col: str, width: int) -> DataFrame:
     return stored(slices.mapInArrow(_frequent(bits, 1), "hash long, n long"))
 
 
-def frequency_floors(frequent: DataFrame, *least: int) -> list[int]:
-    """For each of `least` the smallest power of two from it on with at most MOST_FREQUENT shingles above it."""
+def frequency_floors(frequent: DataFrame, *bounds: tuple[int, int]) -> list[tuple[int, int]]:
+    """For each (least, most) the smallest power of two from `least` on with at most `most` shingles above it, and their number."""
     level = F.floor(F.log2(F.col("n") - 1)).cast("int")  # above 2**level
     levels = {r["level"]: r["count"] for r in frequent.groupBy(level.alias("level")).count().collect()}  # at most 64 rows
     out = []
-    for start in least:
-        floor = start.bit_length() - 1
-        while sum(n for k, n in levels.items() if k >= floor) > MOST_FREQUENT:
+    for least, most in bounds:
+        floor = least.bit_length() - 1
+        above = lambda: sum(n for k, n in levels.items() if k >= floor)  # noqa: B023, E731
+        while above() > most:
             floor += 1
-        out.append(1 << floor)
+        out.append((1 << floor, above()))
     return out
 
 
+def bits_for(n: int) -> int:
+    """Bits of the bitmap of n hashes: a quarter of them set as far as MOST_BITS allows."""
+    return min(MOST_BITS, max(BITMAP_BITS, (4 * n - 1).bit_length()))
+
+
 # ---- signatures
 
 def band_of(n: int) -> int:
@@ -309,7 +339,8 @@ def signatures(values: np.ndarray, classes: np.ndarray, percent: int) -> tuple[n
 
 
 def _signatures(text_col: str, width: int, percent: int, bits: int, bitmaps: list, unique: bool) -> Callable:
-    """Packed (signature, set, size, flag); `unique` says that class 0 shingles are in one set only."""
+    """Packed (signature, set, size, flag); `unique` says that class 0 shingles are in one set only. bitmaps: (bitmap, bits)
+    of classes 1, 2 and 3, each of shingles that the one before has, too."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
@@ -325,15 +356,20 @@ def _signatures(text_col: str, width: int, percent: int, bits: int, bitmaps: lis
             held.clear()
             return pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "data"])
         for values, bounds, nodes in _distinct_sets(batches, text_col, width):
-            classes = np.zeros(len(values), np.int8)
-            for k, bitmap in enumerate(bitmaps, 1):
-                classes[in_bitmap(bitmap.value, values)] = k
-            for i, node in enumerate(nodes):
-                a, b = bounds[i], bounds[i + 1]
+            classes, at = np.zeros(len(values), np.int8), np.arange(len(values))
+            for k, (bitmap, size_) in enumerate(bitmaps, 1):
+                at = at[in_bitmap(bitmap.value, values[at], size_)]
+                classes[at] = k
+            n = np.diff(bounds)
+            alone = np.concatenate(([0], np.cumsum(classes == 0)))
+            alone = alone[bounds[1:]] - alone[bounds[:-1]]
+            # a set whose prefix is all of class 0 signs nothing if these are unique
+            for i in np.flatnonzero(alone <= errors(n, percent)[0]) if unique else range(len(nodes)):
+                node, a, b = nodes[i], bounds[i], bounds[i + 1]
                 sig, flag = signatures(values[a:b], classes[a:b], percent)
                 if unique:
-                    alone = np.isin(sig, values[a:b][classes[a:b] == 0], assume_unique=True)
-                    sig, flag = sig[~alone], flag[~alone]
+                    own = np.isin(sig, values[a:b][classes[a:b] == 0], assume_unique=True)
+                    sig, flag = sig[~own], flag[~own]
                 held.append((sig, np.full(len(sig), node), (np.uint32(b - a) << np.uint32(1)) | flag.astype(np.uint32)))
                 size += len(sig)
                 if size >= CHUNK:
@@ -357,6 +393,12 @@ def cells_of(both: np.ndarray, grid: int) -> np.ndarray:
     return (row * np.uint64(grid) + column).astype(np.int64)
 
 
+def distinct_pairs(both: np.ndarray) -> np.ndarray:
+    """The distinct rows of two columns, sorted."""
+    both = both[np.lexsort((both[:, 1], both[:, 0]))]
+    return both[np.concatenate(([True], (both[1:] != both[:-1]).any(axis=1)))] if len(both) else both
+
+
 class _Pairs:
     """Distinct pairs, sorted in each pair, gathered for their cells; memory is bounded by MOST_PAIRS pairs."""
 
@@ -368,13 +410,13 @@ class _Pairs:
             self.held.append(np.sort(np.stack((a, b), axis=1), axis=1))
             self.size += len(a)
             if self.size > MOST_PAIRS:
-                self.held = [np.unique(np.concatenate(self.held), axis=0)]
+                self.held = [distinct_pairs(np.concatenate(self.held))]
                 self.size = len(self.held[0])
 
     def rows(self) -> list[tuple[int, bytes]]:
         if not self.held:
             return []
-        both = np.unique(np.concatenate(self.held), axis=0)
+        both = distinct_pairs(np.concatenate(self.held))
         self.held, self.size = [], 0
         cell = cells_of(both, self.grid)
         order = np.argsort(cell, kind="stable")
@@ -475,7 +517,7 @@ def _open_pairs(percent: int, grid: int) -> Callable:
 def _distinct_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All pairs of a cell as one row."""
     for cell, data in _by_part(batches):
-        both = np.unique(np.concatenate([np.frombuffer(d, np.uint64).reshape(-1, 2) for d in data]), axis=0)
+        both = distinct_pairs(np.concatenate([np.frombuffer(d, np.uint64).reshape(-1, 2) for d in data]))
         yield pa.record_batch([pa.array([cell], pa.int64()), pa.array([both.tobytes()], pa.binary())], ["cell", "data"])
 
 
@@ -488,21 +530,6 @@ def _cell_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 # ---- verification
 
-def _wanted(text_col: str, width: int, bitmap) -> Callable:
-    """Texts whose (set, id) the bitmap has, each set once per task."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, table = _Seen(), bitmap.value
-        for batch in small_batches(batches, text_col, BATCH):
-            values, bounds = shingle_sets(field(batch, text_col), width)
-            nodes = fingerprints(values, bounds)
-            keys = nodes ^ field(batch, "id_hash").to_numpy().view(np.uint64)
-            keep = in_bitmap(table, keys) & (nodes != 0)
-            keep[keep] = seen.new(nodes[keep])
-            at = pa.array(np.flatnonzero(keep))
-            yield pa.record_batch([pa.array(nodes[keep].view(np.int64)), field(batch, text_col).take(at)], ["node", "text"])
-    return run
-
-
 def _linked(width: int, percent: int) -> Callable:
     """Links of each cell; its texts (kind 0) come before its pairs (kind 1)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -553,8 +580,8 @@ class Join:
     def candidates(self) -> tuple[DataFrame, DataFrame]:
         """Pairs to verify (cell, data), and the large buckets (bucket, node, n, flag)."""
         frequent = frequent_shingles(self.texts, "text", self.width)
-        rare, often = frequency_floors(frequent, 1, LEAST_FREQUENT)
-        bitmaps = [hash_bitmap(frequent.where(F.col("n") > floor), "hash") for floor in (rare, often, 32 * often)]
+        (rare, shared), (often, _) = frequency_floors(frequent, (1, MOST_SHARED), (LEAST_FREQUENT, MOST_FREQUENT))
+        bitmaps = [(hash_bitmap(frequent.where(F.col("n") > floor), "hash", b), b) for floor, b in ((rare, bits_for(shared)), (max(rare, often), BITMAP_BITS), (32 * max(rare, often), BITMAP_BITS))]
         bits = part_bits(tasks_of(self.spark))
         entries = self.texts.select("text").mapInArrow(_signatures("text", self.width, self.percent, bits, bitmaps, rare == 1), "part int, data binary")
         found = stored(dealt(entries).sortWithinPartitions("part").mapInArrow(_buckets(self.percent, self.grid(self.nodes.count())), "kind int, name long, data binary"))
@@ -569,9 +596,9 @@ class Join:
         """The pairs (cell, data) that link, as (a, b). A text goes once to each cell that needs it."""
         pairs = stored(dealt(pairs, "cell").sortWithinPartitions("cell").mapInArrow(_distinct_pairs, "cell long, data binary"))
         needs = stored(pairs.mapInArrow(_cell_nodes, "cell long, node long"))
-        wanted = needs.select("node").distinct().join(self.nodes, "node")
-        bitmap = hash_bitmap(wanted.select(F.col("node").bitwiseXOR(F.xxhash64("id")).alias("key")), "key")
-        texts = self.texts.select("text", F.xxhash64("id").alias("id_hash")).mapInArrow(_wanted("text", self.width, bitmap), "node long, text string").dropDuplicates(["node"])
+        # one row's text for each set; other texts stay in the JVM
+        keys = stored(self.sets.select("node", "key").join(needs.select("node").distinct(), "node").groupBy("node").agg(F.min("key").alias("key")))
+        texts = marked(self.texts.select("key", "text"), keys).where("maybe").select("key", "text").join(keys, "key").select("node", "text").dropDuplicates(["node"])
         nothing, no_text = F.lit(None).cast("binary"), F.lit(None).cast("string")
         routed = needs.join(texts, "node").select("cell", F.lit(0).alias("kind"), "node", "text", nothing.alias("data"))
         both = routed.union(pairs.select("cell", F.lit(1), F.lit(None).cast("long"), no_text, "data"))
